@@ -1,17 +1,45 @@
-"""The corpus pipeline: STAGES in order, each over what the one before it kept."""
+"""The corpus pipeline: STAGES in order, each over all that the one before it kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ragloom.llm import simhash
+from ragloom.llm import decontam, langid, mixing, passages, simhash
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of a language that is recognised; lang is what was found."""
+    return langid.keep_identified(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
     return simhash.drop_near_duplicates(docs)
 
 
-STAGES = [("near_dedup", near_dedup)]
+def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that earlier documents have."""
+    return passages.drop_passages(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages of the benchmark."""
+    return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents at their slots of the training order."""
+    return mixing.mix_texts(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("passage_dedup", passage_dedup),
+    ("decontamination", decontamination),
+    ("mixture", mixture),
+]
+#: No SQL has the classifier, the hashes or the suffix arrays; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -22,7 +22,7 @@ from __future__ import annotations
 import heapq
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RESOLUTION, BLOCK_DOCS, ALPHA = 1000, 64, 0.7
@@ -79,15 +79,19 @@ def mix(
     resolution: int = RESOLUTION,
     alpha: float = ALPHA,
     rows_per_task: int = ROWS_PER_TASK,
+    carry: list[Column] | None = None,
 ) -> DataFrame:
     """(slot, place, source, block, epoch, doc_id): every document at its slots, place being its order in the block.
 
+    carry: columns of docs to bring along.
+
     weights: target of each source (a null source is ''); None takes ``tempered`` of the sources' documents.
     """
     spark = docs.sparkSession
     named = docs.select(
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
         F.col("doc_id").cast("long").alias("doc_id"),
+        F.struct(*carry or [F.lit(0).alias("none")]).alias("carried"),
     )
     n_docs = {r[0]: r[1] for r in named.groupBy("source").count().collect()}
     if weights is not None and set(n_docs) - set(weights):
@@ -115,7 +119,7 @@ def mix(
     # A piece is a range of the shuffled order, so pieces number their rows apart from each other.
     h = F.pmod(F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(_MOD)) * F.lit(1_103_515_245), F.lit(_MOD))
     spread = named.join(F.broadcast(info.select("source", "pieces")), "source").select(
-        "source", "doc_id", h.alias("h"), F.floor(h * F.col("pieces") / F.lit(_MOD)).alias("piece")
+        "source", "doc_id", "carried", h.alias("h"), F.floor(h * F.col("pieces") / F.lit(_MOD)).alias("piece")
     )
     sizes = spread.groupBy("source", "piece").count()
     before = Window.partitionBy("source").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
@@ -135,9 +139,18 @@ def mix(
         "block",
         "epoch",
         "doc_id",
+        *(["carried"] if carry else []),
     )
 
 
+def mix_texts(docs: DataFrame, rows_per_task: int = 10_000, **how) -> DataFrame:
+    """(slot, place, block, epoch) and the columns of docs, at every slot of a document. Columns of docs so named are left out."""
+    own = ["slot", "place", "block", "epoch"]
+    names = [n for n in docs.columns if n not in own]
+    mixed = mix(docs, rows_per_task=rows_per_task, carry=[F.col(n) for n in names], **how)
+    return mixed.select(*own, *(F.col("carried").getField(n).alias(n) for n in names))
+
+
 def achieved(mixture: DataFrame, parts: dict[str, int]) -> DataFrame:
     """(source, blocks, target, deviation) at the end of a mixture, in blocks."""
     spark = mixture.sparkSession
