@@ -232,7 +232,7 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, at_once: int = PHR
 def cut_spans(text: pa.Array, at: int, w: K.Words, s: np.ndarray, e: np.ndarray, out: list) -> None:
     """Writes to out the texts of the chunk from row ``at`` that have word spans [s, e), without them. A span is cut up to the word after it."""
     row = w.doc[s]
-    for lo, hi in zip(b := K.run_starts(row), np.append(b[1:], len(row)), strict=True):
+    for lo, hi in K.runs(row):
         i = int(row[lo])
         data = text[at + i].as_py().encode()
         base = _text_start(text, at, i)

@@ -177,6 +177,12 @@ def run_starts(sorted_keys: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(sorted_keys[1:] != sorted_keys[:-1]) + 1])
 
 
+def runs(sorted_keys: np.ndarray) -> list[tuple[int, int]]:
+    """(first, end) of every run of equal keys."""
+    start = run_starts(sorted_keys).tolist()
+    return list(zip(start, [*start[1:], len(sorted_keys)], strict=True)) if start else []
+
+
 def merge(start: np.ndarray, end: np.ndarray, gap: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Union of half-open intervals; those at most gap apart become one."""
     if not len(start):

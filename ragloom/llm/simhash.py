@@ -46,7 +46,7 @@ _LOW = np.uint64((1 << 44) - 1)
 _SHIFT = np.uint64(44)
 
 
-def _features(arr: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def features(arr: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Per chunk: first row, rows, and the distinct (row, word) pairs in order of row; a word is 44 bits of its hash."""
     for at, part in K.chunks(arr):
         w = K.words(part)
@@ -75,7 +75,7 @@ def document_frequency(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(words.astype(np.int64)), pa.array(df)], ["word", "part"])
 
         for batch in batches:
-            for _, _, _, f in _features(K.strings(batch.column(0))):
+            for _, _, _, f in features(K.strings(batch.column(0))):
                 held.append(f)
                 size += len(f)
                 if size > 2_000_000:
@@ -98,6 +98,23 @@ def common_words(docs: DataFrame, common: float = COMMON) -> np.ndarray:
     return np.array(sorted(r[0] for r in rows), np.uint64)
 
 
+def sketch(word: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """SimHash, as four 64-bit words, of each run of words that begins at start."""
+    total = np.diff(np.append(start, len(word)))
+    sig = np.empty((len(start), BITS // 64), np.uint64)
+    first = 0
+    while first < len(start):  # some ten thousand words at a time
+        last = max(first + 1, int(np.searchsorted(start, start[first] + 40_000)))
+        lo, hi = start[first], start[last] if last < len(start) else len(word)
+        bits = np.stack([K.mix(word[lo:hi] ^ s) for s in _SEEDS], 1)
+        bits = np.unpackbits(bits.view(np.uint8).reshape(-1, BITS // 8), axis=1)
+        kind = np.uint16 if total[first:last].max() < 1 << 16 else np.int64
+        ones = np.add.reduceat(bits, start[first:last] - lo, axis=0, dtype=kind).astype(np.int64)
+        sig[first:last] = np.packbits(ones * 2 > total[first:last, None], axis=1).view(np.uint64)
+        first = last
+    return sig
+
+
 def signatures(docs: DataFrame, stop: np.ndarray, id_column: str = "doc_id") -> DataFrame:
     """(key, th, node, s0..s3) of every document that has words; node is a hash of the SimHash."""
     shared = docs.sparkSession.sparkContext.broadcast(stop)
@@ -105,7 +122,7 @@ def signatures(docs: DataFrame, stop: np.ndarray, id_column: str = "doc_id") ->
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stop = shared.value
         for batch in batches:
-            for at, n, row, word in _features(K.strings(batch.column(2))):
+            for at, n, row, word in features(K.strings(batch.column(2))):
                 if len(stop):
                     place = np.minimum(np.searchsorted(stop, word), len(stop) - 1)
                     rare = stop[place] != word
@@ -114,18 +131,7 @@ def signatures(docs: DataFrame, stop: np.ndarray, id_column: str = "doc_id") ->
                 start = K.run_starts(row)
                 if not len(start):
                     continue
-                total = np.diff(np.append(start, len(row)))
-                sig = np.empty((len(start), BITS // 64), np.uint64)
-                first = 0
-                while first < len(start):  # some ten thousand features at a time
-                    last = max(first + 1, int(np.searchsorted(start, start[first] + 40_000)))
-                    lo, hi = start[first], start[last] if last < len(start) else len(row)
-                    bits = np.stack([K.mix(word[lo:hi] ^ s) for s in _SEEDS], 1)
-                    bits = np.unpackbits(bits.view(np.uint8).reshape(-1, BITS // 8), axis=1)
-                    kind = np.uint16 if total[first:last].max() < 1 << 16 else np.int64
-                    ones = np.add.reduceat(bits, start[first:last] - lo, axis=0, dtype=kind).astype(np.int64)
-                    sig[first:last] = np.packbits(ones * 2 > total[first:last, None], axis=1).view(np.uint64)
-                    first = last
+                sig = sketch(word, start)
                 node = np.zeros(len(sig), np.uint64)
                 for k in range(BITS // 64):
                     node = K.mix(node + sig[:, k] + _SEEDS[k])
