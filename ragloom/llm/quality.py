@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ragloom.llm.common import checkpointed
 
-RISK, DELTA, STEPS = 0.05, 0.05, 50
+RISK, DELTA, STEPS = 0.02, 0.05, 50
 SIGNS, CAPITALS, DIGITS = "#$%&*|!~^<>{}", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 RULES = ["sign_share", "capital_share", "digit_share", "repeated_lines", "repeated_words"]
 
