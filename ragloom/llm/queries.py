@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragloom.llm import decontam, kernel, langid, mixing, passages, quality, simhash, tokens, toxicity, urlfilter
+from ragloom.llm import decontam, gru, kernel, langid, mixing, passages, quality, simhash, tokens, toxicity, urlfilter
 from ragloom.llm.common import read
 
 
@@ -31,6 +31,11 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.removed_passages(read(spark, sf_dir, "documents")).drop("th")
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return gru.score(docs, gru.train(docs))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -60,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_suffix_dedup": op2_suffix_dedup,
         "op3_mixing": op3_mixing,
         "op4_simhash": op4_simhash,
+        "op5_lm_scoring": op5_lm_scoring,
         "op6_quality_rules": op6_quality_rules,
         "op7_language_id": op7_language_id,
         "op8_url_filters": op8_url_filters,
