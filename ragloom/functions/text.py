@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 WORD = r"[\p{L}\p{N}_]+"
 SENTENCE_END = r"(?<=[.!?])\s+"
@@ -14,7 +17,12 @@ SPACE = r"\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\
 BULLETS = "•◦‣▪●○∙·"
 
 
-@F.arrow_udf("string")
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value worked out once a row: what a lambda refers to is otherwise worked out for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+@F.arrow_udf(types.StringType())
 def _nfc(text: pa.Array) -> pa.Array:
     return pc.utf8_normalize(text, form="NFC")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ragloom.functions.text import let
+
 _A, _C, _MOD = 1_664_525, 1_013_904_223, 1 << 32
 
 
@@ -53,5 +55,5 @@ def mock_embedding(text: Column, dim: int = 64) -> Column:
 
 
 def unit(a: Column) -> Column:
-    size = F.when(norm(a) == 0, F.lit(1.0)).otherwise(norm(a))
-    return F.transform(F.arrays_zip(a.alias("v"), F.array_repeat(size, F.size(a)).alias("n")), lambda x: x["v"] / x["n"])
+    """a at length one; a zero vector as it is."""
+    return let(a, lambda v: let(norm(v), lambda n: F.transform(v, lambda x: x / F.when(n == 0, F.lit(1.0)).otherwise(n))))

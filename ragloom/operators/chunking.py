@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ragloom.functions import text as T
 
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
+STRATEGIES = ("fixed_size", "by_sentences", "recursive")
 
 
 @dataclass(frozen=True)
@@ -40,10 +41,12 @@ class SentenceChunker:
 
     def chunk(self, text: Column) -> Column:
         n = max(1, self.max_sentences_per_chunk)
-        found = T.sentences(F.coalesce(text, F.lit("")))
-        groups = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(found) / n).cast("int") - 1, F.lit(0)))
-        joined = F.transform(groups, lambda g: F.array_join(F.slice(found, g * n + 1, n), " "))
-        return F.filter(joined, lambda c: c != "")
+
+        def grouped(found: Column) -> Column:
+            groups = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(found) / n).cast("int") - 1, F.lit(0)))
+            return F.transform(groups, lambda g: F.array_join(F.slice(found, g * n + 1, n), " "))
+
+        return F.filter(T.let(T.sentences(F.coalesce(text, F.lit(""))), grouped), lambda c: c != "")
 
 
 def split_recursively(text: str, separators: Sequence[str], size: int) -> list[str]:
@@ -230,8 +233,8 @@ def baseline_chunk_sections(sections: DataFrame, chunker: FixedSizeChunker | Non
     return linked_chunks(sections, (chunker or FixedSizeChunker()).chunk(F.col("text")), None, "baseline", counted=False)
 
 
-def compare_strategies(docs: DataFrame, chunk_size: int = 200, text_column: str = "content", by: Sequence[str] = ()) -> DataFrame:
-    """(by, strategy, count, avg_length) of the fixed, sentence and recursive chunkers; avg_length is 0 without chunks."""
+def compare_strategies(docs: DataFrame, chunk_size: int = 200, text_column: str = "content", by: Sequence[str] = (), strategies: Sequence[str] = STRATEGIES) -> DataFrame:
+    """(by, strategy, count, avg_length) of the chunkers named; avg_length is 0 without chunks."""
     chunkers = {
         "fixed_size": FixedSizeChunker(chunk_size, max(0, min(50, chunk_size // 4))),
         "by_sentences": SentenceChunker(3),
@@ -239,7 +242,7 @@ def compare_strategies(docs: DataFrame, chunk_size: int = 200, text_column: str
     }
     col = F.col(text_column)
     parts = docs.select(*by, F.explode(F.array(*(
-        F.struct(F.lit(name).alias("strategy"), F.transform(c.chunk(col), F.length).alias("lengths")) for name, c in chunkers.items()
+        F.struct(F.lit(name).alias("strategy"), F.transform(c.chunk(col), F.length).alias("lengths")) for name, c in chunkers.items() if name in strategies
     ))).alias("s"))
     n = F.sum(F.size("s.lengths"))
     total = F.sum(F.aggregate("s.lengths", F.lit(0).cast("long"), lambda t, x: t + x))

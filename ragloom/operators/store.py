@@ -21,8 +21,8 @@ def append_records(records: DataFrame, docs: DataFrame, embed: Callable[[Column]
 
     seq is a global order, so it is given by sorted partitions and their offsets, not one window over all.
     """
-    new = embedded(docs.select("id", "content", "metadata"), embed)
-    return records.unionByName(numbered(new, order, records.agg(F.coalesce(F.max("seq") + 1, F.lit(0))).first()[0]))
+    new = numbered(docs.select("id", "content", "metadata"), order, records.agg(F.coalesce(F.max("seq") + 1, F.lit(0))).first()[0])
+    return records.unionByName(embedded(new, embed).select(records.columns))
 
 
 def numbered(df: DataFrame, order: str, first: int = 0, name: str = "seq") -> DataFrame:
@@ -91,3 +91,25 @@ class EmbeddingStore:
         if found:
             self.records = self.records.where(~gone)
         return found
+
+
+def cache_entries(docs: DataFrame, text: str = "content", model: str = "mock", embed: Callable[[Column], Column] = mock_embedding) -> DataFrame:
+    """(model, text_hash, embedding) of the distinct texts of docs."""
+    distinct = docs.where(F.col(text).isNotNull()).select(F.sha2(text, 256).alias("text_hash"), F.col(text).alias("_t")).dropDuplicates(["text_hash"])
+    return distinct.select(F.lit(model).alias("model"), "text_hash", embed(F.col("_t")).alias("embedding"))
+
+
+def embedded_once(docs: DataFrame, cache: DataFrame, text: str = "content", model: str = "mock", embed: Callable[[Column], Column] = mock_embedding) -> DataFrame:
+    """docs with text_hash and embedding: from the cache (model, text_hash, embedding) where it has the text, else each distinct text is embedded once.
+
+    A null text has neither. What was computed anew can be appended to the cache (``cache_entries`` of ``cache_misses``).
+    """
+    hashed = docs.withColumn("text_hash", F.sha2(text, 256))
+    known = cache.where(F.col("model") == model).select("text_hash", "embedding")
+    new = cache_entries(cache_misses(docs, cache, text, model), text, model, embed).select("text_hash", "embedding")
+    return hashed.join(known.unionByName(new), "text_hash", "left")
+
+
+def cache_misses(docs: DataFrame, cache: DataFrame, text: str = "content", model: str = "mock") -> DataFrame:
+    known = cache.where(F.col("model") == model).select(F.col("text_hash").alias("_h"))
+    return docs.join(known, F.sha2(text, 256) == F.col("_h"), "left_anti")

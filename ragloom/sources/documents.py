@@ -35,8 +35,7 @@ def flat_yaml(block: Column) -> Column:
 
     pairs = F.transform(lines, lambda x: F.struct(T.strip(F.regexp_extract(x, r"\A([^:]*):", 1)).alias("key"), value(x).alias("value")))
     # An earlier pair with the key of a later one goes, so keys are unique.
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(1))), lambda q: q["key"] == p["key"]))
-    return F.map_from_entries(last)
+    return F.map_from_entries(T.let(pairs, lambda all_: F.filter(all_, lambda p, i: ~F.exists(F.slice(all_, i + 2, F.greatest(F.size(all_), F.lit(1))), lambda q: q["key"] == p["key"]))))
 
 
 def with_front_matter(files: DataFrame, text: str = "text", path: str = "path") -> DataFrame:

@@ -10,6 +10,7 @@ from urllib.robotparser import RobotFileParser
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 from ragloom import schema
 from ragloom.functions import text as T
@@ -57,7 +58,7 @@ def extract(html: str) -> tuple[str, str]:
     return " ".join("".join(page.title).split()), text.strip()
 
 
-@F.arrow_udf("struct<title:string,text:string>")
+@F.arrow_udf(types.StructType([types.StructField("title", types.StringType()), types.StructField("text", types.StringType())]))
 def extract_content(html: pa.Array) -> pa.Array:
     """STRUCT<title, text>; null stays null."""
     found = [extract(h) if h is not None else None for h in html.to_pylist()]
