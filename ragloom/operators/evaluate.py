@@ -14,8 +14,7 @@ RELEVANT = 0.5
 
 def keyword_coverage(text: Column, keywords: Column) -> Column:
     """Share of keywords that text contains, without case; 1 without keywords."""
-    hay = T.match_form(text)
-    hits = F.size(F.filter(keywords, lambda k: F.contains(hay, F.lower(k))))
+    hits = T.let(T.match_form(text), lambda hay: F.size(F.filter(keywords, lambda k: F.contains(hay, F.lower(k)))))
     return F.when(F.coalesce(F.size(keywords), F.lit(0)) <= 0, F.lit(1.0)).otherwise(hits / F.size(keywords))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragloom.functions.vectors import mock_embedding
@@ -13,6 +13,7 @@ from ragloom.operators import ranking as R
 from ragloom.operators.bm25 import BM25Index
 from ragloom.operators.chunking import rank_in
 from ragloom.operators.dense import dense_topk
+from ragloom.session import checkpointed
 
 
 @dataclass(frozen=True)
@@ -78,11 +79,24 @@ class HybridRetriever:
             found = found.where(F.col("wanted").isNull() | (F.col("wanted") == F.col("procedure_slug"))).select("query_id", "chunk_id", "score", "rank")
             # The lexical list is ranked anew once filtered, as its order is what counts.
             found = rank_in(found.withColumnRenamed("rank", "_r"), ["query_id"], [F.col("_r")]).drop("_r")
-            both = R.reciprocal_rank_fusion([fused, found], digits=self.digits)
-            some = found.select("query_id").distinct()
-            fused = both.join(some, "query_id", "left_semi").unionByName(fused.join(some, "query_id", "left_anti"))
+            fused = self._fuse(fused, found)
         return R.deduplicate(fused.join(about, "chunk_id")).drop("content_hash")
 
+    def _fuse(self, dense: DataFrame, lexical: DataFrame) -> DataFrame:
+        """Reciprocal ranks of both lists; the dense scores as they are for queries without lexical hits. One aggregate and one window."""
+        part = 1.0 / (F.lit(R.RRF_K) + F.col("rank"))
+        none = F.lit(None).cast("double")
+        both = dense.select("query_id", "chunk_id", part.alias("part"), F.col("score").alias("own"), F.lit(0).alias("lexical")).unionByName(
+            lexical.select("query_id", "chunk_id", part.alias("part"), none.alias("own"), F.lit(1).alias("lexical"))
+        )
+        summed = F.sum("part")
+        each = both.groupBy("query_id", "chunk_id").agg(
+            (F.round(summed, self.digits) if self.digits is not None else summed).alias("fused"), F.max("own").alias("own"), F.max("lexical").alias("lexical")
+        )
+        some = F.max("lexical").over(Window.partitionBy("query_id")) > 0
+        scored = each.select("query_id", "chunk_id", F.when(some, F.col("fused")).otherwise(F.col("own")).alias("score"))
+        return rank_in(scored, ["query_id"], [F.desc("score"), F.col("chunk_id")])
+
     def retrieve(self, queries: DataFrame, top_k: int = 5) -> Retrieved:
         """queries: (query_id, query), the query normalised (see functions.text.normalize_query)."""
         classified = self.classify(queries)
@@ -93,5 +107,8 @@ class HybridRetriever:
             primary = R.diversify(fused, top_k)
         else:
             primary = fused.where(F.col("rank") <= top_k).drop("procedure_slug")
-        context = R.expand_adjacent(primary, self.chunks) if self.how.use_adjacent_expansion else primary.withColumn("source", F.lit("primary"))
+        if not self.how.use_adjacent_expansion:
+            return Retrieved(classified, primary, primary.withColumn("source", F.lit("primary")))
+        primary = checkpointed(primary)  # top_k rows a query, needed by either side of the joins that follow
+        context = R.expand_adjacent(primary, self.chunks)
         return Retrieved(classified, primary, context)

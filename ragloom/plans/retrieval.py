@@ -17,6 +17,7 @@ from ragloom.plans.chunks import BASELINE, baseline_chunks
 from ragloom.plans.registry import query, table
 from ragloom.plans.stores import DIGITS, asked, mock_sql, unit_sql
 from ragloom.plans.texts import TOKENS
+from ragloom.session import checkpointed
 
 SCORE = 6
 KEYWORDS = [
@@ -100,7 +101,8 @@ def classify_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embedded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return baseline_chunks(spark, sf_dir).withColumn("embedding", mock_embedding(F.col("raw_text")))
+    """The index: chunks and their embeddings, written once."""
+    return checkpointed(baseline_chunks(spark, sf_dir).withColumn("embedding", mock_embedding(F.col("raw_text"))))
 
 
 def retriever(spark: SparkSession, sf_dir: str, **how) -> H.HybridRetriever:
