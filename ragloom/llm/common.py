@@ -24,6 +24,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def named(names: list[str]) -> list[Column]:
+    """Columns by name, whatever signs a name has."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
 def doc_key(id_column: str = "doc_id", text: str = "text") -> list[Column]:
     """What tells documents apart: the id (nulls last) and a hash of the text, as many rows may bear one id or none."""
     from ragloom.llm.kernel import NO_ID

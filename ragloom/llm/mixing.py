@@ -25,6 +25,8 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ragloom.llm.common import named
+
 RESOLUTION, BLOCK_DOCS, ALPHA = 1000, 64, 0.7
 #: Rows that one task numbers; a larger source is numbered by several.
 ROWS_PER_TASK = 200_000
@@ -147,7 +149,7 @@ def mix_texts(docs: DataFrame, rows_per_task: int = 10_000, **how) -> DataFrame:
     """(slot, place, block, epoch) and the columns of docs, at every slot of a document. Columns of docs so named are left out."""
     own = ["slot", "place", "block", "epoch"]
     names = [n for n in docs.columns if n not in own]
-    mixed = mix(docs, rows_per_task=rows_per_task, carry=[F.col(n) for n in names], **how)
+    mixed = mix(docs, rows_per_task=rows_per_task, carry=named(names), **how)
     return mixed.select(*own, *(F.col("carried").getField(n).alias(n) for n in names))
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ragloom.llm import kernel as K
 from ragloom.llm import suffix
-from ragloom.llm.common import checkpointed, doc_key
+from ragloom.llm.common import checkpointed, doc_key, named
 
 WORDS, GRAM = 50, 25
 #: Words that a shard's suffix array takes at once (a gram's fragments stay together, however many).
@@ -285,7 +285,7 @@ def drop_passages(docs: DataFrame, words: int = WORDS, gram: int = GRAM, shard_w
 
     names = docs.columns
     spans = repeated_spans(docs, words, gram, shard_words)
-    rows = docs.select(F.struct(*names).alias("row"), *doc_key()).join(spans, ["key", "th"], "left")
+    rows = docs.select(F.struct(*named(names)).alias("row"), *doc_key()).join(spans, ["key", "th"], "left")
     cleaned = rows.select("row", clean(F.col("row.text"), "starts", "ends").alias("text"))
     new = {"text": F.col("text")}
     if "n_chars" in names:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragloom.llm import kernel as K
-from ragloom.llm.common import checkpointed, doc_key
+from ragloom.llm.common import checkpointed, doc_key, named
 from ragloom.llm.components import components
 
 BITS, RINGS = 256, 4
@@ -280,7 +280,7 @@ def drop_near_duplicates(docs: DataFrame, distance: int = DISTANCE, common: floa
     gone = gone.groupBy("key", "th").agg(F.count("*").alias("gone_n"))
     names = docs.columns
     key, th = doc_key()
-    at = docs.select(F.struct(*names).alias("row"), key, th)
+    at = docs.select(F.struct(*named(names)).alias("row"), key, th)
     # Rows equal in id and text are numbered: as many of them go as the groups say.
     number = F.row_number().over(Window.partitionBy("key", "th").orderBy("key"))
     left = at.withColumn("n", number).join(gone, ["key", "th"], "left")

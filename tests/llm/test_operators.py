@@ -1,0 +1,380 @@
+"""Operators against brute force, and their results on null, empty, long, tied, repeated and clashing rows."""
+
+import math
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from ragloom.llm import decontam, gru, langid, mixing, passages, quality, simhash, tokens, toxicity, urlfilter
+from ragloom.llm import kernel as K
+
+DOCUMENT = "doc_id long, text string, lang string, source string, n_chars long"
+#: Columns that operators use inside.
+CLASHING = ["key", "th", "row", "n", "slot", "place", "block", "epoch", "carried", "starts", "ends", "node", "keep", "language", "a.b"]
+
+
+def prose(rng, n, language="en"):
+    syllables = {"en": ["th", "er", "on", "an", "ing", "and", "wh", "ou"], "de": ["sch", "ein", "ung", "ch", "der", "ich", "zu", "ge"]}[language]
+    words = ["".join(rng.choices(syllables, k=rng.randint(1, 4))) for _ in range(n)]
+    return " ".join(w.capitalize() + "." if i % 9 == 8 else w for i, w in enumerate(words))
+
+
+def documents(spark, rows, extra=True):
+    df = spark.createDataFrame([(i, t, lang, s, len(t) if t else None) for i, t, lang, s in rows], DOCUMENT)
+    for c in CLASHING if extra else []:
+        df = df.withColumn(c, F.lit("x"))
+    return df
+
+
+def corpus(rng):
+    """Prose of two languages, exact and near copies, shared passages, and awkward rows."""
+    rows = [(i, prose(rng, rng.randint(60, 200), "en" if i % 3 else "de"), "en" if i % 3 else "de", f"s{i % 4}") for i in range(60)]
+    words = rows[5][1].split()
+    near = " ".join([*words[:-4], "one", "two", "three", "four"])
+    passage = prose(rng, 80)
+    rows += [(60, rows[4][1], "en", "s0"), (61, rows[4][1], "en", "s1"), (62, near, "en", "s0")]
+    rows += [(63, prose(rng, 70) + " " + passage + " " + prose(rng, 70), "en", "s2"), (64, prose(rng, 90) + "\n" + passage.upper(), "en", "s2")]
+    rows += [(65, None, None, None), (66, "", "en", ""), (None, "!!! ...", "de", "s1"), (None, None, None, "s3"), (67, prose(rng, 30_000), "en", "s1")]
+    return rows + [(68, "same row " * 5, "en", "s0")] * 3
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return corpus(random.Random(3))
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return documents(spark, rows).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return documents(spark, [])
+
+
+def test_token_counts_by_encoding_each(spark, rows, docs, none):
+    encode = tokens.encoder(tokens.VOCABULARY, tokens.PATTERN).encode_ordinary
+    sizes = [len(encode(t or "")) for _, t, _, _ in rows]
+    limits = tokens.context_limits(tokens.length_histogram(docs)).cache()
+    got = {r.n_tokens: r for r in limits.collect()}
+    assert {n: r.docs for n, r in got.items()} == dict(Counter(sizes))
+    for n, r in got.items():
+        assert r.docs_at_least == sum(s >= n for s in sizes) and r.docs_up_to == sum(s <= n for s in sizes)
+        assert r.tokens_at_least == sum(s for s in sizes if s >= n) and r.truncated_tokens == sum(min(s, n) for s in sizes)
+    asked = tokens.at_limits(limits, [0, 7, 100, 10**6]).collect()
+    assert {r.limit_tokens: (r.docs_fit, r.truncated_tokens) for r in asked} == {
+        x: (sum(s <= x for s in sizes), sum(min(s, x) for s in sizes)) for x in (0, 7, 100, 10**6)
+    }
+    quantiles = {r.quantile: r.n_tokens for r in tokens.quantiles(limits, [0.5, 0.9]).collect()}
+    assert quantiles == {q: sorted(sizes)[math.ceil(q * len(sizes)) - 1] for q in (0.5, 0.9)}
+    assert tokens.context_limits(tokens.length_histogram(none)).count() == 0
+
+
+def repeated(rows, size):
+    """By document the words that are in a window of size words that an earlier document has, by brute force."""
+    texts = sorted({(i if i is not None else K.NO_ID, t or "") for i, t, _, _ in rows})
+    first = {}
+    out = {}
+    for at, (i, t) in enumerate(texts):
+        w = re.findall(r"[^\W_]+", t.lower())
+        for k in range(len(w) - size + 1):
+            if first.setdefault(tuple(w[k : k + size]), at) < at:
+                out.setdefault((i, t), set()).update(range(k, k + size))
+    return out
+
+
+def test_passages_are_those_of_brute_force(spark, rows, docs, none):
+    want = repeated(rows, passages.WORDS)
+    got = defaultdict(set)
+    for r in passages.removed_passages(docs).collect():
+        got[r.doc_id] |= set(range(r.first_word, r.first_word + r.n_words))
+    assert got == {i: s for (i, _), s in want.items()} and {61, 60, 62, 64} <= set(got)
+    left = passages.drop_passages(docs)
+    assert left.columns == docs.columns and left.count() == len(rows)
+    by_id = {r.doc_id: r for r in left.collect() if r.doc_id is not None}
+    assert by_id[60].text == "" and by_id[60].n_chars == 0 and by_id[65].text is None
+    assert by_id[3].text == rows[3][1]
+    assert passages.removed_passages(none).count() == passages.drop_passages(none).count() == 0
+
+
+def test_passages_of_a_small_alphabet(spark):
+    rng = random.Random(0)
+    rows = [(i, " ".join(rng.choices("abc", k=rng.randint(0, 60))), "en", "s") for i in range(60)]
+    got = defaultdict(set)
+    for r in passages.removed_passages(documents(spark, rows), words=8, gram=4, shard_words=50).collect():
+        got[r.doc_id] |= set(range(r.first_word, r.first_word + r.n_words))
+    assert got == {i: s for (i, _), s in repeated(rows, 8).items()}
+
+
+def test_mixture_keeps_weights_and_every_document(spark, rows, docs, none):
+    mixed = [r.asDict() for r in mixing.mix(docs, block_docs=4, resolution=100).collect()]
+    counts = Counter(s or "" for *_, s in rows)
+    parts = mixing.whole_weights(mixing.tempered(counts), 100)
+    by_slot = {}
+    for r in mixed:
+        assert by_slot.setdefault(r["slot"], r["source"]) == r["source"]
+    assert sorted(by_slot) == list(range(len(by_slot)))
+    done = Counter()
+    for slot in range(len(by_slot)):
+        done[by_slot[slot]] += 1
+        assert all(abs(done[s] - (slot + 1) * p / 100) < 1 for s, p in parts.items())
+    assert Counter((r["source"], r["doc_id"]) for r in mixed if r["epoch"] == 0) == Counter((s or "", i) for i, _, _, s in rows)
+    many = mixing.mix(docs, block_docs=4, resolution=100, rows_per_task=3)
+    assert many.where("epoch = 0").count() == len(rows) and many.select("slot").distinct().count() == len(by_slot)
+    texts = mixing.mix_texts(docs)
+    assert texts.columns[:4] == ["slot", "place", "block", "epoch"] and set(texts.columns) == set(docs.columns) and texts.where("text is not null").count() > 0
+    assert mixing.mix(none).count() == mixing.mix_texts(none).count() == 0
+    with pytest.raises(ValueError):
+        mixing.mix(docs, {"s0": 1.0})
+
+
+def near_pairs(docs, distance, common):
+    signed = simhash.signatures(docs, simhash.common_words(docs, common)).collect()
+    sig = np.array([[r.s0, r.s1, r.s2, r.s3] for r in signed], np.int64).view(np.uint64)
+    d = np.bitwise_count(sig[:, None] ^ sig[None]).sum(2)
+    return [r.key for r in signed], d <= distance
+
+
+def groups_of(keys, near):
+    """Connected components of all pairs within distance, by brute force."""
+    own = list(range(len(keys)))
+    for i in range(len(keys)):
+        for j in range(i):
+            if near[i, j] and own[i] != own[j]:
+                a, b = own[i], own[j]
+                own = [b if x == a else x for x in own]
+    return own
+
+
+def test_near_duplicates_have_the_recall_of_all_pairs(spark):
+    rng = random.Random(1)
+    base = [prose(rng, 150).split() for _ in range(60)]
+    rows = []
+    for i in range(400):
+        w = list(base[i % 60])
+        for _ in range(rng.randint(0, 30)):
+            w[rng.randrange(len(w))] = "".join(rng.choices("abcdefg", k=6))
+        rows.append((i, " ".join(w), "en", "s"))
+    docs = documents(spark, rows, extra=False)
+    keys, near = near_pairs(docs, simhash.DISTANCE, 0.2)
+    own = groups_of(keys, near)
+    got = {r.key: r.group_id for r in simhash.near_duplicates(docs, common=0.2).collect()}
+    pairs = [(i, j) for i in range(len(keys)) for j in range(i) if near[i, j]]
+    assert len(pairs) > 300
+    found = sum(got.get(keys[i], -1) == got.get(keys[j], -2) for i, j in pairs)
+    assert found >= 0.9 * len(pairs)
+    by_key = dict(zip(keys, own, strict=True))
+    for group in set(got.values()):  # nothing is joined that all pairs would not join
+        assert len({by_key[k] for k, g in got.items() if g == group}) == 1
+
+
+def test_pigeonring_never_drops_a_pair_within_distance():
+    rng = np.random.default_rng(0)
+    a = rng.integers(0, 2**63, (4000, 4)).astype(np.uint64)
+    b = a.copy()
+    for i in range(len(b)):
+        for bit in rng.choice(256, rng.integers(0, 90), replace=False):
+            b[i, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    d = np.bitwise_count(a ^ b).sum(1).astype(np.int64)
+    assert (simhash.hamming_within(a, b, 52) == np.where(d <= 52, d, -1)).all()
+
+
+def test_one_of_each_group_stays(spark, rows, docs, none):
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    ids = Counter(r.doc_id for r in kept.select("doc_id").collect())
+    assert ids[4] == 1 and 60 not in ids and 61 not in ids and ids[68] == 1
+    assert ids[65] == ids[66] == ids[67] == 1 and ids[None] == 2
+    groups = simhash.near_duplicates(docs).collect()
+    assert sum(r.keep for r in groups) == len({r.group_id for r in groups})
+    assert simhash.drop_near_duplicates(none).count() == 0
+
+
+def test_language_model_learns_and_scores_whole_texts(spark, rows, docs, none):
+    train = documents(spark, [(i, prose(random.Random(i), 300), "en", "s") for i in range(30)], extra=False)
+    model = gru.train(train, 40)
+    held = documents(spark, [(i, prose(random.Random(100 + i), 300), "en", "s") for i in range(5)], extra=False)
+    mean = held.sparkSession.createDataFrame([r.asDict() for r in gru.score(held, model).collect()]).agg(F.avg("mean_log_likelihood")).first()[0]
+    untrained = gru.Model(model.v, model.h)
+    before = [r.mean_log_likelihood for r in gru.score(held, untrained).collect()]
+    assert mean > sum(before) / len(before) + 0.3
+    scored = {r.doc_id: r for r in gru.score(docs, model).collect()}
+    assert scored[65].n_words == 0 and scored[65].log_likelihood == 0 and scored[65].mean_log_likelihood is None
+    assert scored[67].n_words == 30_000 and scored[60].log_likelihood == pytest.approx(scored[61].log_likelihood, abs=1e-2)
+    assert gru.score(docs, model).count() == len(rows)
+    assert gru.score(none, gru.train(none)).count() == 0
+
+
+def test_quality_thresholds_are_exact_binomial_bounds(spark, docs, none):
+    for k, n, p in ((0, 10, 0.1), (3, 50, 0.02), (7, 20, 0.4), (20, 20, 0.5)):
+        exact = sum(math.comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k + 1))
+        assert quality.binomial_tail(k, n, p) == pytest.approx(exact)
+    labels = spark.createDataFrame([(i, int(i % 5 > 0), 0) for i in range(60)] + [(None, None, None), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    judged = quality.judge(docs, labels, risk=0.3).collect()
+    assert len(judged) == docs.count() and {r.doc_id: r.keep for r in judged}[65]
+    assert all(r.keep for r in quality.judge(docs, labels.limit(0)).collect())
+    assert quality.judge(none, labels).count() == 0
+
+
+def test_quality_cutoffs_hold_their_risk():
+    rng = np.random.default_rng(5)
+    bad = 0
+    for _ in range(200):
+        scores = rng.beta(1, 20, 1500)
+        classes = np.bincount(np.ceil(scores * quality.STEPS).astype(int), minlength=quality.STEPS + 1).tolist()
+        cut = quality.select_cutoffs({("en", "r"): classes}, 0.02, 0.05).get(("en", "r"))
+        # Chance that a score of this distribution is above the cutoff.
+        bad += cut is not None and (1 - cut / quality.STEPS) ** 20 > 0.02
+    assert bad <= 0.05 * 200 + 3 * math.sqrt(200 * 0.05)
+
+
+def test_languages_of_held_out_texts(spark, docs, none):
+    def some(base, label):
+        return [(i, prose(random.Random(base + i), 120, lang), lang if label else None, "s") for i in range(60) for lang in ("en", "de")]
+
+    model = langid.train(documents(spark, some(0, True), extra=False))
+    held = some(1000, False)
+    got = langid.identify(documents(spark, held, extra=False), model).collect()
+    want = Counter(["en", "de"] * 60)
+    assert Counter(r.language for r in got) == want and sum(r.accepted for r in got) >= 0.97 * len(got)
+    foreign = documents(spark, [(1, "мама мыла раму и пела песни каждый вечер у окна " * 5, None, "s"), (2, "zzqx qqxj vvkw xxzq jjqv " * 20, None, "s")], extra=False)
+    assert not any(r.accepted for r in langid.identify(foreign, model).collect())
+    kept = langid.keep_identified(docs, model)
+    ids = {r.doc_id for r in kept.collect()}
+    assert kept.columns == docs.columns and not ids & {65, 66} and 67 in ids
+    assert langid.keep_identified(none).count() == 0 and langid.identify(none, model).count() == 0
+
+
+def test_urls_by_looking_at_every_entry(spark):
+    day = "2024-01-{:02d} 00:00:00"
+    entries = [("evil.com", "spam", "add", day.format(5)), ("evil.com", "spam", "remove", day.format(10)), ("evil.com", "spam", "add", day.format(10)), ("a.org/x", "adult", "add", day.format(3))]
+    entries += [("evil.com", "spam", "add", day.format(20)), (None, "spam", "add", day.format(1)), ("b.net", "spam", "add", None)] + entries[:1]
+    urls = ["http://evil.com/", "https://sub.EVIL.com:80/a?b", "http://notevil.com", "http://a.org/x/y", "http://a.org/xy", "nonsense", None, "http://b.net/", ""]
+    captures = [(i, u, day.format(d) if d else None) for i, (u, d) in enumerate((u, d) for u in urls for d in (2, 5, 9, 10, 15, 20, None))] * 2
+    cast = "to_timestamp({})"
+    e = spark.createDataFrame(entries, "pattern string, category string, action string, d string").withColumn("dated", F.expr(cast.format("d"))).withColumn("id", F.lit(1))
+    c = spark.createDataFrame(captures, "page_id long, url string, d string").withColumn("fetched_at", F.expr(cast.format("d"))).withColumn("pattern", F.lit("x"))
+
+    def active(url, at):
+        if url is None or at is None or "://" not in url:
+            return []
+        host, _, path = url.split("://")[1].partition("/")
+        host, path = host.split(":")[0].lower(), "/" + path.partition("?")[0]
+        found = []
+        for pattern, category in {(p, k) for p, k, _, _ in entries if p}:
+            h, _, below = pattern.partition("/")
+            covers = (host == h and (path + "/").startswith(f"/{below}/")) if below else host == h or host.endswith("." + h)
+            log = sorted((d, a) for p, k, a, d in entries if (p, k) == (pattern, category) and d and d <= at)
+            if covers and log and log[-1][1] == "add":
+                found.append(category)
+        return sorted(found)
+
+    got = urlfilter.evaluate(c, e).collect()
+    assert len(got) == len(captures)
+    for r in got:
+        at = r.fetched_at.strftime("%Y-%m-%d %H:%M:%S") if r.fetched_at else None
+        want = active(r.url, at)
+        assert r.entries == len(want) and r.categories == ",".join(sorted(set(want))) and r.blocked == bool(want)
+    assert urlfilter.evaluate(c.limit(0), e).count() == 0 and not any(r.blocked for r in urlfilter.evaluate(c, e.limit(0)).collect())
+
+
+def test_toxic_passages_are_found_and_clean_texts_left(spark, docs, none):
+    slurs = ["vexor", "grumbat", "skarn", "pluvix", "dorgle"]
+    rng = random.Random(4)
+
+    def text(toxic):
+        w = prose(rng, 250).split()
+        if toxic:
+            at = rng.randrange(50, 200)
+            w[at:at] = rng.choices(slurs, k=8)
+        return " ".join(w)
+
+    table = [(i, text(i % 4 == 0), "en", "s") for i in range(240)]
+    d = documents(spark, table)
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(120)] + [(None, 1, 1), (5, 1, None), (120_000, 1, 1)], "doc_id long, quality int, toxic int")
+    scores = toxicity.train(d, labels)
+    got = toxicity.toxic_passages(d, scores).collect()
+    found = {r.doc_id for r in got}
+    assert {i for i in range(120, 240) if i % 4 == 0} <= found
+    assert len([i for i in found if i % 4]) <= 3
+    for r in got:
+        if r.doc_id % 4 == 0 and r.score == r.doc_score:
+            w = re.findall(r"[^\W_]+", table[r.doc_id][1].lower())
+            assert sum(x in slurs for x in w[r.first_word : r.first_word + r.n_words]) >= 6
+    assert toxicity.toxic_passages(docs, scores).where("doc_id in (65, 66)").count() == 0
+    assert toxicity.toxic_passages(d, toxicity.train(d, labels.limit(0))).count() == 0
+    assert toxicity.toxic_passages(none, scores).count() == toxicity.toxic_passages(none, toxicity.train(none, labels)).count() == 0
+
+
+def test_decontamination_by_looking_for_every_phrase(spark, rows, docs, none):
+    items = [" ".join(rows[7][1].split()[10:40]), "Prefix words here, " + rows[8][1][30:300].upper(), "too short", None, "", " ".join(rows[9][1].split()[5:14])]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string").withColumn("doc_id", F.lit(1))
+    phrases = set()
+    for t in items:
+        w = re.findall(r"[^\W_]+", (t or "").lower())
+        if decontam.LEAST <= len(w) < decontam.PHRASE:
+            phrases.add(tuple(w))
+        phrases |= {tuple(w[k : k + decontam.PHRASE]) for k in range(len(w) - decontam.PHRASE + 1)}
+    want = {}
+    for i, t, _, _ in rows:
+        w = re.findall(r"[^\W_]+", (t or "").lower())
+        spans = sorted((k, k + len(p)) for p in phrases for k in range(len(w) - len(p) + 1) if tuple(w[k : k + len(p)]) == p)
+        merged = []
+        for a, b in spans:
+            if merged and a <= merged[-1][1] + decontam.GAP:
+                merged[-1][1] = max(merged[-1][1], b)
+            else:
+                merged.append([a, b])
+        if merged:
+            want[i] = sorted((a, b - a) for a, b in merged)
+    for at_once in (10**6, 7):
+        got = defaultdict(list)
+        for r in decontam.contaminated_spans(docs, bench, at_once).collect():
+            got[r.doc_id].append((r.first_word, r.n_words))
+        assert {i: sorted(x) for i, x in got.items()} == want and {7, 8, 9} <= set(want)
+    left = decontam.decontaminate(docs, bench)
+    by_id = {r.doc_id: r for r in left.collect() if r.doc_id is not None}
+    assert left.columns == docs.columns and by_id[65].text is None and by_id[10].text == rows[10][1]
+    assert decontam.contaminated_spans(left, bench).count() == 0
+    assert decontam.contaminated_spans(none, bench).count() == decontam.contaminated_spans(docs, bench.limit(0)).count() == 0
+
+
+def test_spans_are_cut_without_harm_to_the_rest():
+    text = K.strings(pa.array(["", "Ä b, c. D e f", "x y"]))
+    w = K.words(text)
+    out = {}
+    decontam.cut_spans(text, 0, w, np.array([1]), np.array([3]), out)
+    assert out == {1: "Ä D e f"}
+
+
+def staged(spark, docs, sf_dir):
+    for name, stage in corpus_pipeline.STAGES:
+        yield name, docs, (after := stage(spark, docs, sf_dir))
+        docs = after
+
+
+def test_pipeline_stages_keep_columns_and_clean_documents(spark, rows, docs, none, tmp_path):
+    bench = [(0, " ".join(rows[7][1].split()[10:40])), (1, None)]
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    seen = {}
+    for name, before, after in staged(spark, docs, str(tmp_path)):
+        if name != "mixture":
+            assert after.columns == before.columns
+        seen[name] = (Counter(r[0] for r in before.select("doc_id").collect()), Counter(r[0] for r in after.select("doc_id").collect()))
+    assert [n for n, _ in corpus_pipeline.STAGES] == list(seen)
+    before, after = seen["language_id"]
+    assert not set(after) & {65, 66} and len(set(before) - set(after)) <= 6
+    before, after = seen["near_dedup"]
+    assert {60, 61} <= set(before) - set(after) and set(range(60)) & set(before) <= set(after)
+    for name in ("passage_dedup", "decontamination"):
+        assert seen[name][0] == seen[name][1]
+    assert set(seen["mixture"][0]) == set(seen["mixture"][1])
+    for _, _, after in staged(spark, none, str(tmp_path)):
+        assert after.count() == 0
