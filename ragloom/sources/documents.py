@@ -49,7 +49,7 @@ def with_front_matter(files: DataFrame, text: str = "text", path: str = "path")
 
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
     """(path, text) of the Markdown and text files below folder."""
-    found = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.[mMtT][dDxX]*").text(folder)
+    found = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.[mMtT][dDxX]*")
     files = found.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     return files.where(F.lower("path").rlike(r"\.(md|txt)$"))
 
@@ -61,7 +61,7 @@ def load_documents(spark: SparkSession, folder: str) -> DataFrame:
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     if "://" not in path and not Path(path).exists():
         raise FileNotFoundError(path)
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def _read_json(spark: SparkSession, path: str, of: str) -> DataFrame:
