@@ -94,24 +94,32 @@ def log_odds(
 def segments(place: np.ndarray, score: np.ndarray, drift: float = DRIFT) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first word, end, score) of a text whose words at place score, the others -drift.
 
-    One pass with a list of candidates, as each candidate is merged once.
+    One pass in linear time: a candidate knows the last one before it that begins at a lower total, so a search
+    skips what lies between; where none begins lower, all candidates so far are final.
     """
     total, last = 0.0, -1
-    found: list[list[float]] = []  # first word, end, total before, total after
+    out: list[list[float]] = []
+    found: list[list[float]] = []  # first word, end, total before, total after, the candidate that begins lower
     for p, s in zip(place.tolist(), score.tolist(), strict=True):
         before = total - drift * (p - last - 1)
         total, last = before + s, p
-        new = [p, p + 1, before, total]
-        while found:
-            j = len(found) - 1
+        new = [p, p + 1, before, total, -1]
+        j = len(found) - 1
+        while True:
             while j >= 0 and found[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or found[j][3] >= new[3]:
+                j = found[j][4]
+            if j < 0:
+                out += found
+                found = [new]
                 break
-            new = [found[j][0], new[1], found[j][2], new[3]]
-            del found[j:]
-        found.append(new)
-    return [(int(a), int(b), hi - lo) for a, b, lo, hi in found]
+            if found[j][3] >= new[3]:
+                new[4] = j
+                found.append(new)
+                break
+            new = [found[j][0], new[1], found[j][2], new[3], -1]
+            j, keep = found[j][4], j
+            del found[keep:]
+    return [(int(a), int(b), hi - lo) for a, b, lo, hi, _ in out + found]
 
 
 def calibrate(odds: np.ndarray, share: np.ndarray, drift: float = DRIFT, events: int = 20_000) -> tuple[float, float]:
