@@ -1,9 +1,9 @@
 """Operator 4: near duplicates by SimHash with pigeonring filtering.
 
-1. Features of a document are its distinct words, but for words that more than
-   ``common`` of all documents hold (counted over the whole corpus; there can be
-   no more of those than words in a document divided by ``common``, so they may
-   be broadcast). The 256-bit SimHash is the majority of their hash bits.
+1. Features of a document are all its distinct words, of equal weight, so a SimHash
+   depends on its text alone and a group of copies is found whatever its share of the
+   table. The 256-bit SimHash is the majority of their hash bits. (With ``common``, which
+   no query sets, words that more than this share of all documents hold do not count.)
 2. Documents of one SimHash become one node, however many copies there are.
 3. The bits, shuffled in ``RINGS`` ways, form rings of segments about as wide as the
    logarithm of the number of nodes. Nodes that agree in a segment are brought
@@ -19,7 +19,7 @@ Step 3 is approximate: a pair at distance d meets with probability
 1 - (1 - (1 - d/256)^width)^tables; tests hold recall against brute force to 0.9.
 
 Defined results: documents without words (null, empty or only signs) are never
-grouped; if all words of a document are common, all count as features; repeated
+grouped; if with ``common`` no word of a document is left, all count; repeated
 rows are copies of each other; a null id sorts last. The first of a group by
 (id, text hash) is kept, of rows equal in both all are marked alike but for one.
 """
@@ -40,7 +40,6 @@ from ragloom.llm.components import components
 
 BITS, RINGS = 256, 4
 DISTANCE = 52
-COMMON = 0.01
 _SEEDS = [np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89)]
 _LOW = np.uint64((1 << 44) - 1)
 _SHIFT = np.uint64(44)
@@ -91,7 +90,7 @@ def document_frequency(docs: DataFrame) -> DataFrame:
     return parts.groupBy("word").agg(F.sum("part").alias("df"))
 
 
-def common_words(docs: DataFrame, common: float = COMMON) -> np.ndarray:
+def common_words(docs: DataFrame, common: float) -> np.ndarray:
     """Words that more than this share of all documents hold, sorted. At most words of a document / common."""
     n = docs.count()
     rows = document_frequency(docs).where(F.col("df") > F.lit(common * n)).select("word").collect()
@@ -115,9 +114,9 @@ def sketch(word: np.ndarray, start: np.ndarray) -> np.ndarray:
     return sig
 
 
-def signatures(docs: DataFrame, stop: np.ndarray, id_column: str = "doc_id") -> DataFrame:
-    """(key, th, node, s0..s3) of every document that has words; node is a hash of the SimHash."""
-    shared = docs.sparkSession.sparkContext.broadcast(stop)
+def signatures(docs: DataFrame, stop: np.ndarray | None = None, id_column: str = "doc_id") -> DataFrame:
+    """(key, th, node, s0..s3) of every document that has words; node is a hash of the SimHash. Words in stop do not count."""
+    shared = docs.sparkSession.sparkContext.broadcast(np.zeros(0, np.uint64) if stop is None else stop)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stop = shared.value
@@ -249,13 +248,13 @@ def links(nodes: DataFrame, count: int, distance: int = DISTANCE) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, distance: int = DISTANCE, common: float = COMMON, id_column: str = "doc_id"
+    docs: DataFrame, distance: int = DISTANCE, common: float | None = None, id_column: str = "doc_id"
 ) -> DataFrame:
     """(key, th, group_id, group_size, keep) of the documents that have near duplicates.
 
     group_id is the least key of the group; keep is true for the one that stays. A row for every row of docs.
     """
-    signed = checkpointed(signatures(docs, common_words(docs, common), id_column))
+    signed = checkpointed(signatures(docs, None if common is None else common_words(docs, common), id_column))
     nodes = signed.dropDuplicates(["node"])
     found = components(links(nodes, nodes.count(), distance))
     grouped = signed.select("key", "th", "node").join(found, "node", "left")
@@ -274,7 +273,7 @@ def near_duplicates(
     )
 
 
-def drop_near_duplicates(docs: DataFrame, distance: int = DISTANCE, common: float = COMMON) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, distance: int = DISTANCE, common: float | None = None) -> DataFrame:
     """docs without near duplicates: one row of each group stays, with the columns of docs."""
     gone = near_duplicates(docs, distance, common).where("not keep")
     gone = gone.groupBy("key", "th").agg(F.count("*").alias("gone_n"))

@@ -175,6 +175,19 @@ def test_near_duplicates_have_the_recall_of_all_pairs(spark):
         assert len({by_key[k] for k, g in got.items() if g == group}) == 1
 
 
+def test_near_copies_are_found_whatever_their_share_of_the_table(spark):
+    rng = random.Random(3)
+    base = prose(rng, 350).split()
+    rows = [(i, prose(rng, 150), "en", "s") for i in range(120)]
+    for i in range(120, 160):  # each with 2 % of its words edited
+        w = list(base)
+        for at in rng.sample(range(len(w)), 7):
+            w[at] = "".join(rng.choices("abcdefg", k=6))
+        rows.append((i, " ".join(w), "en", "s"))
+    got = {r.key: r.group_id for r in simhash.near_duplicates(documents(spark, rows, extra=False)).collect()}
+    assert got == dict.fromkeys(range(120, 160), 120)
+
+
 def test_pigeonring_never_drops_a_pair_within_distance():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 2**63, (4000, 4)).astype(np.uint64)
