@@ -5,9 +5,9 @@ other characters as one space), weighted by inverse document frequency over all
 documents and scaled to length one. Each language has several centroids, found by
 spherical k-means on at most ``PER_LANGUAGE`` labelled documents (the one bounded
 sample here; it is drawn by hash from all sources). The nearest centroid by cosine
-gives the language. A text is rejected if it is further from it than any labelled text
-of its length may be expected: more than ``SPREAD`` deviations below the mean cosine of
-pieces of that length cut from the sample.
+gives the language. A text is rejected if its cosine is lower than all but a share
+``REJECT`` of those that pieces of its length, cut from the sample, have; a length with
+fewer than ``ENOUGH`` pieces takes those of the next shorter lengths in as well.
 
 Defined results: a text without letters (null, empty, only signs or digits) has
 language null, similarity 0 and is rejected; ties go to the first language in order
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ragloom.llm import kernel as K
 
 SIZE = 4096
-PER_LANGUAGE, CENTROIDS, SPREAD = 600, 3, 6.0
+PER_LANGUAGE, CENTROIDS, REJECT, ENOUGH = 600, 3, 0.005, 20
 _ROWS = 256
 
 
@@ -130,7 +130,7 @@ def sample_labelled(docs: DataFrame, per_language: int, lang: str = "lang") -> l
     return out
 
 
-def fit(labelled: list[tuple[str, str]], df: np.ndarray, n_docs: int, k: int = CENTROIDS, spread: float = SPREAD) -> Model:
+def fit(labelled: list[tuple[str, str]], df: np.ndarray, n_docs: int, k: int = CENTROIDS, reject: float = REJECT) -> Model:
     idf = (np.log((1 + n_docs) / (1 + df)) + 1e-3).astype(np.float32)
     names = sorted({name for name, _ in labelled})
 
@@ -160,18 +160,15 @@ def fit(labelled: list[tuple[str, str]], df: np.ndarray, n_docs: int, k: int = C
             size.append(_length_class(pn))
         best, size = np.concatenate(best), np.concatenate(size)
         for c in range(64):
-            here = best[size == c]
-            if len(here) >= 20:
-                least[c] = max(0.0, here.mean() - spread * here.std())
-            elif c:
-                least[c] = least[c - 1]
-        least = np.minimum.accumulate(least[::-1])[::-1]  # longer texts are held to no less than shorter ones
+            near = np.where(size > c, 64 + size, c - size)  # own length, then shorter ones, then longer ones
+            reach = np.sort(near)[min(ENOUGH, len(near)) - 1]
+            least[c] = np.quantile(best[near <= reach], reject, method="lower") - 1e-5  # sums differ by batch
     return Model(names, idf, centroids, np.array(language_of, np.int64), least)
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE, k: int = CENTROIDS, spread: float = SPREAD) -> Model:
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, k: int = CENTROIDS, reject: float = REJECT) -> Model:
     df, n = gram_document_frequency(docs)
-    return fit(sample_labelled(docs, per_language), df, n, k, spread)
+    return fit(sample_labelled(docs, per_language), df, n, k, reject)
 
 
 def classify(text: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -265,6 +265,23 @@ def test_languages_of_held_out_texts(spark, docs, none):
     assert langid.keep_identified(none).count() == 0 and langid.identify(none, model).count() == 0
 
 
+def test_foreign_texts_are_rejected_by_a_model_of_the_tables(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.train(table)
+    rng = random.Random(5)
+    foreign = [
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью",
+        "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler",
+        "人人生而自由，在尊严和权利上一律平等。他们赋有理性和良心，并应以兄弟关系的精神相对待。",
+        " ".join("".join(rng.choices("bcdfjklmpqvwxyz", k=6)) for _ in range(50)),
+    ]
+    texts = pa.array([t for f in foreign for t in (f, f"{f} {f}")])
+    assert not langid.classify(K.strings(texts), model)[2].any()
+    assert langid.identify(table, model).agg(F.avg(F.col("accepted").cast("int"))).first()[0] >= 0.98
+
+
 def test_urls_by_looking_at_every_entry(spark):
     day = "2024-01-{:02d} 00:00:00"
     entries = [("evil.com", "spam", "add", day.format(5)), ("evil.com", "spam", "remove", day.format(10)), ("evil.com", "spam", "add", day.format(10)), ("a.org/x", "adult", "add", day.format(3))]
