@@ -5,8 +5,8 @@
    table. The 256-bit SimHash is the majority of their hash bits. (With ``common``, which
    no query sets, words that more than this share of all documents hold do not count.)
 2. Documents of one SimHash become one node, however many copies there are.
-3. The bits, shuffled in ``RINGS`` ways, form rings of segments about as wide as the
-   logarithm of the number of nodes. Nodes that agree in a segment are brought
+3. The bits, shuffled in several ways, form rings of segments, 16 bits wide up to a million
+   nodes and up to 18 beyond; there are as many rings as the recall needs at that width. Nodes that agree in a segment are brought
    together by one sort; within such a bucket nodes are compared with leaders:
    those within the distance of a leader are linked to it, so no pair of theirs
    needs a look of its own, and the next leader is compared with all.
@@ -16,7 +16,8 @@
 5. Links are closed to groups by connected components.
 
 Step 3 is approximate: a pair at distance d meets with probability
-1 - (1 - (1 - d/256)^width)^tables; tests hold recall against brute force to 0.9.
+1 - (1 - (1 - d/256)^width)^tables, which is at least ``RECALL`` at d = distance, whatever
+the number of nodes; wider segments would need more tables than the disk holds.
 
 Defined results: documents without words (null, empty or only signs) are never
 grouped; if with ``common`` no word of a document is left, all count; repeated
@@ -38,8 +39,8 @@ from ragloom.llm import kernel as K
 from ragloom.llm.common import checkpointed, doc_key, named
 from ragloom.llm.components import components
 
-BITS, RINGS = 256, 4
-DISTANCE = 52
+BITS = 256
+DISTANCE, RECALL = 52, 0.9
 _SEEDS = [np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89)]
 _LOW = np.uint64((1 << 44) - 1)
 _SHIFT = np.uint64(44)
@@ -147,26 +148,37 @@ def signatures(docs: DataFrame, stop: np.ndarray | None = None, id_column: str =
 
 
 def segment_width(nodes: int) -> int:
-    """Bits of a segment: chance agreement then stays about one partner a segment at every size."""
-    return min(48, max(16, math.ceil(math.log2(max(2, nodes)))))
+    """Bits of a segment. A bit more halves chance partners at best, but takes a quarter more tables."""
+    return min(18, max(16, math.ceil(math.log2(max(2, nodes))) - 4))
 
 
-def _rings(width: int) -> list[np.ndarray]:
+def ring_count(width: int, distance: int) -> int:
+    """Rings of segments of this width that let a pair at distance agree in a segment with RECALL."""
+    missed = math.log1p(-((1 - min(distance, BITS - 1) / BITS) ** width))
+    return math.ceil(math.log(1 - RECALL) / missed / (BITS // width)) if distance else 1
+
+
+def _rings(width: int, distance: int) -> list[np.ndarray]:
     order = np.random.default_rng(20_240_229)
     per = BITS // width
-    return [p[k * width : (k + 1) * width] for p in (order.permutation(BITS) for _ in range(RINGS)) for k in range(per)]
+    shuffled = (order.permutation(BITS) for _ in range(ring_count(width, distance)))
+    return [p[k * width : (k + 1) * width] for p in shuffled for k in range(per)]
 
 
 def chain_viable(differ: np.ndarray, distance: int, length: int = 4) -> np.ndarray:
     """Pigeonring: is there a start on the ring of m segments from which every chain of
     l <= length segments differs in at most l * distance / m bits? differ: (pairs, m)."""
     m = differ.shape[1]
+    viable = (differ <= distance // m).any(1)
+    rows = np.flatnonzero(viable)  # most pairs have no chain of one segment
+    differ = differ[rows]
     good = np.ones(differ.shape, bool)
-    total = np.zeros(differ.shape, np.int32)
+    total = np.zeros(differ.shape, np.uint16)
     for step in range(1, min(length, m) + 1):
         total += np.roll(differ, 1 - step, axis=1)
-        good &= total * m <= step * distance
-    return good.any(1)
+        good &= total <= step * distance // m
+    viable[rows] = good.any(1)
+    return viable
 
 
 def hamming_within(a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
@@ -174,7 +186,7 @@ def hamming_within(a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
     out = np.full(len(a), -1, np.int64)
     x = np.ascontiguousarray(a ^ b)
     differ = np.bitwise_count(x.view(np.uint16).reshape(len(x), -1))
-    ok = np.flatnonzero(chain_viable(differ.astype(np.int32), distance)) if len(x) else np.zeros(0, np.int64)
+    ok = np.flatnonzero(chain_viable(differ, distance)) if len(x) else np.zeros(0, np.int64)
     d = np.bitwise_count(x[ok]).sum(1).astype(np.int64)
     out[ok[d <= distance]] = d[d <= distance]
     return out
@@ -208,7 +220,7 @@ def _links(key: np.ndarray, node: np.ndarray, sig: np.ndarray, distance: int) ->
 
 def links(nodes: DataFrame, count: int, distance: int = DISTANCE) -> DataFrame:
     """(a, b) links between nodes (node, s0..s3) within distance."""
-    rings = _rings(segment_width(count))
+    rings = _rings(segment_width(count), distance)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
