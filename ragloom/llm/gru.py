@@ -1,7 +1,9 @@
 """Operator 5: log-likelihood of whole documents under a gated recurrent language model.
 
-The vocabulary is the ``VOCABULARY`` - 1 most frequent words of all documents, every other
-word being one symbol. Words fall into classes of about equal frequency (frequent ones alone), and
+The vocabulary is the ``VOCABULARY`` - 1 most frequent words of all documents and a symbol for
+any other word. Such a word is spelled: its probability is that of the symbol times those of its
+bytes (case folded), each given the one before, and of its end, counted over every such word
+of the corpus. So every word of a text bears on its likelihood. Words fall into classes of about equal frequency (frequent ones alone), and
 P(word) = P(class) P(word | class), so a step costs some dozens of outputs instead of all. The model is a
 gated recurrent unit in numpy, trained by backpropagation truncated to windows of ``WINDOW``
 words over every document of the corpus: in each of ``ROUNDS`` rounds every task starts from the
@@ -56,6 +58,48 @@ class Vocabulary(NamedTuple):
         return len(self.class_of)
 
 
+def byte_pairs(text: pa.Array, w: K.Words, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a byte and the one before of words ``rows``, as 257 * before + byte, and the pairs of each word;
+    256 stands before the first byte and after the last."""
+    low = K.fold(K.raw(text)[0])
+    size = w.end[rows] - w.start[rows] + 1
+    first = np.cumsum(size) - size
+    at = np.arange(int(size.sum())) + np.repeat(w.start[rows] - first, size)
+    byte = low[np.minimum(at, len(low) - 1)].astype(np.int64)
+    byte[first + size - 1] = 256
+    before = np.empty_like(byte)
+    before[1:] = byte[:-1]
+    before[first] = 256
+    return before * 257 + byte, size
+
+
+def spelling_counts(docs: DataFrame, v: Vocabulary) -> np.ndarray:
+    """How often each pair of bytes occurs in the words outside the vocabulary, over all documents."""
+    shared = docs.sparkSession.sparkContext.broadcast(v)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(257 * 257, np.int64)
+        for batch in batches:
+            for _, part in K.chunks(K.strings(batch.column(0))):
+                w = K.words(part)
+                pair, _ = byte_pairs(part, w, np.flatnonzero(symbols_of(w.hash, shared.value) == shared.value.unknown))
+                total += np.bincount(pair, minlength=len(total))
+        pair = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(total[pair])], ["pair", "part"])
+
+    out = np.zeros(257 * 257, np.int64)
+    for pair, n in docs.select("text").mapInArrow(count, "pair long, part long").groupBy("pair").agg(F.sum("part")).collect():
+        out[pair] = n
+    return out
+
+
+def spelling(pairs: np.ndarray) -> np.ndarray:
+    """Log-probability of each byte after each other: counts smoothed by those of the byte alone, and these by one."""
+    n = pairs.reshape(257, 257).astype(float)
+    alone = (n.sum(0) + 1) / (n.sum() + 257)
+    return np.log((n + alone) / (n.sum(1, keepdims=True) + 1)).astype(np.float32).reshape(-1)
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n) of every word of all documents."""
 
@@ -128,8 +172,9 @@ def symbols_of(h: np.ndarray, v: Vocabulary) -> np.ndarray:
 class Model:
     """Weights, as views of one flat vector."""
 
-    def __init__(self, v: Vocabulary, hidden: int = HIDDEN, flat: np.ndarray | None = None) -> None:
+    def __init__(self, v: Vocabulary, hidden: int = HIDDEN, flat: np.ndarray | None = None, spelled: np.ndarray | None = None) -> None:
         self.v, self.h = v, hidden
+        self.spelled = spelling(np.zeros(257 * 257)) if spelled is None else spelled
         classes = len(v.class_end)
         shapes = [(v.size + 1, 3 * hidden), (hidden, 3 * hidden), (hidden, classes), (classes,), (hidden, v.size), (v.size,)]
         sizes = [int(np.prod(s)) for s in shapes]
@@ -329,22 +374,32 @@ def learn_lanes(model: Model, lanes: Lanes, squares: np.ndarray, rate: float = R
     return seen_words
 
 
-def _packed(batches: Iterator[pa.RecordBatch], v: Vocabulary, column: int, batch_bytes: int = BATCH) -> Iterator[tuple[pa.Table | None, np.ndarray, np.ndarray]]:
-    """(columns before the text, symbols, offsets) of some megabytes of documents at a time."""
-    rows, ids, sizes, total = [], [], [], 0
+def _packed(batches: Iterator[pa.RecordBatch], v: Vocabulary, column: int, batch_bytes: int = BATCH, spelled: np.ndarray | None = None) -> Iterator[tuple[pa.Table | None, np.ndarray, np.ndarray, np.ndarray]]:
+    """(columns before the text, symbols, offsets, log-probability of spellings) of some megabytes of documents at a time."""
+    rows, ids, sizes, spells, total = [], [], [], [], 0
+
+    def out() -> tuple[pa.Table | None, np.ndarray, np.ndarray, np.ndarray]:
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+        return pa.Table.from_batches(rows) if column else None, np.concatenate(ids), offsets, np.concatenate(spells)
+
     for batch in batches:
         text = K.strings(batch.column(column))
         for at, part in K.chunks(text):
             w = K.words(part)
             ids.append(symbols_of(w.hash, v))
             sizes.append(np.diff(w.offsets))
+            spells.append(np.zeros(len(part)))
+            if spelled is not None:
+                other = np.flatnonzero(ids[-1] == v.unknown)
+                pair, size = byte_pairs(part, w, other)
+                spells[-1] += np.bincount(np.repeat(w.doc[other], size), spelled[pair], len(part))
             rows.append(batch.select(range(column)).slice(at, len(part)))
             total += len(K.raw(part)[0]) + 32 * len(part)
             if total >= batch_bytes:
-                yield pa.Table.from_batches(rows) if column else None, np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
-                rows, ids, sizes, total = [], [], [], 0
+                yield out()
+                rows, ids, sizes, spells, total = [], [], [], [], 0
     if ids:
-        yield pa.Table.from_batches(rows) if column else None, np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+        yield out()
 
 
 def averaged(parts: DataFrame) -> np.ndarray | None:
@@ -375,7 +430,8 @@ def train(docs: DataFrame, vocabulary: int = VOCABULARY, rounds: tuple[float, ..
     counts = checkpointed(word_counts(docs))
     top = counts.orderBy(F.desc("n"), "word").limit(vocabulary - 1).collect()
     all_words = counts.agg(F.sum("n")).first()[0] or 0
-    model = Model(make_vocabulary([(r.word, r.n) for r in top], all_words), hidden)
+    v = make_vocabulary([(r.word, r.n) for r in top], all_words)
+    model = Model(v, hidden, spelled=spelling(spelling_counts(docs, v)))
     spark, edges = docs.sparkSession, np.concatenate([[0.0], np.cumsum(rounds)])
     share = F.pmod(F.xxhash64(F.lit(5), "text"), F.lit(1 << 20)) / (1 << 20)
     for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
@@ -386,27 +442,27 @@ def train(docs: DataFrame, vocabulary: int = VOCABULARY, rounds: tuple[float, ..
             v, hidden, flat = shared.value
             own = Model(v, hidden, flat.copy())
             squares, n = np.zeros_like(own.flat), 0
-            for _, ids, offsets in _packed(batches, v, 0):
+            for _, ids, offsets, _ in _packed(batches, v, 0):
                 n += learn_lanes(own, pack(ids, offsets, v.size), squares)
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array([float(n)]), pa.array([own.flat.tobytes()], pa.binary())], ["n", "weights"])
 
         flat = averaged(inside.mapInArrow(learn, "n double, weights binary"))
         if flat is not None:
-            model = Model(model.v, hidden, flat.astype(np.float32))
+            model = Model(model.v, hidden, flat.astype(np.float32), model.spelled)
     return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, n_words, log_likelihood, mean_log_likelihood) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.v, model.h, model.flat))
+    shared = docs.sparkSession.sparkContext.broadcast((model.v, model.h, model.flat, model.spelled))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, hidden, flat = shared.value
-        own = Model(v, hidden, flat)
-        for rows, ids, offsets in _packed(batches, v, 1):
+        v, hidden, flat, spelled = shared.value
+        own = Model(v, hidden, flat, spelled)
+        for rows, ids, offsets, spells in _packed(batches, v, 1, spelled=spelled):
             n = np.diff(offsets)
-            total = score_lanes(own, pack(ids, offsets, v.size), len(n))
+            total = score_lanes(own, pack(ids, offsets, v.size), len(n)) + spells
             mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
             yield pa.RecordBatch.from_arrays(
                 [pa.concat_arrays(rows.column(0).chunks), pa.array(n), pa.array(total), mean],

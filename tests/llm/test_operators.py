@@ -240,6 +240,24 @@ def test_language_model_learns_and_scores_whole_texts(spark, rows, docs, none):
     assert gru.score(none, gru.train(none)).count() == 0
 
 
+def test_words_outside_the_vocabulary_are_scored_by_their_letters(spark):
+    train = documents(spark, [(i, prose(random.Random(i), 300), "en", "s") for i in range(30)], extra=False)
+    model = gru.train(train, 40)
+    rng = random.Random(9)
+    unseen = [w for w in prose(rng, 4000).lower().replace(".", "").split() if len(w) > 6][:200]
+    gibberish = ["".join(rng.choices("bcdfjklmpqvxyz", k=len(w))) for w in unseen]
+    pairs = documents(spark, [(0, " ".join(unseen), "en", "s"), (1, " ".join(gibberish), "en", "s"), (2, "Hxqz", "en", "s"), (3, "hXQZ\n", "en", "s")], extra=False)
+    got = {r.doc_id: r.mean_log_likelihood for r in gru.score(pairs, model).collect()}
+    assert got[0] > got[1] + 5
+    assert got[2] == pytest.approx(got[3])
+    p = np.exp(model.spelled.reshape(257, 257).astype(float))
+    assert np.allclose(p.sum(1), 1, atol=1e-4)
+    word = b"hxqz"
+    spelled = sum(float(model.spelled[a * 257 + b]) for a, b in zip([256, *word], [*word, 256], strict=True))
+    bare = gru.Model(model.v, model.h, model.flat, np.zeros(257 * 257))
+    assert got[2] - gru.score(pairs.where("doc_id = 2"), bare).first().log_likelihood == pytest.approx(spelled, abs=1e-3)
+
+
 def test_quality_thresholds_are_exact_binomial_bounds(spark, docs, none):
     for k, n, p in ((0, 10, 0.1), (3, 50, 0.02), (7, 20, 0.4), (20, 20, 0.5)):
         exact = sum(math.comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k + 1))
