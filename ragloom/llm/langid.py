@@ -21,7 +21,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragloom.llm import kernel as K
@@ -110,24 +110,20 @@ def k_means(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
 
 
 def sample_labelled(docs: DataFrame, per_language: int, lang: str = "lang") -> list[tuple[str, str]]:
-    """About per_language labelled texts of every language, at most that many, by hash of the text."""
-    share = {r[0]: min(1.0, 1.2 * per_language / r[1]) for r in docs.where(F.col(lang).isNotNull()).groupBy(lang).count().collect()}
-    if not share:
+    """The per_language distinct labelled texts of every language that have the least hashes, all if there are fewer."""
+    named = docs.where(F.col(lang).isNotNull() & (F.length("text") > 0)).select(F.col(lang).alias("lang"), F.xxhash64("text").alias("h"), "text")
+    total = {r[0]: r[1] for r in named.groupBy("lang").agg(F.approx_count_distinct("h", 0.02)).collect()}
+    if not total:
         return []
-    pick = F.lit(0.0)
-    for name, s in share.items():
-        pick = F.when(F.col(lang) == name, F.lit(s)).otherwise(pick)
-    h = F.pmod(F.xxhash64("text"), F.lit(1_000_000))
-    rows = docs.select(F.col(lang).alias("lang"), "text", h.alias("h")).where(
-        F.col("lang").isNotNull() & (F.length("text") > 0) & (F.col("h") < pick * 1_000_000)
-    ).dropDuplicates(["h", "lang"])
-    rows = rows.collect()
-    out, seen = [], {}
-    for name, text, _ in sorted(rows, key=lambda r: (r[2], r[0], r[1])):
-        seen[name] = seen.get(name, 0) + 1
-        if seen[name] <= per_language:
-            out.append((name, text))
-    return out
+    # Hashes up to a bound that leaves twice as many as needed; a window then takes the least ones exactly.
+    bound = F.lit((1 << 63) - 1)
+    for name, n in total.items():
+        if n > 2 * per_language + 100:
+            bound = F.when(F.col("lang") == name, F.lit(int((2 * per_language + 100) / n * 2**64) - 2**63)).otherwise(bound)
+    least = named.where(F.col("h") <= bound).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    rows = least.withColumn("place", place).where(F.col("place") <= per_language).select("h", "lang", "text").collect()
+    return [(r.lang, r.text) for r in sorted(rows)]
 
 
 def fit(labelled: list[tuple[str, str]], df: np.ndarray, n_docs: int, k: int = CENTROIDS, reject: float = REJECT) -> Model:

@@ -315,6 +315,15 @@ def test_foreign_texts_are_rejected_by_a_model_of_the_tables(spark):
     assert langid.identify(table, model).agg(F.avg(F.col("accepted").cast("int"))).first()[0] >= 0.98
 
 
+def test_sample_of_languages_is_full_however_many_rows(spark):
+    many = spark.range(3_000_000, numPartitions=8).select(F.concat(F.lit("text "), F.col("id")).alias("text"), F.lit("en").alias("lang"))
+    few = spark.range(50).select(F.concat(F.lit("wort "), F.col("id") % 40).alias("text"), F.lit("de").alias("lang"))
+    got = langid.sample_labelled(many.union(few), 600)
+    assert Counter(name for name, _ in got) == {"en": 600, "de": 40} and len(set(got)) == 640
+    least = many.orderBy(F.xxhash64("text")).limit(600).collect()
+    assert {t for name, t in got if name == "en"} == {r.text for r in least}
+
+
 def test_urls_by_looking_at_every_entry(spark):
     day = "2024-01-{:02d} 00:00:00"
     entries = [("evil.com", "spam", "add", day.format(5)), ("evil.com", "spam", "remove", day.format(10)), ("evil.com", "spam", "add", day.format(10)), ("a.org/x", "adult", "add", day.format(3))]
