@@ -450,3 +450,17 @@ def test_pipeline_stages_keep_columns_and_clean_documents(spark, rows, docs, non
     assert set(seen["mixture"][0]) == set(seen["mixture"][1])
     for _, _, after in staged(spark, none, str(tmp_path)):
         assert after.count() == 0
+
+
+def test_pipeline_rereads_each_stage_from_parquet(spark, docs, tmp_path, monkeypatch):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    inputs = []
+
+    def stage(spark, docs, sf_dir):
+        inputs.append(docs.inputFiles())
+        return docs.where("doc_id < 10")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("one", stage), ("two", stage)])
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == docs.columns and out.count() == 10
+    assert all("/one/" in f for f in inputs[1]) and all("/two/" in f for f in out.inputFiles())
