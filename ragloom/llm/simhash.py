@@ -8,8 +8,8 @@
 3. The bits, shuffled in several ways, form rings of segments, 16 bits wide up to a million
    nodes and up to 18 beyond; there are as many rings as the recall needs at that width. Nodes that agree in a segment are brought
    together by one sort; within such a bucket nodes are compared with leaders:
-   those within the distance of a leader are linked to it, so no pair of theirs
-   needs a look of its own, and the next leader is compared with all.
+   those within the distance of a leader are linked to it, and the next leader is compared
+   with all. Nodes linked to different leaders are not compared (see ``_links``).
 4. Before the full Hamming distance, the pigeonring test must hold: among the
    segments on the ring some chain has every prefix of l segments differ in at
    most l * distance / m bits. It is necessary for a total within distance.
@@ -194,7 +194,8 @@ def hamming_within(a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
 
 def _links(key: np.ndarray, node: np.ndarray, sig: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Links within buckets (rows sorted by key). Each round one more leader of every bucket that has nodes without
-    one is compared with all nodes of the bucket, so every pair within distance ends up in one component."""
+    one is compared with all nodes of the bucket. Two nodes linked to different leaders are not compared with each other:
+    where no leader is near both, nor the leaders joined otherwise, such a pair is lost in this bucket."""
     a, b = [], []
     start = K.run_starts(key)
     size = np.diff(np.append(start, len(key)))
