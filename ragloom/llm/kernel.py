@@ -1,10 +1,14 @@
 """Vectorised text kernel shared by the training-data operators.
 
 A *word* is a maximal run of ASCII letters or digits and of non-ASCII letters;
-ASCII punctuation, the Latin-1 signs U+0080..U+00BF and the general
-punctuation block U+2000..U+207F and U+3000..U+303F separate words. Case is folded for ASCII
-and Latin-1 letters, byte for byte, so byte offsets are those of the original
-text. Words are known by a 64-bit polynomial hash: two different words are
+ASCII punctuation, the Latin-1 signs U+0080..U+00BF, the general
+punctuation blocks U+2000..U+207F and U+3000..U+303F and full-width signs separate words.
+In scripts that put no spaces between words (Han, kana, Thai, Lao, Myanmar, Khmer) each
+character is a word of its own. Case is folded for letters of every script up to U+FFFF whose
+folded form takes as many bytes, so byte offsets are those of the original
+text (a few dozen letters, such as the Turkish capital dotted I, stay as they are). Texts are compared
+as they are composed: a letter with a combining accent is not the letter that has it built in.
+Words are known by a 64-bit polynomial hash: two different words are
 taken for one with a chance of about 2**-64 a pair.
 
 Everything works on whole texts. A null text counts as an empty one.
@@ -77,26 +81,66 @@ def raw(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[off[0] : off[-1]], off - off[0]
 
 
+def _folded(code: int) -> int:
+    """The folded form of a code point, where it is one that takes as many bytes."""
+    for form in (chr(code).casefold(), chr(code).lower()):
+        if len(form) == 1 and len(form.encode("utf-8", "surrogatepass")) == len(chr(code).encode("utf-8", "surrogatepass")):
+            return ord(form)
+    return code
+
+
+def _blocks(*spans: tuple[int, int]) -> np.ndarray:
+    out = np.zeros(1 << 16, bool)
+    for lo, hi in spans:
+        out[lo : hi + 1] = True
+    return out
+
+
+_LOWER = np.array([_folded(c) for c in range(1 << 16)], np.int32)
+_SIGN = _blocks((0x2000, 0x207F), (0x3000, 0x303F), (0xFF01, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65))
+#: Characters of scripts without spaces. Beyond U+FFFF all from U+20000 on are.
+_ALONE = _blocks((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF))
+
+
+def _three(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where characters of three bytes begin, and their code points."""
+    at = np.flatnonzero((b >= 0xE0) & (b < 0xF0))
+    if not len(at):
+        return at, at
+    code = ((b[at] & 0x0F).astype(np.int64) << 12) | ((b[at + 1] & 0x3F).astype(np.int64) << 6) | (b[at + 2] & 0x3F)
+    return at, code
+
+
 def fold(b: np.ndarray) -> np.ndarray:
-    """Lower case of ASCII and Latin-1 letters, byte for byte."""
+    """Case folded, byte for byte."""
     out = _FOLD[b]
-    lead = np.flatnonzero(b[:-1] == 0xC3) if len(b) else []
-    if len(lead):
-        c = b[lead + 1]
-        up = lead[(c >= 0x80) & (c <= 0x9E) & (c != 0x97)] + 1
-        out[up] += 0x20
+    two = np.flatnonzero((b >= 0xC3) & (b < 0xE0)) if len(b) else np.zeros(0, np.int64)
+    if len(two):
+        code = ((b[two] & 0x1F).astype(np.int64) << 6) | (b[two + 1] & 0x3F)
+        new = _LOWER[code]
+        up = new != code
+        two, new = two[up], new[up]
+        out[two] = 0xC0 | (new >> 6)
+        out[two + 1] = 0x80 | (new & 0x3F)
+    at, code = _three(b)
+    if len(at):
+        new = _LOWER[code]
+        up = new != code
+        at, new = at[up], new[up]
+        out[at] = 0xE0 | (new >> 12)
+        out[at + 1] = 0x80 | ((new >> 6) & 0x3F)
+        out[at + 2] = 0x80 | (new & 0x3F)
     return out
 
 
 def word_mask(low: np.ndarray, letters: bool = False) -> np.ndarray:
     """Which bytes of folded text belong to words (letters: digits do not)."""
     is_word = (_LETTER if letters else _WORD)[low]
-    if len(low) > 2:
-        wide = np.flatnonzero((low[:-2] == 0xE2) | (low[:-2] == 0xE3))
-        c = low[wide + 1]
-        wide = wide[((low[wide] == 0xE2) & ((c == 0x80) | (c == 0x81))) | ((low[wide] == 0xE3) & (c == 0x80))]
+    at, code = _three(low)
+    if len(at):
+        at = at[_SIGN[code]]
         for k in range(3):
-            is_word[wide + k] = False
+            is_word[at + k] = False
     if len(low) > 1:
         two = np.flatnonzero(low[:-1] == 0xC2)
         c = low[two + 1]
@@ -105,6 +149,18 @@ def word_mask(low: np.ndarray, letters: bool = False) -> np.ndarray:
     return is_word
 
 
+def _word_edges(low: np.ndarray, edge: np.ndarray) -> None:
+    """Marks in edge where a character that is a word of its own begins, and where it ends."""
+    at, code = _three(low)
+    if len(at):
+        at = at[_ALONE[code]]
+        edge[at] = edge[at + 3] = True
+    four = np.flatnonzero(low >= 0xF0)
+    if len(four):
+        four = four[(low[four] > 0xF0) | (low[four + 1] >= 0xA0)]
+        edge[four] = edge[four + 4] = True
+
+
 class Words(NamedTuple):
     """The words of several texts: hash, first byte and end byte in the chunk, and where each text's words begin."""
 
@@ -126,6 +182,7 @@ def words(arr: pa.Array) -> Words:
     is_word = word_mask(low)
     first = np.zeros(n + 1, bool)
     first[off] = True
+    _word_edges(low, first)
     start = is_word.copy()
     start[1:] &= ~is_word[:-1] | first[1:n]
     end = is_word.copy()

@@ -8,11 +8,12 @@ from hypothesis import strategies as st
 from ragloom.llm import decontam, gru, suffix, toxicity
 from ragloom.llm import kernel as K
 
-LETTERS = st.text(alphabet="aBé Ñ.,\n“x1日", max_size=60)
+LETTERS = st.text(alphabet="aBé Ñ.,\n“x1日МмĐđẾếΣσの，𠀀𝒳ก", max_size=60)
+ALONE = "[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]"
 
 
 def norm(text):
-    return re.findall(r"[^\W_]+", text.lower())
+    return re.findall(rf"{ALONE}|(?:(?!{ALONE})[^\W_])+", "".join(c.lower() for c in text))
 
 
 @settings(max_examples=200, deadline=None)
@@ -25,13 +26,23 @@ def test_words_are_runs_of_letters_and_digits(texts):
         lo, hi = w.offsets[i], w.offsets[i + 1]
         assert hi - lo == len(want)
         data = b"".join(t.encode() for t in texts)
-        got = [data[a:b].decode().lower() for a, b in zip(w.start[lo:hi], w.end[lo:hi], strict=True)]
+        got = ["".join(c.lower() for c in data[a:b].decode()) for a, b in zip(w.start[lo:hi], w.end[lo:hi], strict=True)]
         assert got == want
         for word, h in zip(want, w.hash[lo:hi].tolist(), strict=True):
             assert seen.setdefault(word, h) == h
     assert len(set(seen.values())) == len(seen)
 
 
+def test_case_is_folded_in_every_script():
+    pairs = ["МАМА мама", "ĐĂNG KÝ HỌC đăng ký học", "ΣΟΦΟΣ σοφος", "ÉCOLE école", "ŁÓDŹ łódź", "ԱԲԳ աբգ"]
+    for text in pairs:
+        w = K.words(K.strings(pa.array([text])))
+        half = len(w.hash) // 2
+        assert half and w.hash[:half].tolist() == w.hash[half:].tolist(), text
+    assert len(K.words(K.strings(pa.array(["人人生而自由，在尊严。"]))).hash) == 9
+    assert len(K.words(K.strings(pa.array(["ภาษา ok"]))).hash) == 5
+
+
 def test_chunks_cover_every_row_once(monkeypatch):
     monkeypatch.setattr(K, "CHUNK", 10)
     arr = K.strings(pa.array(["a" * 50, "", "bb", None, "c" * 9, "d" * 30]))
