@@ -3,7 +3,7 @@
 A list is a log of dated entries: a pattern (a host, which covers its subdomains, or a host with a
 path, which covers what lies below) is added to a category or removed from it. Entries become
 validity intervals that end where the next entry of the same pattern and category begins. A capture asks for all
-hosts and paths above its URL; an equi-join on the pattern with the interval around its fetch time gives the
+hosts and paths above its URL (hosts without case, paths with it); an equi-join on the pattern with the interval around its fetch time gives the
 entries that were active then, never those of another day. Both sides are shuffled by
 pattern unless the list is small enough for Spark to broadcast by its own size limit; hosts with very many captures
 are left to adaptive skew joins.
@@ -11,6 +11,8 @@ are left to adaptive skew joins.
 Defined results: a URL that is null or has no host has host null and no entries; a null fetch time or
 entry date is at no time, and such entries are dropped, as are null patterns; of entries of one pattern, category and date a
 removal counts last; equal entries count once; repeated captures each have their row; order in the list is irrelevant.
+An empty URL is one without host; a URL of any length asks for all the paths above it; without captures there are no rows, with
+an empty list nothing is blocked; other columns of either side are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -45,10 +47,17 @@ def patterns_above(url: Column) -> Column:
     return F.when(host.isNotNull(), F.array_distinct(F.concat(domains, paths)))
 
 
+def normal_pattern(pattern: Column) -> Column:
+    """The pattern with its host in lower case, without dots after the host and slashes at the end; the path keeps its case."""
+    host = F.substring_index(pattern, "/", 1)
+    path = F.substring(pattern, F.length(host) + 1, F.length(pattern))
+    return F.concat(F.regexp_replace(F.lower(host), r"\.+$", ""), F.regexp_replace(path, "/+$", ""))
+
+
 def intervals(entries: DataFrame) -> DataFrame:
     """(pattern, category, valid_from, valid_to) from (pattern, category, action, dated); valid_to null: still active."""
     e = entries.where("pattern is not null and dated is not null and action in ('add', 'remove')").select(
-        F.regexp_replace(F.lower("pattern"), "[./]+$", "").alias("pattern"), "category", "action", "dated"
+        normal_pattern(F.col("pattern")).alias("pattern"), "category", "action", "dated"
     )
     # One entry a date; 'remove' > 'add'.
     e = e.groupBy("pattern", "category", "dated").agg(F.max("action").alias("action"))
@@ -126,7 +135,7 @@ logs AS (
   SELECT pattern, category, 'add' AS action, m % 180 AS day FROM named
   UNION ALL SELECT pattern, category, 'remove', m % 180 + 45 + m % 60 FROM named WHERE m % 4 < 3
   UNION ALL SELECT pattern, category, 'add', m % 180 + 150 FROM named WHERE m % 4 = 1),
-dated AS (SELECT rtrim(lower(pattern), './') AS pattern, category, make_timestamp((1704067200 + day * 86400) * 1000000) AS dated, max(action) AS action FROM logs GROUP BY ALL),
+dated AS (SELECT rtrim(lower(split_part(pattern, '/', 1)), '.') || rtrim(substring(pattern, length(split_part(pattern, '/', 1)) + 1), '/') AS pattern, category, make_timestamp((1704067200 + day * 86400) * 1000000) AS dated, max(action) AS action FROM logs GROUP BY ALL),
 valid AS (SELECT *, lead(dated) OVER (PARTITION BY pattern, category ORDER BY dated) AS valid_to FROM dated),
 keys AS (
   SELECT page_id, fetched_at, unnest(list_distinct(
