@@ -12,9 +12,12 @@ The mixture is as long as it takes for each source to be used whole: scarcer
 sources repeat (``epoch``), none is lost and the weights hold throughout.
 
 Defined results: a null source counts as the source ''; a null id is ordered as
-the id 0; repeated rows are documents of their own; a source without a given
-weight is an error, a weight without documents is ignored; an empty table gives
-an empty mixture; other columns are ignored.
+the id 0; rows of equal id are in the order of a hash of what they carry, and those equal in all can
+change places unseen; repeated rows are documents of their own; a source without a given
+weight is an error, a weight without documents is ignored; more sources than ``resolution`` / ``PARTS``
+make the period longer, so each has some parts; an empty table gives
+an empty mixture; null, empty and very long texts are carried as they are; other columns are ignored by ``mix``
+and carried by ``mix_texts``.
 """
 
 from __future__ import annotations
@@ -28,6 +31,10 @@ from pyspark.sql import functions as F
 from ragloom.llm.common import named
 
 RESOLUTION, BLOCK_DOCS, ALPHA = 1000, 64, 0.7
+#: Parts a source has at least on average; with more sources than that allows the period grows.
+PARTS = 8
+#: Sources whose slots are broadcast (``PARTS`` longs each); the slots of more are joined by shuffle.
+SOURCES_AT_ONCE = 20_000
 #: Rows that one task numbers; a larger source is numbered by several.
 ROWS_PER_TASK = 200_000
 _MOD = 1 << 32
@@ -99,7 +106,9 @@ def mix(
     if weights is not None and set(n_docs) - set(weights):
         raise ValueError(f"no weight for sources {sorted(set(n_docs) - set(weights))[:5]}")
     wanted = {s: weights[s] for s in n_docs} if weights is not None else tempered(n_docs, alpha)
+    resolution = max(resolution, PARTS * len(wanted)) if len(wanted) > resolution / PARTS else resolution
     parts = whole_weights(wanted, resolution)
+    near = F.broadcast if len(parts) <= SOURCES_AT_ONCE else lambda df: df
     n_blocks = {s: -(-n // block_docs) for s, n in n_docs.items()}
     # Slots until every block has come once, and how many blocks each source has by then.
     period = sum(parts.values())
@@ -120,17 +129,17 @@ def mix(
     )
     # A piece is a range of the shuffled order, so pieces number their rows apart from each other.
     h = F.pmod(F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(_MOD)) * F.lit(1_103_515_245), F.lit(_MOD))
-    spread = named.join(F.broadcast(info.select("source", "pieces")), "source").select(
+    spread = named.join(near(info.select("source", "pieces")), "source").select(
         "source", "doc_id", "carried", h.alias("h"), F.floor(h * F.col("pieces") / F.lit(_MOD)).alias("piece")
     )
     sizes = spread.groupBy("source", "piece").count()
     before = Window.partitionBy("source").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("source", "piece", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
-    own = Window.partitionBy("source", "piece").orderBy("h", F.col("doc_id").asc_nulls_first())
+    own = Window.partitionBy("source", "piece").orderBy("h", F.col("doc_id").asc_nulls_first(), *([_content_hash(docs, carry)] if carry else []))
     numbered = spread.withColumn("n", F.row_number().over(own) - 1).join(sizes, ["source", "piece"])
     at = numbered.withColumn("n", F.col("n") + F.col("before"))
     at = at.withColumn("block", F.expr(f"n div {int(block_docs)}")).withColumn("place", F.expr(f"n % {int(block_docs)}"))
-    each = at.join(F.broadcast(info), "source").where("block < used")
+    each = at.join(near(info), "source").where("block < used")
     each = each.withColumn("epoch", F.explode(F.expr("sequence(0L, (used - 1 - block) div blocks)")))
     g = F.col("epoch") * F.col("blocks") + F.col("block")
     in_period = F.get("slots", F.pmod(g, F.col("parts")).cast("int"))
@@ -145,12 +154,26 @@ def mix(
     )
 
 
+def _content_hash(docs: DataFrame, carry: list[Column]) -> Column:
+    """A hash of what a row carries, without maps, which have no order."""
+    kinds = docs.select(F.struct(*carry).alias("c")).schema["c"].dataType
+    plain = [f.name for f in kinds.fields if "map<" not in f.dataType.simpleString()]
+    return F.xxhash64(*(F.col("carried").getField(n) for n in plain))
+
+
 def mix_texts(docs: DataFrame, rows_per_task: int = 10_000, **how) -> DataFrame:
-    """(slot, place, block, epoch) and the columns of docs, at every slot of a document. Columns of docs so named are left out."""
+    """(slot, place, block, epoch) and the columns of docs, at every slot of a document. A column of docs that is named so comes as given_slot and so on."""
     own = ["slot", "place", "block", "epoch"]
-    names = [n for n in docs.columns if n not in own]
+    names = docs.columns
+    shown = {n: n for n in names if n not in own}
+    for n in own:
+        if n in names:
+            name = f"given_{n}"
+            while name in shown.values():
+                name = f"given_{name}"
+            shown[n] = name
     mixed = mix(docs, rows_per_task=rows_per_task, carry=named(names), **how)
-    return mixed.select(*own, *(F.col("carried").getField(n).alias(n) for n in names))
+    return mixed.select(*own, *(F.col("carried").getField(n).alias(shown[n]) for n in names))
 
 
 def achieved(mixture: DataFrame, parts: dict[str, int]) -> DataFrame:
