@@ -9,11 +9,13 @@ certified to be lower, and the next stricter cutoff is tried. The order needs no
 within a rule; the division by the tests (strata times rules) is Bonferroni's over the others. So with
 confidence 1 - DELTA every stratum loses less than RISK of its good documents.
 
-Scores are built-in expressions; the text is read once.
+Scores are built-in expressions; the text is read once. The bound needs documents drawn apart from each other, so
+equal texts of a stratum count once among the labelled ones; near copies count each.
 
 Defined results: a null or empty text has scores of 0 and is kept; a null language is the
 stratum ''; a stratum with too few labels has no cutoffs and keeps all; a document labelled both good and bad counts as bad;
-repeated rows are judged each and count each.
+repeated rows are judged each; a score at its cutoff is kept; a very long text is scored whole; an empty table gives no rows;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,11 +43,12 @@ def _repeated(text: Column, by: str) -> Column:
 
 
 def scores(docs: DataFrame) -> DataFrame:
-    """(doc_id, stratum, one column a rule) of every row."""
+    """(doc_id, stratum, th, one column a rule) of every row; th is a hash of the text."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("stratum"),
+        F.xxhash64(text).alias("th"),
         _share(text, SIGNS).alias("sign_share"),
         _share(text, CAPITALS).alias("capital_share"),
         _share(text, DIGITS).alias("digit_share"),
@@ -86,9 +89,9 @@ def select_cutoffs(over: dict[tuple[str, str], list[int]], risk: float = RISK, d
 
 
 def cutoffs(scored: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> dict[tuple[str, str], int]:
-    """Cutoffs from all labelled good documents; what reaches the driver is a count a class, rule and stratum."""
+    """Cutoffs from all labelled good documents, equal texts counting once; what reaches the driver is a count a class, rule and stratum."""
     good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
-    held = scored.join(good, "doc_id")
+    held = scored.join(good, "doc_id").dropDuplicates(["stratum", "th"])
     each = held.select("stratum", F.explode(F.array(*(
         F.struct(F.lit(r).alias("rule"), F.ceil(F.col(r) * STEPS).cast("int").alias("step")) for r in RULES
     ))).alias("e"))
@@ -122,8 +125,9 @@ WITH scored AS (
     1.0 - len(list_distinct(string_split(coalesce(text, ''), ' ')))::DOUBLE / len(string_split(coalesce(text, ''), ' ')) AS repeated_words
   FROM documents),
 good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
+once AS (SELECT DISTINCT stratum, t, {", ".join(RULES)} FROM scored JOIN good USING (doc_id)),
 held AS (
-  {" UNION ALL ".join(f"SELECT stratum, '{r}' AS rule, ceil({r} * {STEPS})::INT AS step FROM scored JOIN good USING (doc_id)" for r in RULES)}),
+  {" UNION ALL ".join(f"SELECT stratum, '{r}' AS rule, ceil({r} * {STEPS})::INT AS step FROM once" for r in RULES)}),
 sizes AS (SELECT stratum, rule, count(*) AS n FROM held GROUP BY ALL),
 tested AS (
   SELECT z.stratum, z.rule, z.n, c.cut, (SELECT count(*) FROM sizes) AS tests,

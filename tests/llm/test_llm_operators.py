@@ -129,12 +129,29 @@ def test_mixture_keeps_weights_and_every_document(spark, rows, docs, none):
     many = mixing.mix(docs, block_docs=4, resolution=100, rows_per_task=3)
     assert many.where("epoch = 0").count() == len(rows) and many.select("slot").distinct().count() == len(by_slot)
     texts = mixing.mix_texts(docs)
-    assert texts.columns[:4] == ["slot", "place", "block", "epoch"] and set(texts.columns) == set(docs.columns) and texts.where("text is not null").count() > 0
+    given = {n if n not in ("slot", "place", "block", "epoch") else f"given_{n}" for n in docs.columns}
+    assert texts.columns[:4] == ["slot", "place", "block", "epoch"] and set(texts.columns[4:]) == given and texts.where("text is not null").count() > 0
     assert mixing.mix(none).count() == mixing.mix_texts(none).count() == 0
     with pytest.raises(ValueError):
         mixing.mix(docs, {"s0": 1.0})
 
 
+def test_mixture_of_very_many_sources(spark):
+    rows = [(i, "x", "en", f"s{i % 1500}") for i in range(3000)]
+    mixed = mixing.mix(documents(spark, rows), block_docs=1).collect()
+    assert {(r.source, r.doc_id) for r in mixed} == {(s, i) for i, _, _, s in rows} and len({r.slot for r in mixed}) == len(mixed)
+
+
+def test_mixture_orders_rows_of_equal_id_by_their_content(spark):
+    rows = [(None, f"text {i}", "en", "s") for i in range(40)] + [(7, f"other {i}", "en", "s") for i in range(40)]
+    orders = []
+    for seed in (0, 1):
+        random.Random(seed).shuffle(rows)
+        mixed = mixing.mix_texts(documents(spark, rows).repartition(3 + seed), block_docs=4)
+        orders.append(sorted((r.slot, r.place, r.text) for r in mixed.collect()))
+    assert orders[0] == orders[1] and len(orders[0]) == 80
+
+
 def near_pairs(docs, distance, common):
     signed = simhash.signatures(docs, simhash.common_words(docs, common)).collect()
     sig = np.array([[r.s0, r.s1, r.s2, r.s3] for r in signed], np.int64).view(np.uint64)
@@ -269,6 +286,14 @@ def test_quality_thresholds_are_exact_binomial_bounds(spark, docs, none):
     assert quality.judge(none, labels).count() == 0
 
 
+def test_copies_count_once_for_the_thresholds(spark):
+    good = [(i, prose(random.Random(i), 40), "en", "s") for i in range(40)]
+    copies = [(1000 + i, good[0][1], "en", "s") for i in range(3000)]
+    labels = spark.createDataFrame([(i, 1, 0) for i, *_ in good + copies], "doc_id long, quality int, toxic int")
+    few, many = (quality.cutoffs(quality.scores(documents(spark, r)), labels, 0.3) for r in (good, good + copies))
+    assert few == many
+
+
 def test_quality_cutoffs_hold_their_risk():
     rng = np.random.default_rng(5)
     bad = 0
@@ -328,7 +353,8 @@ def test_urls_by_looking_at_every_entry(spark):
     day = "2024-01-{:02d} 00:00:00"
     entries = [("evil.com", "spam", "add", day.format(5)), ("evil.com", "spam", "remove", day.format(10)), ("evil.com", "spam", "add", day.format(10)), ("a.org/x", "adult", "add", day.format(3))]
     entries += [("evil.com", "spam", "add", day.format(20)), (None, "spam", "add", day.format(1)), ("b.net", "spam", "add", None)] + entries[:1]
-    urls = ["http://evil.com/", "https://sub.EVIL.com:80/a?b", "http://notevil.com", "http://a.org/x/y", "http://a.org/xy", "nonsense", None, "http://b.net/", ""]
+    entries += [("C.org/Foo/", "adult", "add", day.format(4)), ("D.com.", "spam", "add", day.format(4))]
+    urls = ["http://evil.com/", "https://sub.EVIL.com:80/a?b", "http://notevil.com", "http://a.org/x/y", "http://a.org/xy", "nonsense", None, "http://b.net/", "", "http://c.ORG/Foo/x", "http://c.org/foo/x", "http://c.org/Foo", "http://d.com/A"]
     captures = [(i, u, day.format(d) if d else None) for i, (u, d) in enumerate((u, d) for u in urls for d in (2, 5, 9, 10, 15, 20, None))] * 2
     cast = "to_timestamp({})"
     e = spark.createDataFrame(entries, "pattern string, category string, action string, d string").withColumn("dated", F.expr(cast.format("d"))).withColumn("id", F.lit(1))
@@ -342,6 +368,7 @@ def test_urls_by_looking_at_every_entry(spark):
         found = []
         for pattern, category in {(p, k) for p, k, _, _ in entries if p}:
             h, _, below = pattern.partition("/")
+            h, below = h.lower().rstrip("."), below.rstrip("/")
             covers = (host == h and (path + "/").startswith(f"/{below}/")) if below else host == h or host.endswith("." + h)
             log = sorted((d, a) for p, k, a, d in entries if (p, k) == (pattern, category) and d and d <= at)
             if covers and log and log[-1][1] == "add":
