@@ -7,19 +7,24 @@ the later ones; order is by (id, text hash), so the first document keeps its tex
    Neighbouring windows with the same pick form a fragment; equal windows of any two
    documents pick equal grams, so sending fragments to the shard of their gram
    brings all copies of a window together and no window is in two fragments.
-2. Sorted by gram, fragments that nobody shares a gram with drop out, and whole copies
-   of a fragment are settled at once. Only distinct fragments with a common gram go on.
-3. Their words are fetched; each shard is one text with separators, whose suffix array is
-   made by induced sorting and whose permuted common prefixes give all windows that occur
-   twice (see ``suffix``).
+2. Of equal fragments in one batch of documents only the first, the head, goes to the shard of the gram;
+   the others are known to be repeated and are spread over all tasks, so a passage that a third of all documents have
+   is a few rows there. Sorted by gram, heads that nobody shares a gram with drop out, and
+   whole copies of a fragment are settled at once; the task holds one block of rows, however many a gram has.
+3. Only distinct fragments with a common gram go on, and their words are fetched. Each shard is one text with separators,
+   whose suffix array is made by induced sorting and whose permuted common prefixes give all windows that occur
+   twice (see ``suffix``). A gram with more than ``GRAM_BODIES`` distinct fragments, such as a line that stands
+   between other words in each document, is too much for one shard: its windows are brought together by
+   their hashes instead, in an aggregate that combines before the shuffle, with the same result.
 4. Windows found are brought back to every occurrence and merged to spans.
 
 Texts move once to fetch fragments, spans once to be merged. Words are compared without case and
-punctuation.
+punctuation (see ``kernel`` for scripts without spaces).
 
-Defined results: null, empty or short texts have no spans; rows equal in id and text are one
+Defined results: null, empty or short texts have no spans; a very long text is cut up whole; rows equal in id and text are one
 document, whose repeats within itself are left; of rows without an id the one of the
-least text hash counts as the first.
+least text hash counts as the first; an empty table gives no rows; other columns are ignored, or carried by
+``drop_passages``, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,6 +43,10 @@ from ragloom.llm.common import checkpointed, doc_key, named
 WORDS, GRAM = 50, 25
 #: Words that a shard's suffix array takes at once (a gram's fragments stay together, however many).
 SHARD_WORDS = 150_000
+#: Distinct fragments of a gram, of some 75 words at most, that one suffix array takes.
+GRAM_BODIES = 2_000
+#: Tasks over which repeats of a fragment within a batch are spread.
+SPREAD = 256
 
 _FRAGMENT = "gram long, body long, key long, th long, pos int, size int"
 _NAMES = ["gram", "body", "key", "th", "pos", "size"]
@@ -78,22 +87,30 @@ def fragments(w: K.Words, words: int = WORDS, gram: int = GRAM) -> tuple[np.ndar
 
 
 def _cut_up(docs: DataFrame, words: int, gram: int) -> DataFrame:
+    """Fragments of all documents; lot is 0 for the first of equal ones in a batch, for the others a number from 1 to SPREAD; many: it has others in its batch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            key, th = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            parts = []
             for at, part in K.chunks(K.strings(batch.column(2))):
                 w = K.words(part)
                 g, body, row, start, size = fragments(w, words, gram)
-                pick = pa.array(row + at)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(g.view(np.int64)), pa.array(body.view(np.int64)),
-                        batch.column(0).take(pick), batch.column(1).take(pick),
-                        pa.array((start - w.offsets[row]).astype(np.int32)), pa.array(size.astype(np.int32)),
-                    ],
-                    _NAMES,
-                )
+                parts.append((g.view(np.int64), body.view(np.int64), row + at, (start - w.offsets[row]).astype(np.int32), size.astype(np.int32)))
+            if not parts:
+                continue
+            g, body, row, pos, size = (np.concatenate(x) for x in zip(*parts, strict=True))
+            mine, own = key[row], th[row]
+            by = np.lexsort((pos, own, mine, body, g))
+            repeat = np.zeros(len(g), bool)
+            repeat[1:] = (g[by][1:] == g[by][:-1]) & (body[by][1:] == body[by][:-1])
+            lot = np.zeros(len(g), np.int32)
+            lot[by[repeat]] = 1 + (K.mix(own[by[repeat]].view(np.uint64)) % np.uint64(SPREAD)).astype(np.int32)
+            many = np.zeros(len(g), bool)  # the next in order is a repeat
+            many[by[:-1][repeat[1:]]] = True
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g, body, mine, own, pos, size, lot, many)], [*_NAMES, "lot", "many"])
 
-    return docs.select(*doc_key(), "text").mapInArrow(run, _FRAGMENT)
+    return docs.select(*doc_key(), "text").mapInArrow(run, _FRAGMENT + ", lot int, many boolean")
 
 
 def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
@@ -123,50 +140,83 @@ def _runs(batches: Iterator[pa.RecordBatch], by: str, rows: int) -> Iterator[pa.
 
 
 def _shared(cut: DataFrame) -> DataFrame:
-    """Fragments whose gram occurs again, with the first document of each content, and whether it is the only content."""
+    """Heads whose gram occurs again or that have repeats, with the first document of each content, and all repeats (lot > 0), whose first document
+    is yet to be joined."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _runs(batches, "gram", 50_000):
-            gram, body = t.column("gram").to_numpy(), t.column("body").to_numpy()
-            starts = K.run_starts(gram)
-            size = np.diff(np.append(starts, len(gram)))
-            new_body = np.concatenate([[True], (gram[1:] != gram[:-1]) | (body[1:] != body[:-1])])
-            contents = np.add.reduceat(new_body.astype(np.int64), starts)
-            again = np.repeat(size > 1, size)
-            first = np.flatnonzero(new_body)[np.cumsum(new_body) - 1]
-            out = t.append_column("first_key", t.column("key").take(pa.array(first)))
-            out = out.append_column("first_th", t.column("th").take(pa.array(first)))
-            out = out.append_column("is_first", pa.array(new_body))
-            out = out.append_column("several", pa.array(np.repeat(contents > 1, size)))
-            yield from out.filter(pa.array(again)).combine_chunks().to_batches()
-
-    together = cut.repartition("gram").sortWithinPartitions("gram", "body", "key", "th", "pos")
-    return together.mapInArrow(run, _FRAGMENT + ", first_key long, first_th long, is_first boolean, several boolean")
+        before = None  # gram, body and first document of the row before, and whether its gram has occurred twice
+        for t in _with_next(batches):
+            gram, body, key, th, lot = (t.column(n).to_numpy() for n in ("gram", "body", "key", "th", "lot"))
+            n = t.num_rows - 1 if t.num_rows > 1 and t.column("more")[0].as_py() else t.num_rows  # the last row comes again first
+            same_gram = np.zeros(t.num_rows, bool)
+            same_gram[1:] = (gram[1:] == gram[:-1]) & (lot[1:] == lot[:-1])
+            same_body = np.zeros(t.num_rows, bool)
+            same_body[1:] = same_gram[1:] & (body[1:] == body[:-1])
+            if before is not None and before[:2] == (gram[0], lot[0]):
+                same_gram[0] = True
+                same_body[0] = before[2] == body[0]
+            again = same_gram.copy()
+            again[:-1] |= same_gram[1:]
+            start = np.maximum.accumulate(np.where(same_body, 0, np.arange(t.num_rows)))
+            first_key, first_th = key[start], th[start]
+            if same_body[0]:  # the content began in a block before
+                head = np.flatnonzero(~same_body)
+                upto = head[0] if len(head) else t.num_rows
+                first_key[:upto], first_th[:upto] = before[3], before[4]
+            repeat = lot > 0
+            keep = (again | repeat | t.column("many").to_numpy())[:n]
+            out = t.select([*_NAMES, "lot"]).slice(0, n)
+            out = out.append_column("first_key", pa.array(first_key[:n], mask=repeat[:n]))
+            out = out.append_column("first_th", pa.array(first_th[:n], mask=repeat[:n]))
+            out = out.append_column("is_first", pa.array((~same_body & ~repeat)[:n]))
+            before = (gram[n - 1], lot[n - 1], body[n - 1], first_key[n - 1], first_th[n - 1])
+            yield from out.filter(pa.array(keep)).combine_chunks().to_batches()
+
+    together = cut.repartition("gram", "lot").sortWithinPartitions("lot", "gram", "body", "key", "th", "pos")
+    return together.mapInArrow(run, _FRAGMENT + ", lot int, first_key long, first_th long, is_first boolean")
+
+
+def _with_next(batches: Iterator[pa.RecordBatch], rows: int = 50_000) -> Iterator[pa.Table]:
+    """Tables of about rows rows; each but the last (more is true) ends in a row that the next one begins with."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if size >= rows:
+            t = pa.Table.from_batches([*held, batch.slice(0, 1)])
+            yield t.append_column("more", pa.array(np.ones(t.num_rows, bool))).combine_chunks()
+            held, size = [], 0
+        held.append(batch)
+        size += batch.num_rows
+    if held:
+        t = pa.Table.from_batches(held)
+        yield t.append_column("more", pa.array(np.zeros(t.num_rows, bool))).combine_chunks()
 
 
 def _contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The words (64-bit hashes) of the fragments wanted."""
+    """The words (64-bit hashes) of the fragments wanted (gram, body, key, th, pos, size, hot)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(3)
             for at, part in K.chunks(K.strings(batch.column(2))):
                 w = K.words(part)
-                out = [[], [], [], [], []]
+                out = [[], [], [], [], [], []]
                 for i in range(len(part)):
                     key, th = batch.column(0)[at + i].as_py(), batch.column(1)[at + i].as_py()
                     for f in lists[at + i].as_py():
                         lo = w.offsets[i] + f["pos"]
-                        for column, value in zip(out, (f["gram"], f["body"], key, th, w.hash[lo : lo + f["size"]].tobytes()), strict=True):
+                        for column, value in zip(out, (f["gram"], f["body"], key, th, f["hot"], w.hash[lo : lo + f["size"]].tobytes()), strict=True):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, pa.int64()) for c in out[:4]] + [pa.array(out[4], pa.binary())],
-                    ["gram", "body", "key", "th", "words"],
+                    [pa.array(c, pa.int64()) for c in out[:4]] + [pa.array(out[4], pa.bool_()), pa.array(out[5], pa.binary())],
+                    ["gram", "body", "key", "th", "hot", "words"],
                 )
 
-    by_doc = wanted.groupBy("key", "th").agg(F.collect_list(F.struct("gram", "body", "pos", "size")).alias("parts"))
+    by_doc = wanted.groupBy("key", "th").agg(F.collect_list(F.struct("gram", "body", "pos", "size", "hot")).alias("parts"))
     texts = docs.select(*doc_key(), "text").join(by_doc, ["key", "th"])
-    return texts.mapInArrow(run, "gram long, body long, key long, th long, words binary")
+    return texts.mapInArrow(run, "gram long, body long, key long, th long, hot boolean, words binary")
 
 
 def repeated_windows(bodies: list[np.ndarray], order: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -229,14 +279,43 @@ def _found(contents: DataFrame, words: int, shard_words: int) -> DataFrame:
     return together.mapInArrow(run, "gram long, body long, start int, end int")
 
 
-def repeated_spans(docs: DataFrame, words: int = WORDS, gram: int = GRAM, shard_words: int = SHARD_WORDS) -> DataFrame:
+def _found_by_hash(contents: DataFrame, words: int) -> DataFrame:
+    """What ``_found`` gives, for grams with very many fragments: windows meet by their hashes, not in one shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                g = K.grams(np.frombuffer(batch.column(4)[i].as_py(), np.uint64), words)
+                same = pa.array(np.full(len(g), i))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(g.view(np.int64)), *(batch.column(k).take(same) for k in range(4)), pa.array(np.arange(len(g), dtype=np.int32))],
+                    ["window", "gram", "body", "key", "th", "at"],
+                )
+
+    every = contents.select("gram", "body", "key", "th", "words").mapInArrow(run, "window long, gram long, body long, key long, th long, at int")
+    first = every.groupBy("gram", "window").agg(F.min(F.struct("key", "th")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    later = every.join(first, ["gram", "window"]).where(F.struct("key", "th") > F.col("first"))
+    return later.select("gram", "body", F.col("at").alias("start"), (F.col("at") + F.lit(words)).cast("int").alias("end"))
+
+
+def repeated_spans(
+    docs: DataFrame, words: int = WORDS, gram: int = GRAM, shard_words: int = SHARD_WORDS, gram_bodies: int = GRAM_BODIES
+) -> DataFrame:
     """(key, th, starts, ends): by document, the word ranges that earlier documents have, not yet merged."""
     shared = checkpointed(_shared(_cut_up(docs, words, gram)))
+    heads = shared.where("lot = 0").drop("lot")
+    # A batch's repeats are copies of a head, which was compared with those of all other batches.
+    firsts = heads.where("is_first").select("gram", "body", "first_key", "first_th", "pos", "size")
+    repeats = shared.where("lot > 0").drop("lot", "first_key", "first_th", "is_first")
+    repeats = repeats.join(firsts.select("gram", "body", "first_key", "first_th"), ["gram", "body"])
     own = (F.col("key") == F.col("first_key")) & (F.col("th") == F.col("first_th"))
-    copies = shared.where(~own).select("key", "th", F.col("pos").alias("s"), (F.col("pos") + F.col("size")).alias("e"))
-    contents = _contents(docs, shared.where("is_first and several").select("gram", "body", "key", "th", "pos", "size"))
-    found = _found(contents, words, shard_words)
-    partly = shared.where(own & F.col("several")).join(found, ["gram", "body"]).select(
+    every = heads.select(*_NAMES, "first_key", "first_th").unionByName(repeats)
+    copies = every.where(~own).select("key", "th", F.col("pos").alias("s"), (F.col("pos") + F.col("size")).alias("e"))
+    several = firsts.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram", (F.col("n") > gram_bodies).alias("hot"))
+    wanted = firsts.join(several, "gram").select("gram", "body", F.col("first_key").alias("key"), F.col("first_th").alias("th"), "pos", "size", "hot")
+    contents = checkpointed(_contents(docs, wanted))
+    found = _found(contents.where("not hot").drop("hot"), words, shard_words).unionByName(_found_by_hash(contents.where("hot"), words))
+    partly = every.where(own).join(found, ["gram", "body"]).select(
         "key", "th", (F.col("pos") + F.col("start")).alias("s"), (F.col("pos") + F.col("end")).alias("e")
     )
     return copies.unionByName(partly).groupBy("key", "th").agg(
@@ -244,7 +323,7 @@ def repeated_spans(docs: DataFrame, words: int = WORDS, gram: int = GRAM, shard_
     )
 
 
-def removed_passages(docs: DataFrame, words: int = WORDS, gram: int = GRAM, shard_words: int = SHARD_WORDS) -> DataFrame:
+def removed_passages(docs: DataFrame, words: int = WORDS, gram: int = GRAM, shard_words: int = SHARD_WORDS, gram_bodies: int = GRAM_BODIES) -> DataFrame:
     """(doc_id, th, first_word, n_words) of every span to be removed; words count from 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,11 +337,11 @@ def removed_passages(docs: DataFrame, words: int = WORDS, gram: int = GRAM, shar
                 out[3] += (e - s).tolist()
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "th", "first_word", "n_words"])
 
-    spans = repeated_spans(docs, words, gram, shard_words)
+    spans = repeated_spans(docs, words, gram, shard_words, gram_bodies)
     return spans.mapInArrow(run, "doc_id long, th long, first_word long, n_words long")
 
 
-def drop_passages(docs: DataFrame, words: int = WORDS, gram: int = GRAM, shard_words: int = SHARD_WORDS) -> DataFrame:
+def drop_passages(docs: DataFrame, words: int = WORDS, gram: int = GRAM, shard_words: int = SHARD_WORDS, gram_bodies: int = GRAM_BODIES) -> DataFrame:
     """docs with the spans cut from text (n_chars counted again where docs has it); all rows and columns stay."""
 
     @F.arrow_udf("string")
@@ -284,7 +363,7 @@ def drop_passages(docs: DataFrame, words: int = WORDS, gram: int = GRAM, shard_w
         return pa.array(out, pa.string())
 
     names = docs.columns
-    spans = repeated_spans(docs, words, gram, shard_words)
+    spans = repeated_spans(docs, words, gram, shard_words, gram_bodies)
     rows = docs.select(F.struct(*named(names)).alias("row"), *doc_key()).join(spans, ["key", "th"], "left")
     cleaned = rows.select("row", clean(F.col("row.text"), "starts", "ends").alias("text"))
     new = {"text": F.col("text")}

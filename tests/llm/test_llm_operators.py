@@ -104,15 +104,48 @@ def test_passages_are_those_of_brute_force(spark, rows, docs, none):
     assert passages.removed_passages(none).count() == passages.drop_passages(none).count() == 0
 
 
-def test_passages_of_a_small_alphabet(spark):
+@pytest.mark.parametrize(("bodies", "batch"), [(2000, 10_000), (1, 7), (2000, 7), (0, 60)])
+def test_passages_of_a_small_alphabet(spark, bodies, batch):
+    """By suffix arrays and by window hashes, in large batches of documents and in small ones."""
     rng = random.Random(0)
     rows = [(i, " ".join(rng.choices("abc", k=rng.randint(0, 60))), "en", "s") for i in range(60)]
-    got = defaultdict(set)
-    for r in passages.removed_passages(documents(spark, rows), words=8, gram=4, shard_words=50).collect():
-        got[r.doc_id] |= set(range(r.first_word, r.first_word + r.n_words))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = defaultdict(set)
+        for r in passages.removed_passages(documents(spark, rows), words=8, gram=4, shard_words=50, gram_bodies=bodies).collect():
+            got[r.doc_id] |= set(range(r.first_word, r.first_word + r.n_words))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == {i: s for (i, _), s in repeated(rows, 8).items()}
 
 
+def test_a_passage_in_very_many_documents(spark):
+    """One passage whole in a third of all documents, and one shorter than a window, so every document has other words around it."""
+    rng = random.Random(2)
+    whole, line = prose(rng, 60), prose(rng, 45)
+    own = [prose(rng, 30) for _ in range(50)]
+    n = 30_000
+    base = spark.range(n).select(
+        F.col("id").alias("doc_id"),
+        F.when(F.col("id") % 3 == 0, F.concat(F.lit(whole + " "), "id")).when(F.col("id") % 3 == 1, F.concat(F.lit("x"), "id", F.lit(" "), F.lit(line), F.lit(" y"), F.col("id") % 7, F.lit(" "), F.lit(own[0])))
+        .otherwise(F.concat(F.lit("z"), F.col("id").cast("string"))).alias("text"),
+    )
+    got = passages.removed_passages(base, gram_bodies=100).groupBy("doc_id").agg(F.sum("n_words").alias("n"))
+    by = {r.kind: (r.docs, r.low, r.high) for r in got.groupBy((F.col("doc_id") % 3).alias("kind")).agg(F.count("*").alias("docs"), F.min("n").alias("low"), F.max("n").alias("high")).collect()}
+    assert by == {0: (n // 3 - 1, 60, 60), 1: (n // 3 - 7, 76, 76)}  # every window of the line holds one of seven words
+
+
+@pytest.mark.parametrize("script", ["мама мыла раму и пела", "đăng ký học phần ở trường", "人人生而自由在尊严和权利上一律平等"])
+def test_passages_of_other_scripts(spark, script):
+    passage = (script + " ") * 13 if " " in script else script * 5
+    rows = [(0, "erste " + passage, "x", "s"), (1, passage.upper() + " zweite", "x", "s")]
+    got = passages.removed_passages(documents(spark, rows), words=20, gram=10).collect()
+    n = len(passage.split()) if " " in script else len(passage)
+    assert [(r.doc_id, r.first_word, r.n_words) for r in got] == [(1, 0, n)]
+    bench = documents(spark, [(9, passage[: len(passage) // 2], "x", "s")], extra=False)
+    assert {r.doc_id for r in decontam.contaminated_spans(documents(spark, rows), bench).collect()} == {0, 1}
+
+
 def test_mixture_keeps_weights_and_every_document(spark, rows, docs, none):
     mixed = [r.asDict() for r in mixing.mix(docs, block_docs=4, resolution=100).collect()]
     counts = Counter(s or "" for *_, s in rows)
