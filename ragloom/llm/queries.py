@@ -23,7 +23,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return groups.select(
         F.nullif("key", F.lit(kernel.NO_ID)).alias("doc_id"), F.nullif("group_id", F.lit(kernel.NO_ID)).alias("group_id"),
-        "group_size", "keep",
+        "group_size", "links", "keep",
     )
 
 

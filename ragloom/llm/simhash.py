@@ -2,14 +2,15 @@
 
 1. Features of a document are all its distinct words, of equal weight, so a SimHash
    depends on its text alone and a group of copies is found whatever its share of the
-   table. The 256-bit SimHash is the majority of their hash bits. (With ``common``, which
-   no query sets, words that more than this share of all documents hold do not count.)
-2. Documents of one SimHash become one node, however many copies there are.
+   table. The 256-bit SimHash is the majority of their hash bits.
+2. Documents of one SimHash become one node, however many copies there are; all that follows is between nodes.
 3. The bits, shuffled in several ways, form rings of segments, 16 bits wide up to a million
    nodes and up to 18 beyond; there are as many rings as the recall needs at that width. Nodes that agree in a segment are brought
    together by one sort; within such a bucket nodes are compared with leaders:
    those within the distance of a leader are linked to it, and the next leader is compared
-   with all. Nodes linked to different leaders are not compared (see ``_links``).
+   with all. Then nodes linked to leaders that nothing has joined are compared with each other, so that a bucket falls apart only
+   where no two of its nodes are within the distance. A bucket of more than ``BLOCK`` nodes is taken in blocks; each
+   block is compared within itself and with all leaders before it.
 4. Before the full Hamming distance, the pigeonring test must hold: among the
    segments on the ring some chain has every prefix of l segments differ in at
    most l * distance / m bits. It is necessary for a total within distance.
@@ -17,12 +18,14 @@
 
 Step 3 is approximate: a pair at distance d meets with probability
 1 - (1 - (1 - d/256)^width)^tables, which is at least ``RECALL`` at d = distance, whatever
-the number of nodes; wider segments would need more tables than the disk holds.
+the number of nodes (0.99 at 43 bits and 0.999 at 37 then, at either width), and 1 at up to 13 bits, as some segment of a ring must agree;
+wider segments would need more tables than the disk holds.
 
 Defined results: documents without words (null, empty or only signs) are never
-grouped; if with ``common`` no word of a document is left, all count; repeated
+grouped; repeated
 rows are copies of each other; a null id sorts last. The first of a group by
-(id, text hash) is kept, of rows equal in both all are marked alike but for one.
+(id, text hash) is kept, of rows equal in both all are marked alike but for one; very long texts are hashed whole; an empty
+table gives no rows; other columns are ignored, or carried by ``drop_near_duplicates``, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,6 +44,8 @@ from ragloom.llm.components import components
 
 BITS = 256
 DISTANCE, RECALL = 52, 0.9
+#: Nodes that a task compares at once.
+BLOCK = 60_000
 _SEEDS = [np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89)]
 _LOW = np.uint64((1 << 44) - 1)
 _SHIFT = np.uint64(44)
@@ -91,13 +96,6 @@ def document_frequency(docs: DataFrame) -> DataFrame:
     return parts.groupBy("word").agg(F.sum("part").alias("df"))
 
 
-def common_words(docs: DataFrame, common: float) -> np.ndarray:
-    """Words that more than this share of all documents hold, sorted. At most words of a document / common."""
-    n = docs.count()
-    rows = document_frequency(docs).where(F.col("df") > F.lit(common * n)).select("word").collect()
-    return np.array(sorted(r[0] for r in rows), np.uint64)
-
-
 def sketch(word: np.ndarray, start: np.ndarray) -> np.ndarray:
     """SimHash, as four 64-bit words, of each run of words that begins at start."""
     total = np.diff(np.append(start, len(word)))
@@ -115,19 +113,12 @@ def sketch(word: np.ndarray, start: np.ndarray) -> np.ndarray:
     return sig
 
 
-def signatures(docs: DataFrame, stop: np.ndarray | None = None, id_column: str = "doc_id") -> DataFrame:
-    """(key, th, node, s0..s3) of every document that has words; node is a hash of the SimHash. Words in stop do not count."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.zeros(0, np.uint64) if stop is None else stop)
+def signatures(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """(key, th, node, s0..s3) of every document that has words; node is a hash of the SimHash."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stop = shared.value
         for batch in batches:
-            for at, n, row, word in features(K.strings(batch.column(2))):
-                if len(stop):
-                    place = np.minimum(np.searchsorted(stop, word), len(stop) - 1)
-                    rare = stop[place] != word
-                    rare |= np.bincount(row[rare], minlength=n)[row] == 0
-                    row, word = row[rare], word[rare]
+            for at, _, row, word in features(K.strings(batch.column(2))):
                 start = K.run_starts(row)
                 if not len(start):
                     continue
@@ -192,15 +183,30 @@ def hamming_within(a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
     return out
 
 
-def _links(key: np.ndarray, node: np.ndarray, sig: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within buckets (rows sorted by key). Each round one more leader of every bucket that has nodes without
-    one is compared with all nodes of the bucket. Two nodes linked to different leaders are not compared with each other:
-    where no leader is near both, nor the leaders joined otherwise, such a pair is lost in this bucket."""
+def _joined(rows: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The component of each row under links between rows, named by a row of it."""
+    own = np.arange(rows)
+    while len(a):
+        low = np.minimum(own[a], own[b])
+        np.minimum.at(own, own[a], low)
+        np.minimum.at(own, own[b], low)
+        own = own[own]
+        apart = own[a] != own[b]
+        a, b = a[apart], b[apart]
+    while (own[own] != own).any():
+        own = own[own]
+    return own
+
+
+def _links(key: np.ndarray, node: np.ndarray, sig: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links within buckets (rows sorted by key), and which rows lead. Each round one more leader of every bucket that has nodes without
+    one is compared with all nodes of the bucket; what leaders leave apart is compared by ``_across``."""
     a, b = [], []
     start = K.run_starts(key)
     size = np.diff(np.append(start, len(key)))
     bucket = np.repeat(np.arange(len(start)), size)
     loose = np.repeat(size > 1, size)
+    leads = ~loose
     while loose.any():
         rows = np.flatnonzero(loose)
         lead_rows = rows[K.run_starts(bucket[rows])]
@@ -213,10 +219,33 @@ def _links(key: np.ndarray, node: np.ndarray, sig: np.ndarray, distance: int) ->
         near = hamming_within(sig[leader], sig[member], distance) >= 0
         loose[member[near]] = False
         loose[lead_rows] = False
+        leads[lead_rows] = True
         near &= node[leader] != node[member]
-        a.append(node[leader[near]])
-        b.append(node[member[near]])
-    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
+        a.append(leader[near])
+        b.append(member[near])
+    if not a:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), leads
+    a, b = np.concatenate(a), np.concatenate(b)
+    x, y = _across(bucket, leads, sig, a, b, distance)
+    return node[np.concatenate([a, x])], node[np.concatenate([b, y])], leads
+
+
+def _across(bucket: np.ndarray, leads: np.ndarray, sig: np.ndarray, a: np.ndarray, b: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between nodes that follow leaders of one bucket but are not joined by the links (a, b)."""
+    own = _joined(len(bucket), a, b)
+    rows = np.flatnonzero(~leads)
+    order = rows[np.lexsort((own[rows], bucket[rows]))]
+    x, y = [], []
+    for lo, hi in K.runs(bucket[order]):
+        part = order[lo:hi]
+        for first, end in K.runs(own[part])[1:]:  # each component with all that come before
+            for at in range(first, end, step := max(1, 500_000 // first)):
+                mine = part[at : min(at + step, end)]
+                i, j = np.repeat(mine, first), np.tile(part[:first], len(mine))
+                near = hamming_within(sig[i], sig[j], distance) >= 0
+                x.append(i[near])
+                y.append(j[near])
+    return (np.concatenate(x), np.concatenate(y)) if x else (np.zeros(0, np.int64),) * 2
 
 
 def links(nodes: DataFrame, count: int, distance: int = DISTANCE) -> DataFrame:
@@ -236,22 +265,31 @@ def links(nodes: DataFrame, count: int, distance: int = DISTANCE) -> DataFrame:
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        size = 0
 
-        def solve(rows: np.ndarray) -> pa.RecordBatch:
-            x, y = _links(rows[:, 0], rows[:, 1], np.ascontiguousarray(rows[:, 2:]).view(np.uint64), distance)
+        def solve(rows: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray]:
+            """Links of the rows, and those of the last bucket that lead."""
+            x, y, leads = _links(rows[:, 0], rows[:, 1], np.ascontiguousarray(rows[:, 2:]).view(np.uint64), distance)
             pair = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"]), rows[leads & (rows[:, 0] == rows[-1, 0])]
 
         for batch in batches:
+            if not batch.num_rows:
+                continue
             held.append(np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1))
-            if sum(map(len, held)) > 60_000:
+            size += batch.num_rows
+            if size > BLOCK:
                 rows = np.concatenate(held)
                 last = int(np.searchsorted(rows[:, 0], rows[-1, 0]))  # the last bucket may go on
                 if last:
-                    yield solve(rows[:last])
-                held = [rows[last:]]
+                    yield solve(rows[:last])[0]
+                rest = rows[last:]
+                if len(rest) > BLOCK:
+                    found, rest = solve(rest)
+                    yield found
+                held, size = [rest], min(len(rest), BLOCK // 2)
         if held:
-            yield solve(np.concatenate(held))
+            yield solve(np.concatenate(held))[0]
 
     spreaded = nodes.select("node", "s0", "s1", "s2", "s3").mapInArrow(
         spread, "bucket long, node long, s0 long, s1 long, s2 long, s3 long"
@@ -260,35 +298,36 @@ def links(nodes: DataFrame, count: int, distance: int = DISTANCE) -> DataFrame:
     return together.mapInArrow(match, "a long, b long").distinct()
 
 
-def near_duplicates(
-    docs: DataFrame, distance: int = DISTANCE, common: float | None = None, id_column: str = "doc_id"
-) -> DataFrame:
-    """(key, th, group_id, group_size, keep) of the documents that have near duplicates.
+def near_duplicates(docs: DataFrame, distance: int = DISTANCE, id_column: str = "doc_id") -> DataFrame:
+    """(key, th, group_id, group_size, links, keep) of the documents that have near duplicates.
 
-    group_id is the least key of the group; keep is true for the one that stays. A row for every row of docs.
+    group_id is the least key of the group, links the number of links that were found between the document's SimHash and others
+    (0 if all of its group are copies); keep is true for the one that stays.
     """
-    signed = checkpointed(signatures(docs, None if common is None else common_words(docs, common), id_column))
+    signed = checkpointed(signatures(docs, id_column))
     nodes = signed.dropDuplicates(["node"])
-    found = components(links(nodes, nodes.count(), distance))
+    linked = checkpointed(links(nodes, nodes.count(), distance))
+    ends = linked.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+    found = components(linked).join(ends, "node")
     grouped = signed.select("key", "th", "node").join(found, "node", "left")
-    grouped = grouped.select("key", "th", F.coalesce("component", "node").alias("component"))
+    grouped = grouped.select("key", "th", F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
     # A group may hold a large part of all rows: its first row and size come from an aggregate, not a window.
     least = grouped.groupBy("component").agg(
         F.min(F.struct("key", "th")).alias("first"), F.count("*").alias("group_size")
     ).where("group_size > 1")
     out = grouped.join(least, "component").select(
-        "key", "th", F.col("first.key").alias("group_id"), "group_size",
+        "key", "th", F.col("first.key").alias("group_id"), "group_size", "links",
         (F.struct("key", "th") == F.col("first")).alias("is_first"),
     )
     again = Window.partitionBy("key", "th").orderBy("is_first")
     return out.select(
-        "key", "th", "group_id", "group_size", (F.col("is_first") & (F.row_number().over(again) == 1)).alias("keep")
+        "key", "th", "group_id", "group_size", "links", (F.col("is_first") & (F.row_number().over(again) == 1)).alias("keep")
     )
 
 
-def drop_near_duplicates(docs: DataFrame, distance: int = DISTANCE, common: float | None = None) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """docs without near duplicates: one row of each group stays, with the columns of docs."""
-    gone = near_duplicates(docs, distance, common).where("not keep")
+    gone = near_duplicates(docs, distance).where("not keep")
     gone = gone.groupBy("key", "th").agg(F.count("*").alias("gone_n"))
     names = docs.columns
     key, th = doc_key()

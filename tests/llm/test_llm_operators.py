@@ -185,8 +185,8 @@ def test_mixture_orders_rows_of_equal_id_by_their_content(spark):
     assert orders[0] == orders[1] and len(orders[0]) == 80
 
 
-def near_pairs(docs, distance, common):
-    signed = simhash.signatures(docs, simhash.common_words(docs, common)).collect()
+def near_pairs(docs, distance):
+    signed = simhash.signatures(docs).collect()
     sig = np.array([[r.s0, r.s1, r.s2, r.s3] for r in signed], np.int64).view(np.uint64)
     d = np.bitwise_count(sig[:, None] ^ sig[None]).sum(2)
     return [r.key for r in signed], d <= distance
@@ -213,9 +213,9 @@ def test_near_duplicates_have_the_recall_of_all_pairs(spark):
             w[rng.randrange(len(w))] = "".join(rng.choices("abcdefg", k=6))
         rows.append((i, " ".join(w), "en", "s"))
     docs = documents(spark, rows, extra=False)
-    keys, near = near_pairs(docs, simhash.DISTANCE, 0.2)
+    keys, near = near_pairs(docs, simhash.DISTANCE)
     own = groups_of(keys, near)
-    got = {r.key: r.group_id for r in simhash.near_duplicates(docs, common=0.2).collect()}
+    got = {r.key: r.group_id for r in simhash.near_duplicates(docs).collect()}
     pairs = [(i, j) for i in range(len(keys)) for j in range(i) if near[i, j]]
     assert len(pairs) > 300
     found = sum(got.get(keys[i], -1) == got.get(keys[j], -2) for i, j in pairs)
@@ -253,6 +253,62 @@ def test_near_copies_are_found_whatever_their_share_of_the_table(spark):
     assert got == dict.fromkeys(range(120, 160), 120)
 
 
+def test_documents_of_common_words_are_no_duplicates(spark):
+    """Texts of few words in all, two of which share the only rare one."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(rng.choices(words, k=60)) for _ in range(400)]
+    texts[10] += " zebra"
+    texts[300] += " zebra"
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
+    assert simhash.drop_near_duplicates(documents(spark, rows)).count() == 400
+
+
+def test_a_bucket_falls_apart_only_where_no_two_are_near():
+    """Chains in which followers of leaders, not the leaders, are near each other; in any order of rows, all pairs being the truth."""
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        base = rng.integers(0, 1 << 64, 4, dtype=np.uint64)
+        bits = np.unpackbits(base.view(np.uint8))
+        flips = rng.permutation(256)
+        sig = []
+        for k in range(8):
+            own = bits.copy()
+            own[flips[: k * 30]] ^= 1
+            sig.append(np.packbits(own).view(np.uint64))
+        sig = np.array(sig)[rng.permutation(8)]
+        a, b, _ = simhash._links(np.zeros(8, np.int64), np.arange(8), sig, 52)
+        own = simhash._joined(8, a, b)
+        near = np.bitwise_count(sig[:, None] ^ sig[None]).sum(2) <= 52
+        want = groups_of(range(8), near)
+        assert len(set(own.tolist())) == len(set(want)) == 1 and all(near[i, j] for i, j in zip(a, b, strict=True))
+
+
+def test_buckets_larger_than_a_block(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    base = np.unpackbits(rng.integers(0, 1 << 64, 4, dtype=np.uint64).view(np.uint8))
+    sig = []
+    for _ in range(300):
+        own = base.copy()
+        own[rng.choice(256, 12, replace=False)] ^= 1
+        sig.append(np.packbits(own).view(np.int64))
+    table = spark.createDataFrame([(i, *s.tolist()) for i, s in enumerate(sig)], "node long, s0 long, s1 long, s2 long, s3 long").repartition(2)
+    monkeypatch.setattr(simhash, "BLOCK", 50)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20)
+    try:
+        got = simhash.components(simhash.links(table, 300)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 300 and {r.component for r in got} == {0}
+
+
+def test_components_that_do_not_settle_are_an_error(spark):
+    chain = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert {r.component for r in simhash.components(chain).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        simhash.components(chain, rounds=1)
+
+
 def test_pigeonring_never_drops_a_pair_within_distance():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 2**63, (4000, 4)).astype(np.uint64)
@@ -272,6 +328,7 @@ def test_one_of_each_group_stays(spark, rows, docs, none):
     assert ids[65] == ids[66] == ids[67] == 1 and ids[None] == 2
     groups = simhash.near_duplicates(docs).collect()
     assert sum(r.keep for r in groups) == len({r.group_id for r in groups})
+    assert all((r.links > 0) == (r.key in (5, 62)) for r in groups)  # copies are no links
     assert simhash.drop_near_duplicates(none).count() == 0
 
 
