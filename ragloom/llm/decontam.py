@@ -9,10 +9,12 @@ matrix, searched backward for all phrases at once by ranks; occurrences are loca
 stepping to the next sampled suffix position. Occurrences that overlap or lie within
 ``GAP`` words of each other merge into one removal span. Nothing is shuffled.
 
-Words are compared without case and punctuation (see kernel).
+Words are compared without case and punctuation (see ``kernel``, also for scripts without spaces).
 
-Defined results: null and empty texts and items have no spans, and a null text stays null;
-repeated rows have the same spans each; without phrases nothing is found.
+Defined results: null and empty texts and items have no spans, and a null text stays null; an item of fewer than ``LEAST`` words
+has no phrase, as such words stand in clean texts too; equal items count once;
+repeated rows have the same spans each; a very long text is a shard of its own and searched whole; without phrases nothing is found; an empty
+table gives no rows; other columns are ignored by ``contaminated_spans`` and carried by ``decontaminate``, whatever their names.
 """
 
 from __future__ import annotations

@@ -3,15 +3,16 @@
 A text is the hashed counts of its letter 3-grams (bytes of folded text, runs of
 other characters as one space), weighted by inverse document frequency over all
 documents and scaled to length one. Each language has several centroids, found by
-spherical k-means on at most ``PER_LANGUAGE`` labelled documents (the one bounded
-sample here; it is drawn by hash from all sources). The nearest centroid by cosine
+spherical k-means on at most ``PER_LANGUAGE`` labelled documents, of each at most ``SAMPLE_CHARS`` characters from its middle (the one bounded
+sample here; it is drawn by hash from all sources). Documents to be classified are read whole. The nearest centroid by cosine
 gives the language. A text is rejected if its cosine is lower than all but a share
 ``REJECT`` of those that pieces of its length, cut from the sample, have; a length with
 fewer than ``ENOUGH`` pieces takes those of the next shorter lengths in as well.
 
 Defined results: a text without letters (null, empty, only signs or digits) has
 language null, similarity 0 and is rejected; ties go to the first language in order
-of name; without labelled rows every text is rejected; repeated rows get the same answer.
+of name; without labelled rows every text is rejected; repeated rows get the same answer; a very long text is counted whole; an empty
+table gives no rows; other columns are ignored by ``identify`` and carried by ``keep_identified``, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from ragloom.llm import kernel as K
 
 SIZE = 4096
 PER_LANGUAGE, CENTROIDS, REJECT, ENOUGH = 600, 3, 0.005, 20
+SAMPLE_CHARS = 8192
 _ROWS = 256
 
 
@@ -110,7 +112,7 @@ def k_means(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
 
 
 def sample_labelled(docs: DataFrame, per_language: int, lang: str = "lang") -> list[tuple[str, str]]:
-    """The per_language distinct labelled texts of every language that have the least hashes, all if there are fewer."""
+    """The per_language distinct labelled texts of every language that have the least hashes, all if there are fewer; of longer texts the middle."""
     named = docs.where(F.col(lang).isNotNull() & (F.length("text") > 0)).select(F.col(lang).alias("lang"), F.xxhash64("text").alias("h"), "text")
     total = {r[0]: r[1] for r in named.groupBy("lang").agg(F.approx_count_distinct("h", 0.02)).collect()}
     if not total:
@@ -122,7 +124,8 @@ def sample_labelled(docs: DataFrame, per_language: int, lang: str = "lang") -> l
             bound = F.when(F.col("lang") == name, F.lit(int((2 * per_language + 100) / n * 2**64) - 2**63)).otherwise(bound)
     least = named.where(F.col("h") <= bound).groupBy("lang", "h").agg(F.min("text").alias("text"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    rows = least.withColumn("place", place).where(F.col("place") <= per_language).select("h", "lang", "text").collect()
+    middle = F.substring("text", F.greatest(F.lit(1), ((F.length("text") - SAMPLE_CHARS) / 2).cast("int")), F.lit(SAMPLE_CHARS))
+    rows = least.withColumn("place", place).where(F.col("place") <= per_language).select("h", "lang", middle.alias("text")).collect()
     return [(r.lang, r.text) for r in sorted(rows)]
 
 

@@ -6,7 +6,7 @@ Suffix sums over the distinct lengths then answer, for every context limit,
 how many documents and tokens fit, how many tokens a truncation keeps, and any
 quantile.
 
-Defined results: a null or empty text has length 0 and is counted; strings of
+Defined results: a null or empty text has length 0 and is counted; a very long text is encoded whole; strings of
 special tokens are ordinary text; repeated rows count each time; an empty
 table gives an empty histogram; other columns are ignored.
 """

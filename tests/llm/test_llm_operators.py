@@ -413,6 +413,38 @@ def test_languages_of_held_out_texts(spark, docs, none):
     assert langid.keep_identified(none).count() == 0 and langid.identify(none, model).count() == 0
 
 
+def test_languages_by_plain_arithmetic(spark, rows):
+    """Document frequencies, cosines, answers and rejections of every text, worked out gram by gram."""
+    table = documents(spark, rows, extra=False)
+    model = langid.train(table)
+
+    def grams(text):
+        words = re.findall(r"[^\W\d_]+", (text or "").lower())
+        data = (" " + " ".join(words) + " ").encode()
+        out = Counter()
+        for i in range(len(data) - 2):
+            if data[i + 1] != 32:
+                code = data[i] | data[i + 1] << 8 | data[i + 2] << 16
+                out[(code * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 52] += 1
+        return out
+
+    counted = [grams(t) for _, t, _, _ in rows]
+    df = Counter(f for c in counted for f in c)
+    got_df, n = langid.gram_document_frequency(table)
+    assert n == len(rows) and {f: int(x) for f, x in enumerate(got_df) if x} == dict(df)
+    idf = {f: math.log((1 + n) / (1 + df[f])) + 1e-3 for f in range(langid.SIZE)}
+    which, cosine, accepted = langid.classify(K.strings(pa.array([t for _, t, _, _ in rows])), model)
+    for i, c in enumerate(counted):
+        v = {f: k * idf[f] for f, k in c.items()}
+        length = math.sqrt(sum(x * x for x in v.values()))
+        near = [sum(x * float(m[f]) for f, x in v.items()) / length if length else 0.0 for m in model.centroids]
+        best = max(range(len(near)), key=lambda j: near[j])
+        assert cosine[i] == pytest.approx(near[best], abs=1e-5) and (which[i] == model.language_of[best] if c else which[i] == -1)
+        least = model.least[int(math.log2(max(1, c.total())))]
+        if abs(near[best] - least) > 1e-5:
+            assert accepted[i] == (bool(c) and near[best] >= least)
+
+
 def test_foreign_texts_are_rejected_by_a_model_of_the_tables(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.train(table)
