@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import os
+import threading
+import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from urllib.request import Request, urlopen
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -23,16 +29,38 @@ def register_embedder(name: str, make: Callable[[], Embedder]) -> None:
     _EMBEDDERS[name] = make
 
 
-def embedder(name: str = "mock", fallback: str | None = "mock") -> tuple[str, Embedder]:
-    """(name, embedder); where it can't be made, the fallback's, or ``ProviderError`` without one."""
+def embedder(name: str = "mock", fallback: str | None = "mock", timeout: float | None = None) -> tuple[str, Embedder]:
+    """(name, embedder); where it can't be made, or not within timeout seconds, the fallback's, or ``ProviderError`` without one."""
+    last: BaseException | None = None
     for each in dict.fromkeys([name, *([fallback] if fallback else [])]):
         try:
-            return each, _EMBEDDERS[each]()
+            return each, _in_time(_EMBEDDERS[each], timeout)
         except Exception as problem:  # noqa: BLE001 - whatever a model's loading raises
             last = problem
     raise ProviderError(f"no embedder {name!r}") from last
 
 
+def _in_time(make: Callable[[], Embedder], timeout: float | None) -> Embedder:
+    if timeout is None:
+        return make()
+    made: list = []
+
+    def work() -> None:
+        try:
+            made.append((make(), None))
+        except Exception as problem:  # noqa: BLE001
+            made.append((None, problem))
+
+    thread = threading.Thread(target=work, daemon=True)  # one that hangs must not keep the process alive
+    thread.start()
+    thread.join(timeout)
+    if not made:
+        raise TimeoutError(f"no answer within {timeout} s")
+    if made[0][1] is not None:
+        raise made[0][1]
+    return made[0][0]
+
+
 def model_embedder(load: Callable[[], Callable[[list[str]], list[list[float]]]]) -> Embedder:
     """An embedder that loads its model once a task and embeds a batch of texts a call; null stays null."""
 
@@ -48,16 +76,56 @@ def model_embedder(load: Callable[[], Callable[[list[str]], list[list[float]]]])
 
 
 def generated(prompt: Column, generate: Callable[[str], str]) -> Column:
-    """STRUCT<answer, error> of each prompt; a failure is a row's error, not the query's."""
+    """STRUCT<answer, error, ms> of each prompt; a failure is a row's error, not the query's."""
 
-    @F.arrow_udf("struct<answer:string,error:string>")
+    @F.arrow_udf("struct<answer:string,error:string,ms:double>")
     def run(prompts: pa.Array) -> pa.Array:
         out = []
         for p in prompts.to_pylist():
+            began = time.perf_counter()
             try:
-                out.append({"answer": generate(p) if p is not None else None, "error": None})
+                said, error = (generate(p) if p is not None else None), None
             except Exception as problem:  # noqa: BLE001
-                out.append({"answer": None, "error": str(problem)})
-        return pa.array(out, pa.struct([("answer", pa.string()), ("error", pa.string())]))
+                said, error = None, str(problem)
+            out.append({"answer": said, "error": error, "ms": (time.perf_counter() - began) * 1000})
+        return pa.array(out, pa.struct([("answer", pa.string()), ("error", pa.string()), ("ms", pa.float64())]))
 
     return run.asNondeterministic()(prompt)
+
+
+@dataclass(frozen=True)
+class ChatModel:
+    """A language model behind a chat-completions address; an instance is a function of a prompt, so it can be given as ``generate``.
+
+    The key is read where the model is called, from the variable ``key_from``, and is never part of a plan or an error.
+    """
+
+    address: str
+    model: str
+    key_from: str = "LLM_API_KEY"
+    system: str = ""
+    temperature: float = 0.0
+    timeout: float = 60.0
+
+    @classmethod
+    def from_environment(cls, system: str = "") -> "ChatModel":
+        """LLM_BASE_URL and LLM_MODEL name the model, LLM_API_KEY has the key; ``ProviderError`` where one is missing."""
+        missing = [v for v in ("LLM_BASE_URL", "LLM_MODEL", "LLM_API_KEY") if not os.environ.get(v, "").strip()]
+        if missing:
+            raise ProviderError(f"not set: {', '.join(missing)}")
+        return cls(os.environ["LLM_BASE_URL"].strip().rstrip("/") + "/chat/completions", os.environ["LLM_MODEL"].strip(), system=system)
+
+    def body(self, prompt: str) -> dict:
+        said = [{"role": "system", "content": self.system}] if self.system else []
+        return {"model": self.model, "temperature": self.temperature, "messages": [*said, {"role": "user", "content": prompt}]}
+
+    def __call__(self, prompt: str) -> str:
+        key = os.environ.get(self.key_from, "").strip()
+        if not key:
+            raise ProviderError(f"not set: {self.key_from}")
+        request = Request(self.address, json.dumps(self.body(prompt)).encode(), {"Content-Type": "application/json", "Authorization": f"Bearer {key}"})
+        try:
+            with urlopen(request, timeout=self.timeout) as reply:
+                return json.load(reply)["choices"][0]["message"]["content"] or ""
+        except Exception as problem:
+            raise ProviderError(f"the model did not answer: {problem}") from problem

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,22 +38,23 @@ def steps(dim: int) -> list[tuple[int, int]]:
 
 
 def mock_embedding(text: Column, dim: int = 64) -> Column:
-    """Unit vector from a congruential sequence seeded by the low 32 bits of the MD5 of text.
+    """Unit vector from a congruential sequence seeded by the low 32 bits of the MD5 of text; null stays null.
 
-    Each element comes from the seed at once, so there is no running array; products are
-    split in halves of 16 bits to stay within a long.
+    The hash is made in the JVM, so no text goes to Python; each element comes from the seed at once, a batch of vectors a call.
     """
-    seed = F.conv(F.substring(F.md5(text), 25, 8), 16, 10).cast("long")
-    hi, lo = F.shiftright(seed, 16), seed.bitwiseAND(F.lit(0xFFFF))
-    table = F.array(*(F.struct(F.lit(a).cast("long").alias("a"), F.lit(c).cast("long").alias("c")) for a, c in steps(dim)))
-
-    def value(s: Column) -> Column:
-        high = F.pmod(s["a"] * hi, F.lit(1 << 16)) * F.lit(1 << 16)
-        state = F.pmod(high + s["a"] * lo + s["c"], F.lit(_MOD))
-        return state.cast("double") / F.lit(float(_MOD - 1)) * 2.0 - 1.0
-
-    raw = F.transform(table, value)
-    return unit(raw)
+    factor, summand = (np.array(x, np.uint64) for x in zip(*steps(dim), strict=True))
+
+    @F.arrow_udf("array<double>")
+    def vectors(seeds: pa.Array) -> pa.Array:
+        seed = seeds.fill_null(0).to_numpy(zero_copy_only=False).astype(np.uint64)
+        state = (seed[:, None] * factor + summand) & np.uint64(_MOD - 1)  # what overflows is a multiple of the modulus
+        raw = state.astype(np.float64) / float(_MOD - 1) * 2.0 - 1.0
+        length = np.sqrt((raw * raw).sum(1, keepdims=True))
+        raw /= np.where(length == 0, 1.0, length)
+        offsets = np.arange(len(seed) + 1, dtype=np.int32) * dim
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(raw.reshape(-1)), mask=seeds.is_null())
+
+    return vectors(F.conv(F.substring(F.md5(text), 25, 8), 16, 10).cast("long"))
 
 
 def unit(a: Column) -> Column:

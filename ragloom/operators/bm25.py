@@ -1,4 +1,4 @@
-"""Okapi BM25 over an inverted index."""
+"""Okapi BM25 over an index of each text's distinct tokens."""
 
 from __future__ import annotations
 
@@ -7,18 +7,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ragloom.functions import text as T
 from ragloom.operators.chunking import rank_in
-from ragloom.session import broadcast_if_small, checkpointed
+from ragloom.operators.dense import best_of_batch
+from ragloom.session import written
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: (query, token) rows that go to every task at once; more are joined by shuffle.
+TOKENS_AT_ONCE = 200_000
+_QUERIES = 64
 
 
-def postings(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(id, token, tf, dl): occurrences of each token in each text, and the text's tokens in all.
+def counted_tokens(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """(id, tokens, tf, dl): the distinct tokens of each text, how often each occurs, and all occurrences.
 
     A text is one row, so its tokens are counted where it is read and nothing is shuffled.
     """
@@ -26,60 +31,115 @@ def postings(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens = batch.column(1)
-            size = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            row = pa.array(np.repeat(np.arange(len(size)), size))
-            found = pa.table({"row": row, "token": tokens.flatten()}).group_by(["row", "token"]).aggregate([([], "count_all")])
-            at = found.column("row").combine_chunks()
-            out = pa.table({
-                "id": batch.column(0).take(at), "token": found.column("token"),
-                "tf": found.column("count_all").cast(pa.int64()), "dl": pa.array(size.astype(np.int64)).take(at),
-            })
-            yield from out.combine_chunks().to_batches()
+            size = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(size)), size)
+            words = tokens.flatten().dictionary_encode()
+            code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            pair, tf = np.unique(row * max(1, len(words.dictionary)) + code, return_counts=True)
+            offsets = pa.array(np.searchsorted(pair, np.arange(len(size) + 1) * max(1, len(words.dictionary))).astype(np.int32))
+            distinct = words.dictionary.take(pa.array(pair % max(1, len(words.dictionary))))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.ListArray.from_arrays(offsets, distinct), pa.ListArray.from_arrays(offsets, pa.array(tf.astype(np.int32))), pa.array(size)],
+                ["id", "tokens", "tf", "dl"],
+            )
 
     tokens = docs.where(F.col(text_column).isNotNull()).select(F.col(id_column).alias("id"), T.tokenize(F.col(text_column)).alias("tokens"))
-    return tokens.mapInArrow(count, f"id {dict(docs.dtypes)[id_column]}, token string, tf long, dl long")
+    return tokens.mapInArrow(count, f"id {dict(docs.dtypes)[id_column]}, tokens array<string>, tf array<int>, dl long")
 
 
-def idf(df, n):
+def idf(df: Column, n: Column) -> Column:
     return F.ln(n - df + F.lit(0.5)) - F.ln(df + F.lit(0.5))
 
 
 @dataclass
 class BM25Index:
-    """postings (id, token, tf, dl), terms (token, df), stats (n, avgdl, average_idf: one row)."""
+    """documents (id, tokens, tf, dl), terms (token, df), stats (n, avgdl, average_idf: one row)."""
 
-    postings: DataFrame
+    documents: DataFrame
     terms: DataFrame
     stats: DataFrame
 
     @classmethod
     def build(cls, docs: DataFrame, id_column: str = "chunk_id", text_column: str = "raw_text") -> "BM25Index":
-        """Index of docs; the postings are written once, all else is an aggregate of them. Texts without tokens count in n."""
-        found = checkpointed(postings(docs, id_column, text_column))
-        return cls.of(found, docs.agg(F.count("*").alias("n")))
+        """Index of docs; its tables are written once. Texts without tokens count in n, as null texts do."""
+        found = written(counted_tokens(docs, id_column, text_column))
+        terms = written(found.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df")))
+        n = docs.count()
+        tokens = found.agg(F.coalesce(F.sum("dl"), F.lit(0))).first()[0]
+        mean = terms.agg(F.avg(idf(F.col("df"), F.lit(n)))).first()[0]
+        row = [(n, tokens / n if n else None, mean)]
+        return cls(found, terms, docs.sparkSession.createDataFrame(row, "n long, avgdl double, average_idf double"))
+
+    @property
+    def postings(self) -> DataFrame:
+        """(id, token, tf, dl)."""
+        return self.documents.select("id", "dl", F.explode(F.arrays_zip("tokens", "tf")).alias("p")).select("id", F.col("p.tokens").alias("token"), F.col("p.tf").alias("tf"), "dl")
+
+    def weights(self, queries: DataFrame) -> DataFrame:
+        """(query_id, token, weight): inverse document frequency of each token of each query, times its occurrences there."""
+        asked = queries.select("query_id", F.explode(T.tokenize(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
+        n, _, average = self.stats.first()
+        own = idf(F.col("df"), F.lit(n))
+        rare = F.when(own < 0, F.lit(average) * EPSILON).otherwise(own)
+        return asked.join(self.terms, "token").select("query_id", "token", (F.col("qtf") * rare).alias("weight"))
 
-    @classmethod
-    def of(cls, found: DataFrame, size: DataFrame) -> "BM25Index":
-        terms = found.groupBy("token").agg(F.count("*").alias("df"))
-        tokens = found.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens"))
-        base = size.crossJoin(F.broadcast(tokens))
-        mean = terms.crossJoin(F.broadcast(size)).agg(F.avg(idf(F.col("df"), F.col("n"))).alias("average_idf"))
-        stats = base.crossJoin(F.broadcast(mean)).select("n", (F.col("tokens") / F.col("n")).alias("avgdl"), "average_idf")
-        return cls(found, terms, stats)
-
-    def search(self, queries: DataFrame, top_k: int = 20, digits: int | None = None) -> DataFrame:
+    def search(self, queries: DataFrame, top_k: int = 20, digits: int | None = None, at_once: int = TOKENS_AT_ONCE) -> DataFrame:
         """(query_id, id, score, rank), scores above 0 only, ties by id. queries: (query_id, query).
 
-        Only postings of query tokens go on from the scan when the queries are few enough to be broadcast.
+        Queries of at_once tokens in all go to every task, which scores its documents for all of them and hands on the top_k of a batch and
+        those tied; more queries are joined to the postings by token.
         """
-        asked = queries.select("query_id", F.explode(T.tokenize(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
-        stats = F.broadcast(self.stats)
-        tokens = broadcast_if_small(asked.select("token").distinct())
-        weights = self.terms.join(tokens, "token").crossJoin(stats)
-        own = idf(F.col("df"), F.col("n"))
-        weights = weights.select("token", "avgdl", F.when(own < 0, F.col("average_idf") * EPSILON).otherwise(own).alias("idf"))
-        weighted = broadcast_if_small(asked.join(weights, "token"))
-        one = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-        score = F.sum(one)
-        scored = self.postings.join(weighted, "token").groupBy("query_id", "id").agg((F.round(score, digits) if digits is not None else score).alias("score"))
+        weights = self.weights(queries)
+        avgdl = self.stats.first().avgdl
+        few = weights.limit(at_once + 1).toArrow()
+        if few.num_rows <= at_once:
+            scored = self._scored(few, dict(queries.dtypes)["query_id"], avgdl, top_k, digits)
+        else:
+            one = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))
+            scored = self.postings.join(weights, "token").groupBy("query_id", "id").agg(F.sum(one).alias("score"))
+            if digits is not None:
+                scored = scored.withColumn("score", F.round("score", digits))
         return rank_in(scored, ["query_id"], [F.desc("score"), F.col("id")], top_k).where("score > 0")
+
+    def _scored(self, weights: pa.Table, query_type: str, avgdl: float | None, top_k: int, digits: int | None) -> DataFrame:
+        """(query_id, id, score) of the best documents of each batch."""
+        asked = weights.column("query_id").combine_chunks().dictionary_encode()
+        token = weights.column("token").combine_chunks().dictionary_encode()
+        query, code = (x.indices.to_numpy(zero_copy_only=False).astype(np.int64) for x in (asked, token))
+        by = np.argsort(query, kind="stable")
+        shared = self.documents.sparkSession.sparkContext.broadcast(
+            (asked.dictionary, token.dictionary, query[by], code[by], weights.column("weight").to_numpy()[by])
+        )
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, tokens, query, code, weight = shared.value
+            edges = np.searchsorted(query, np.arange(0, len(ids) + _QUERIES, _QUERIES))
+            for batch in batches:
+                known = pc.index_in(batch.column(1).flatten(), value_set=tokens)
+                row = np.repeat(np.arange(batch.num_rows), batch.column(1).value_lengths().to_numpy(zero_copy_only=False))
+                hit = np.flatnonzero(known.is_valid().to_numpy(zero_copy_only=False))
+                row, found = row[hit], known.take(pa.array(hit)).to_numpy(zero_copy_only=False)
+                tf = batch.column(2).flatten().to_numpy(zero_copy_only=False)[hit].astype(np.float64)
+                dl = batch.column(3).to_numpy(zero_copy_only=False)[row]
+                part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl)) if len(hit) else tf
+                for k, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)):  # some queries at a time, and the tokens that they have
+                    own, local = np.unique(code[lo:hi], return_inverse=True)
+                    value = np.zeros((len(own), min(_QUERIES, len(ids) - k * _QUERIES)))
+                    value[local, query[lo:hi] - k * _QUERIES] = weight[lo:hi]
+                    place = np.full(len(tokens), -1)
+                    place[own] = np.arange(len(own))
+                    at = place[found]
+                    mine = np.flatnonzero(at >= 0)
+                    if not len(mine):
+                        continue
+                    start = np.concatenate([[0], np.flatnonzero(np.diff(row[mine])) + 1])
+                    score = np.add.reduceat(value[at[mine]] * part[mine, None], start, axis=0).T
+                    if digits is not None:
+                        score = np.round(score, digits)
+                    q, r = best_of_batch(np.where(score > 0, score, -np.inf), top_k)
+                    yield pa.RecordBatch.from_arrays(
+                        [ids.take(pa.array(q + k * _QUERIES)), batch.column(0).take(pa.array(row[mine][start][r])), pa.array(score[q, r])],
+                        ["query_id", "id", "score"],
+                    )
+
+        return self.documents.mapInArrow(run, f"query_id {query_type}, id {dict(self.documents.dtypes)['id']}, score double")

@@ -10,10 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ragloom.operators.chunking import rank_in
+from ragloom.session import checkpointed
 
-#: Queries whose vectors go to every task at once; more are answered in several passes over the records.
+#: Queries whose vectors go to every task at once.
 QUERIES_AT_ONCE = 20_000
 _BLOCK = 256
+#: Rows of a block, where blocks of queries and of records are joined.
+_PACKED = 4096
 
 
 def _matrix(vectors: pa.Array, dim: int) -> np.ndarray:
@@ -32,6 +35,56 @@ def _matrix(vectors: pa.Array, dim: int) -> np.ndarray:
     return out
 
 
+def best_of_batch(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k largest of each row and those tied with the last; -inf is never one."""
+    least = np.partition(score, -k, axis=1)[:, -k] if k < score.shape[1] else np.full(len(score), -np.inf)
+    return np.nonzero((score >= least[:, None]) & (score > -np.inf))
+
+
+def _scores(asked: pa.Table | pa.RecordBatch, batch: pa.RecordBatch, vectors: np.ndarray, k: int, digits: int | None) -> Iterator[pa.RecordBatch]:
+    """The best of a batch of records (id, tie, scope, embedding) for each of asked (query_id, scope), whose vectors are given."""
+    ids, scopes = asked.column("query_id"), asked.column("scope").to_pylist()
+    limited = any(s is not None for s in scopes)
+    m = _matrix(batch.column(3), vectors.shape[1])
+    theirs = np.array([s if s is not None else "" for s in batch.column(2).to_pylist()], object) if limited else None
+    for lo in range(0, len(vectors), _BLOCK):
+        score = vectors[lo : lo + _BLOCK] @ m.T
+        if digits is not None:
+            score = np.round(score, digits) + 0.0
+        if limited:
+            for i, s in enumerate(scopes[lo : lo + _BLOCK]):
+                if s is not None:
+                    score[i, theirs != s] = -np.inf
+        q, r = best_of_batch(score, k)
+        yield pa.RecordBatch.from_arrays(
+            [ids.take(pa.array(q + lo)), batch.column(0).take(pa.array(r)), batch.column(1).take(pa.array(r)), pa.array(score[q, r])],
+            ["query_id", "id", "tie", "score"],
+        )
+
+
+def _dimension(vectors: pa.Array) -> int:
+    return max(vectors.value_lengths().to_pylist(), default=1) or 1
+
+
+def _packed(df: DataFrame, rows: int, name: str) -> DataFrame:
+    """(block, name): rows of df, some thousands in one binary value."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, rows):
+                part = batch.slice(lo, rows)
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema) as out:
+                    out.write_batch(part)
+                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], [name])
+
+    return df.mapInArrow(pack, f"{name} binary").withColumn("block", F.monotonically_increasing_id())
+
+
+def _unpacked(value: pa.Scalar) -> pa.RecordBatch:
+    return pa.ipc.open_stream(value.as_buffer()).read_next_batch()
+
+
 def dense_topk(
     queries: DataFrame,
     records: DataFrame,
@@ -46,49 +99,40 @@ def dense_topk(
 
     queries: (query_id, embedding), records: (id, tie, embedding); records with equal scores are in order of tie.
     scope: a column of both that must be equal where the query's is not null. digits: scores are rounded to so many.
-    Each task keeps k records a query and batch (and those tied), so little is shuffled.
+    Each task keeps k records a query and batch (and those tied), so little is shuffled. Up to at_once queries go to every task; more are
+    packed in blocks, as the records are, and the blocks are joined.
     """
     scoped = F.col(scope).cast("string") if scope else F.lit(None).cast("string")
     ask = queries.where("embedding is not null").select("query_id", "embedding", scoped.alias("scope"))
-    asked = ask.toArrow()
     types = dict(records.dtypes)
     schema = f"query_id {dict(queries.dtypes)['query_id']}, id {types[id_column]}, tie {types[tie]}, score double"
-    sc = queries.sparkSession.sparkContext
     have = records.where("embedding is not null").select(F.col(id_column).alias("id"), F.col(tie).alias("tie"), scoped.alias("scope"), "embedding")
-
-    def one_pass(part: pa.Table) -> DataFrame:
-        dim = max(part.column("embedding").combine_chunks().value_lengths().to_pylist(), default=1)
-        shared = sc.broadcast((part.column("query_id").combine_chunks(), _matrix(part.column("embedding"), dim), part.column("scope").to_pylist()))
+    few = ask.limit(at_once + 1).toArrow().combine_chunks()
+    if few.num_rows <= at_once:
+        dim = _dimension(few.column("embedding").combine_chunks()) if few.num_rows else 1
+        vectors = _matrix(few.column("embedding"), dim) if few.num_rows else np.zeros((0, 1))
+        shared = queries.sparkSession.sparkContext.broadcast((few.drop_columns(["embedding"]).combine_chunks(), vectors))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, vectors, scopes = shared.value
-            limited = any(s is not None for s in scopes)
+            asked, vectors = shared.value
+            asked = asked.to_batches()[0] if asked.num_rows else asked
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                m = _matrix(batch.column(3), vectors.shape[1])
-                theirs = np.array([s if s is not None else "" for s in batch.column(2).to_pylist()], object) if limited else None
-                for lo in range(0, len(vectors), _BLOCK):
-                    score = vectors[lo : lo + _BLOCK] @ m.T
-                    if digits is not None:
-                        score = np.round(score, digits) + 0.0
-                    if limited:
-                        for i, s in enumerate(scopes[lo : lo + _BLOCK]):
-                            if s is not None:
-                                score[i, theirs != s] = -np.inf
-                    least = np.partition(score, -k, axis=1)[:, -k] if k < score.shape[1] else np.full(len(score), -np.inf)
-                    q, r = np.nonzero((score >= least[:, None]) & (score > -np.inf))
-                    yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array(q + lo)), batch.column(0).take(pa.array(r)), batch.column(1).take(pa.array(r)), pa.array(score[q, r])],
-                        ["query_id", "id", "tie", "score"],
-                    )
-
-        return have.mapInArrow(run, schema)
-
-    parts = [asked.slice(i, at_once) for i in range(0, max(1, asked.num_rows), at_once)]
-    found = one_pass(parts[0])
-    for part in parts[1:]:
-        found = found.unionByName(one_pass(part))
+                if batch.num_rows and asked.num_rows:
+                    yield from _scores(asked, batch, vectors, k, digits)
+
+        found = have.mapInArrow(run, schema)
+    else:
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for pairs in batches:
+                for i in range(pairs.num_rows):
+                    asked, batch = _unpacked(pairs.column(0)[i]), _unpacked(pairs.column(1)[i])
+                    yield from _scores(asked, batch, _matrix(asked.column(1), _dimension(asked.column(1))), k, digits)
+
+        asked = checkpointed(_packed(ask, _PACKED, "asked"))
+        blocks = [r.block for r in asked.select("block").toLocalIterator()]
+        spread = _packed(have, _PACKED, "records").drop("block").withColumn("block", F.explode(F.lit(blocks)))
+        found = spread.join(asked, "block").select("asked", "records").mapInArrow(meet, schema)
     return rank_in(found, ["query_id"], [F.desc("score"), F.col("tie")], k).drop("tie")
 
 

@@ -17,11 +17,11 @@ class IndexMissing(FileNotFoundError):
 
 
 def save_index(folder: str, chunks: DataFrame, keywords: DataFrame, how: Strategy, index: BM25Index | None, config: dict | None = None) -> None:
-    """Tables chunks, keywords, postings, terms and stats, and config; postings lie together by token, so a query reads few files."""
+    """Tables chunks, keywords, tokens (of each chunk), terms and stats, and config."""
     chunks.write.mode("overwrite").parquet(f"{folder}/chunks")
     keywords.write.mode("overwrite").parquet(f"{folder}/keywords")
     if index is not None:
-        index.postings.repartitionByRange("token").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{folder}/postings")
+        index.documents.write.mode("overwrite").parquet(f"{folder}/tokens")
         index.terms.write.mode("overwrite").parquet(f"{folder}/terms")
         index.stats.write.mode("overwrite").parquet(f"{folder}/stats")
     text = json.dumps({"strategy": asdict(how), **(config or {})}, ensure_ascii=False)
@@ -34,5 +34,5 @@ def load_index(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame,
     config = json.loads(spark.read.text(f"{folder}/config", wholetext=True).first()[0])
     how = Strategy(**config.pop("strategy"))
     table = lambda name: spark.read.parquet(f"{folder}/{name}")
-    index = BM25Index(table("postings"), table("terms"), table("stats")) if how.use_bm25 else None
+    index = BM25Index(table("tokens"), table("terms"), table("stats")) if how.use_bm25 else None
     return table("chunks"), table("keywords"), how, index, config
