@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -111,10 +111,12 @@ class StructureChunker:
     target_tokens: int = 450
     max_tokens: int = 650
     overlap_tokens: int = 80
+    #: Tokens of a string; the estimate by words needs no tokenizer. A counter must never count less for a longer text.
+    count: Callable[[str], int] = tokens_of
 
     def __post_init__(self) -> None:
         if self.target_tokens <= 0 or self.max_tokens <= 0:
-            raise ValueError("target_tokens and max_tokens must be positive")
+            raise ValueError("a chunk needs at least one token")
         if self.max_tokens < self.target_tokens:
             raise ValueError("max_tokens must be at least target_tokens")
 
@@ -123,7 +125,7 @@ class StructureChunker:
         held: list[str] = []
         tokens = 0
         for unit in units:
-            n = tokens_of(unit)
+            n = self.count(unit)
             whole = n <= self.max_tokens
             if held and (not whole or tokens + n > self.max_tokens):
                 chunks.append(held)
@@ -140,13 +142,26 @@ class StructureChunker:
         return [*chunks, held] if held else chunks
 
     def by_words(self, text: str) -> list[str]:
-        """Groups of the fewest words that reach max_tokens."""
+        """Groups of the fewest words that reach max_tokens by the estimate; with another counter, of as many words as fit in max_tokens."""
         words = text.split()
+        if self.count is not tokens_of:
+            return self._fitting(words)
         n = 1
         while max(1, round(n * 1.5)) < self.max_tokens:
             n += 1
         return [" ".join(words[i : i + n]) for i in range(0, len(words), n)]
 
+    def _fitting(self, words: list[str]) -> list[str]:
+        out: list[str] = []
+        held = ""
+        for word in words:
+            longer = f"{held} {word}" if held else word
+            if held and self.count(longer) > self.max_tokens:
+                out.append(held)
+                longer = word
+            held = longer
+        return [*out, held] if held else out
+
     def overlap(self, packed: list[list[str]]) -> list[list[str]]:
         if self.overlap_tokens <= 0:
             return packed
@@ -154,7 +169,7 @@ class StructureChunker:
         for before, own in zip(packed[:-1], packed[1:], strict=True):
             at, total = len(before), 0
             while at and total < self.overlap_tokens:
-                n = tokens_of(before[at - 1])
+                n = self.count(before[at - 1])
                 if at < len(before) and total + n > self.overlap_tokens:
                     break
                 at, total = at - 1, total + n

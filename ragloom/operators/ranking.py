@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ragloom.functions import text as T
 from ragloom.operators.chunking import rank_in
-from ragloom.session import broadcast_if_small
+from ragloom.session import SMALL_ROWS
 
 RRF_K, SCORE_EPSILON, CONTEXT_TOKENS, CONFIDENCE, RERANK_POOL = 60, 0.02, 1600, 0.6, 10
 
@@ -35,16 +35,34 @@ def deduplicate(ranked: DataFrame, content_hash: str = "content_hash") -> DataFr
     return rank_in(first.withColumnRenamed("rank", "_rank"), ["query_id"], [F.col("_rank")]).drop("_rank")
 
 
-def classify_keywords(queries: DataFrame, keywords: DataFrame, threshold: float = CONFIDENCE) -> DataFrame:
+def _contained(asked: DataFrame, keywords: DataFrame, size: int = 3) -> DataFrame:
+    """asked (query_id, q) with each of keywords (slug, keyword) that q contains, as an equi-join: a keyword's first size letters are among the runs of
+    letters of any text that contains it. An empty keyword is in every text."""
+    first = keywords.select("slug", "keyword", F.substring("keyword", 1, size).alias("gram"))
+    lengths = F.array(*(F.lit(k) for k in range(size + 1)))
+    runs = F.flatten(F.transform(lengths, lambda n: F.when(n == 0, F.array(F.lit(""))).when(
+        F.length("q") >= n, F.transform(F.sequence(F.lit(1), F.length("q") - n + 1), lambda i: F.substring(F.col("q"), i, n))
+    ).otherwise(F.array().cast("array<string>"))))
+    grams = asked.select("query_id", F.explode(F.array_distinct(runs)).alias("gram"))
+    # Keywords that share a gram with a query, then the texts of the queries for the final word.
+    near = grams.join(first, "gram").drop("gram")
+    return near.join(asked, "query_id").where(F.contains("q", "keyword"))
+
+
+def classify_keywords(queries: DataFrame, keywords: DataFrame, threshold: float = CONFIDENCE, small: int = SMALL_ROWS) -> DataFrame:
     """(query_id, slug, confidence, should_filter) of every query.
 
     keywords: (slug, keyword). A keyword hits a query that contains it. The slug with most hits wins, of
     equals the last by name; half of the confidence is its share of all hits, half grows with two hits. Without hits the slug is null and
-    the confidence 0.
+    the confidence 0. Up to small keywords go to every task; more meet the queries by their first letters.
     """
-    kw = broadcast_if_small(keywords.select("slug", F.lower("keyword").alias("keyword")))
+    kw = keywords.select("slug", F.lower("keyword").alias("keyword"))
     asked = queries.select("query_id", T.match_form(F.col("query")).alias("q"))
-    hits = asked.join(kw, F.contains("q", "keyword")).groupBy("query_id", "slug").agg(F.count("*").alias("hits"))
+    if kw.limit(small + 1).count() <= small:
+        found = asked.join(F.broadcast(kw), F.contains("q", "keyword"))
+    else:
+        found = _contained(asked, kw)
+    hits = found.groupBy("query_id", "slug").agg(F.count("*").alias("hits"))
     best = hits.groupBy("query_id").agg(F.max_by("slug", F.struct("hits", "slug")).alias("slug"), F.max("hits").alias("best"), F.sum("hits").alias("total"))
     confidence = F.bround(0.5 * F.col("best") / F.col("total") + 0.5 * F.least(F.lit(1.0), F.col("best") / 2), 4)
     scored = best.select("query_id", "slug", confidence.alias("confidence"))

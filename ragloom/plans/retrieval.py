@@ -13,11 +13,11 @@ from ragloom.operators import ranking as R
 from ragloom.operators.bm25 import BM25Index
 from ragloom.operators.bm25 import idf as idf_of
 from ragloom.operators.dense import dense_topk
-from ragloom.plans.chunks import BASELINE, baseline_chunks
+from ragloom.plans.chunks import BASELINE, STRUCTURED, preset_chunks
 from ragloom.plans.registry import query, table
 from ragloom.plans.stores import DIGITS, asked, mock_sql, unit_sql
-from ragloom.plans.texts import TOKENS
-from ragloom.session import checkpointed
+from ragloom.plans.texts import ESTIMATE, TOKENS
+from ragloom.session import written
 
 SCORE = 6
 KEYWORDS = [
@@ -100,17 +100,16 @@ def classify_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.classify_keywords(docs, keywords(spark))
 
 
-def embedded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def embedded_chunks(spark: SparkSession, sf_dir: str, chunker: str = "fixed_size") -> DataFrame:
     """The index: chunks and their embeddings, written once."""
-    return checkpointed(baseline_chunks(spark, sf_dir).withColumn("embedding", mock_embedding(F.col("raw_text"))))
+    return written(preset_chunks(spark, sf_dir, chunker).withColumn("embedding", mock_embedding(F.col("raw_text"))))
 
 
 def retriever(spark: SparkSession, sf_dir: str, **how) -> H.HybridRetriever:
     return H.HybridRetriever(embedded_chunks(spark, sf_dir), keywords(spark), H.Strategy(**how), digits=DIGITS)
 
 
-HYBRID = f"""
-{BASELINE},
+_LISTS = f"""
 {bm25_sql('chunks', 'chunk_id', 'raw_text', 20)},
 {classified_sql('benchmark', 'item_id::VARCHAR', 'text')},
 wanted AS (SELECT query_id, CASE WHEN confidence >= 0.6 THEN slug END AS wanted FROM classified),
@@ -126,6 +125,23 @@ uniq AS (SELECT query_id, chunk_id, score, raw_text, procedure_slug FROM fused J
 hybrid AS (SELECT query_id, chunk_id, score, raw_text, procedure_slug, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id))::INT AS rank FROM uniq)"""
 
 
+HYBRID, HYBRID_STRUCTURED = f"{BASELINE},{_LISTS}", f"{STRUCTURED},{_LISTS}"
+#: The same without the filter by slug.
+UNFILTERED = HYBRID.replace("CASE WHEN confidence >= 0.6 THEN slug END AS wanted", "NULL::VARCHAR AS wanted")
+
+#: CTEs from hybrid up to picked (query_id, chunk_id, score, rank): five of each query, a slug not yet taken going first within 0.02 of the best left.
+DIVERSIFIED = """
+items AS (SELECT query_id, list({'rank': rank, 'score': score, 'slug': coalesce(procedure_slug, chr(0)), 'chunk_id': chunk_id} ORDER BY rank) AS items FROM hybrid GROUP BY query_id),
+walk(query_id, n, taken, rest) AS (
+  SELECT query_id, 1, items[1:1], items[2:] FROM items
+  UNION ALL
+  SELECT query_id, n + 1, list_append(taken, c), list_filter(rest, lambda x: x.rank <> c.rank) FROM (
+    SELECT *, coalesce(list_filter(rest, lambda x: rest[1].score - x.score <= 0.02 AND NOT list_contains(list_transform(taken, lambda p: p.slug), x.slug))[1], rest[1]) AS c
+    FROM walk WHERE n < 5 AND len(rest) > 0)),
+picked AS (SELECT query_id, taken[i].chunk_id AS chunk_id, taken[i].score AS score, i::INT AS rank
+  FROM (SELECT query_id, taken, unnest(range(1, len(taken) + 1)) AS i FROM (SELECT * FROM walk QUALIFY n = max(n) OVER (PARTITION BY query_id))))"""
+
+
 @query(f"WITH {HYBRID} SELECT query_id, chunk_id, score, rank FROM hybrid WHERE rank <= 5")
 def hybrid_primary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hybrid search of every benchmark passage, without diversity and neighbours."""
@@ -144,13 +160,27 @@ def hybrid_reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.retrieve(asked(spark, sf_dir)).primary.select("query_id", "chunk_id", "score", "rank")
 
 
-@query()
+@query(f"WITH RECURSIVE {UNFILTERED}, {DIVERSIFIED} SELECT query_id, chunk_id, score, rank FROM picked")
 def hybrid_diversified(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = retriever(spark, sf_dir, use_adjacent_expansion=False, use_metadata_filter=False)
     return r.retrieve(asked(spark, sf_dir)).primary.select("query_id", "chunk_id", "score", "rank")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {HYBRID}, {DIVERSIFIED},
+known AS (SELECT chunk_id, procedure_slug, previous_chunk_id, next_chunk_id, {ESTIMATE.format('raw_text')} AS tokens FROM chunks),
+tries AS (SELECT p.query_id, p.rank, side, n.chunk_id AS near_id, n.tokens FROM picked p JOIN known k USING (chunk_id) CROSS JOIN (VALUES (0), (1)) s(side)
+  JOIN known n ON n.chunk_id = CASE side WHEN 0 THEN k.previous_chunk_id ELSE k.next_chunk_id END AND n.procedure_slug IS NOT DISTINCT FROM k.procedure_slug),
+lists AS (SELECT query_id, list({{'rank': rank, 'side': side, 'id': near_id, 'tokens': tokens}} ORDER BY rank, side) AS t FROM tries GROUP BY query_id),
+grow(query_id, i, used, total, added) AS (
+  SELECT query_id, 0, list(chunk_id), sum(tokens)::BIGINT, []::BIGINT[] FROM picked JOIN known USING (chunk_id) GROUP BY query_id
+  UNION ALL
+  SELECT query_id, i + 1, CASE WHEN fits THEN list_append(used, t[i + 1].id) ELSE used END, total + CASE WHEN fits THEN t[i + 1].tokens ELSE 0 END, CASE WHEN fits THEN list_append(added, i + 1) ELSE added END
+  FROM (SELECT g.*, t, NOT list_contains(used, t[i + 1].id) AND total + t[i + 1].tokens <= 1600 AS fits FROM grow g JOIN lists USING (query_id) WHERE i < len(t))),
+ended AS (SELECT query_id, t, unnest(added) AS a FROM (SELECT query_id, i, added, t FROM grow JOIN lists USING (query_id) QUALIFY i = max(i) OVER (PARTITION BY query_id))),
+every AS (SELECT query_id, rank AS parent, -1 AS side, chunk_id, score, 'primary' AS source FROM picked
+  UNION ALL SELECT e.query_id, t[a].rank, t[a].side, t[a].id, score, 'adjacent' FROM ended e JOIN picked p ON p.query_id = e.query_id AND p.rank = t[a].rank)
+SELECT query_id, chunk_id, score, source, (row_number() OVER (PARTITION BY query_id ORDER BY parent, side))::INT AS rank FROM every""")
 def hybrid_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Everything: filter, fusion, diversity and neighbours within the token budget."""
     return retriever(spark, sf_dir).retrieve(asked(spark, sf_dir)).context.select("query_id", "chunk_id", "score", "source", "rank")
