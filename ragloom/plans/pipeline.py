@@ -15,7 +15,7 @@ from ragloom.operators import prompts as PR
 from ragloom.operators.bm25 import BM25Index
 from ragloom.operators.sections import detect_sections
 from ragloom.operators.store import EmbeddingStore
-from ragloom.session import checkpointed
+from ragloom.session import checkpointed, written
 from ragloom.sources import documents as D
 from ragloom.sources.index import load_index, save_index
 
@@ -56,7 +56,7 @@ class RagPipeline:
     def build_from_sections(self, sections: DataFrame, keywords: DataFrame, label: str = "documents") -> DataFrame:
         """The chunks, written once with their embeddings."""
         cut = C.baseline_chunk_sections(sections) if self.how.chunker == "fixed_size" else C.chunk_sections(sections, label=label)
-        chunks = checkpointed(cut.withColumn("embedding", self.embed(F.col("text"))))
+        chunks = written(cut.withColumn("embedding", self.embed(F.col("text"))))
         self.keywords = keywords
         self.retriever = H.HybridRetriever(chunks, keywords, self.how, embed=self.embed, digits=self.digits)
         return chunks
@@ -75,14 +75,21 @@ class RagPipeline:
         return self.retrieve_detailed(queries, top_k).context.join(self.built().chunks.drop("embedding"), "chunk_id")
 
     def answer(self, queries: DataFrame, generate: Callable[[str], str], top_k: int = 5, source: str = "documents") -> DataFrame:
-        """(query_id, answer, error, citations, unsupported, retrieved_ids, refused) of every query."""
-        hits = self.retrieve(queries, top_k)
+        """(query_id, answer, error, generation_ms, citations, unsupported, retrieved_ids, refused, procedure_slug, procedure_confidence,
+        metadata_filter_applied, reranker_used, embedding_model) of every query."""
+        clean = queries.select("query_id", T.normalize_query(F.col("query")).alias("query"))
+        found = self.built().retrieve(clean, top_k)
+        hits = found.context.join(self.built().chunks.select("chunk_id", "procedure_title", "procedure_slug", "raw_text"), "chunk_id")
         block = PR.cited_block(source, F.col("procedure_title"), F.col("procedure_slug"), F.col("chunk_id"), F.col("raw_text"))
         context = PR.joined_context(hits, block).join(hits.groupBy("query_id").agg(F.collect_set("chunk_id").alias("retrieved_ids")), "query_id")
-        asked = queries.join(context, "query_id", "left").withColumn("retrieved_ids", F.coalesce("retrieved_ids", F.array().cast("array<string>")))
+        asked = clean.join(context, "query_id", "left").withColumn("retrieved_ids", F.coalesce("retrieved_ids", F.array().cast("array<string>")))
         said = checkpointed(asked.select("query_id", "retrieved_ids", providers.generated(PR.grounded_prompt(F.col("query"), F.col("context")), generate).alias("g")))
-        cited = said.select("query_id", "retrieved_ids", "g.answer", "g.error", PR.citations(F.col("g.answer"), source).alias("citations"))
-        return cited.select("*", PR.unsupported(F.col("citations"), F.col("retrieved_ids")).alias("unsupported"), PR.refused(F.col("answer"), REFUSAL).alias("refused"))
+        cited = said.select("query_id", "retrieved_ids", "g.answer", "g.error", F.col("g.ms").alias("generation_ms"), PR.citations(F.col("g.answer"), source).alias("citations"))
+        about = found.queries.select(
+            "query_id", F.col("slug").alias("procedure_slug"), F.col("confidence").alias("procedure_confidence"), F.col("should_filter").alias("metadata_filter_applied"),
+            F.lit(self.how.use_reranker).alias("reranker_used"), F.lit(self.embedding).alias("embedding_model"),
+        )
+        return cited.select("*", PR.unsupported(F.col("citations"), F.col("retrieved_ids")).alias("unsupported"), PR.refused(F.col("answer"), REFUSAL).alias("refused")).join(about, "query_id")
 
     def save_index(self, folder: str) -> None:
         r = self.built()

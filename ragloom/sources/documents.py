@@ -103,9 +103,9 @@ def markdown_document(metadata: Column, title: Column, content: Column) -> Colum
     return F.concat(F.lit("---\n"), F.array_join(lines, "\n"), F.lit("\n---\n\n# "), title, F.lit("\n\n"), content, F.lit("\n"))
 
 
-def write_markdown(docs: DataFrame, folder: str) -> None:
+def write_markdown(docs: DataFrame, folder: str, mode: str = "overwrite") -> None:
     """A folder doc_id=... with one text each. docs: (doc_id, document)."""
-    docs.select("doc_id", F.col("document").alias("value")).repartition("doc_id").write.mode("overwrite").partitionBy("doc_id").option("lineSep", "\n").text(folder)
+    docs.select("doc_id", F.col("document").alias("value")).repartition("doc_id").write.mode(mode).partitionBy("doc_id").option("lineSep", "\n").text(folder)
 
 
 def missing_metadata(docs: DataFrame, required: tuple[str, ...] = ("audience", "source_url", "retrieved_at", "document_version")) -> DataFrame:

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+import time
 from collections.abc import Callable
+from html import escape
 from html.parser import HTMLParser
+from urllib.request import Request, urlopen
 from urllib.robotparser import RobotFileParser
 
 import pyarrow as pa
@@ -14,11 +17,12 @@ from pyspark.sql import types
 
 from ragloom import schema
 from ragloom.functions import text as T
+from ragloom.sources.documents import markdown_document
 
 SKIPPED = frozenset("script style nav footer header noscript svg iframe".split())
 BLOCKS = frozenset("p br li h1 h2 h3 h4 h5 h6 tr div section article".split())
 LEAST_CONTENT = 80
-_KEPT_APART = ["url", "doc_id", "title", "document_version", "license_or_permission"]
+_KEPT_APART = ["doc_id", "document_version", "license_or_permission", "title", "url"]
 
 
 class _Extractor(HTMLParser):
@@ -125,10 +129,19 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).schema(", ".join(f"{c} string" for c in schema.MANIFEST)).csv(path).where("doc_id <> ''")
 
 
-def upsert_manifest(old: DataFrame, new: DataFrame) -> DataFrame:
-    """old with the rows of new, which replace those of the same doc_id; missing values are ''."""
+def _last_of_each(rows: DataFrame, order: Column | None) -> DataFrame:
+    given = rows.select(*schema.MANIFEST, (order if order is not None else F.monotonically_increasing_id()).alias("_n"))
+    last = given.groupBy("doc_id").agg(F.max_by(F.struct(*schema.MANIFEST), F.col("_n")).alias("row"))
+    return last.select("row.*")
+
+
+def upsert_manifest(old: DataFrame, new: DataFrame, order: Column | None = None) -> DataFrame:
+    """old with the rows of new, which replace those of the same doc_id; missing values are ''.
+
+    Of rows of new with one doc_id the last counts, by order, or as they are read where that is not given.
+    """
     kept = old.join(new.select("doc_id").distinct(), "doc_id", "left_anti").select(*schema.MANIFEST)
-    return kept.unionByName(new.select(*schema.MANIFEST)).select(*(F.coalesce(c, F.lit("")).alias(c) for c in schema.MANIFEST))
+    return kept.unionByName(_last_of_each(new, order)).select(*(F.coalesce(c, F.lit("")).alias(c) for c in schema.MANIFEST))
 
 
 def write_manifest(manifest: DataFrame, path: str) -> None:
@@ -154,6 +167,57 @@ def robots_allowed(urls: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
     return joined.withColumn("allowed", allowed("url", "_body") & (F.col("_site") != "")).drop("_site", "_body")
 
 
+def http_fetch(agent: str, timeout: float = 20.0, delay: float = 1.0) -> Callable[[str], tuple[str, str]]:
+    """A ``fetch`` for ``fetch_pages``: HTML or plain text, decoded by the charset that the server names; delay seconds between requests of a task."""
+    last = [0.0]
+
+    def fetch(url: str) -> tuple[str, str]:
+        time.sleep(max(0.0, last[0] + delay - time.monotonic()))
+        last[0] = time.monotonic()
+        request = Request(url, headers={"User-Agent": agent, "Accept": "text/html,text/plain;q=0.9"})
+        with urlopen(request, timeout=timeout) as reply:
+            kind = reply.headers.get_content_type().lower()
+            if kind not in ("text/html", "text/plain"):
+                raise ValueError(f"not a text: {kind}")
+            body = reply.read().decode(reply.headers.get_content_charset() or "utf-8", "replace")
+            return reply.geturl(), body if kind == "text/html" else f"<pre>{escape(body, quote=False)}</pre>"
+
+    return fetch
+
+
+def read_robots(urls: DataFrame, fetch: Callable[[str], tuple[str, str]]) -> DataFrame:
+    """(site, body) of the robots.txt of each site of urls; a site whose file can't be read has no row."""
+    sites = urls.select(F.regexp_extract("url", "^(https?://[^/?#]+)", 1).alias("site")).where("site <> ''").distinct()
+    got = fetch_pages(sites.withColumn("url", F.concat("site", F.lit("/robots.txt"))), fetch)
+    plain = F.regexp_replace(F.regexp_replace("body", "^<pre>|</pre>$", ""), "&amp;", "&")
+    return got.where("error is null").select("site", plain.alias("body"))
+
+
+def crawl(rows: DataFrame, fetch: Callable[[str], tuple[str, str]], agent: str, today: str, kept: DataFrame | None = None, robots: DataFrame | None = None) -> DataFrame:
+    """(url, doc_id, document, metadata, row, error) of every row (url, row) of a URL list. error says why a row has no document: its robots file,
+    the fetch, too short a text, or a doc_id that kept (doc_id) has already, as a crawl without overwriting does."""
+    allowed = robots_allowed(rows, robots if robots is not None else read_robots(rows, fetch), agent)
+    got = fetch_pages(allowed.where("allowed").drop("allowed"), fetch)
+    page = extracted(got, "body")
+    metadata = page_metadata(F.coalesce("final_url", "url"), F.coalesce("title", F.lit("")), today, F.col("row"))
+    done = page.select("url", "row", "text", "error", metadata.alias("metadata")).withColumn("doc_id", F.col("metadata")["doc_id"])
+    have = (kept.select("doc_id").distinct() if kept is not None else rows.sparkSession.createDataFrame([], "doc_id string")).withColumn("_kept", F.lit(True))
+    done = done.join(have, "doc_id", "left")
+    why = F.coalesce("error", F.when(~long_enough(F.coalesce("text", F.lit(""))), "the text is too short").when(F.col("_kept"), "the document is there already"))
+    done = done.withColumn("why", why)
+    document = F.when(F.col("why").isNull(), markdown_document(F.col("metadata"), F.col("metadata")["title"], F.col("text")))
+    denied = allowed.where(~F.col("allowed")).select("url", F.lit(None).cast("string").alias("doc_id"), F.lit(None).cast("string").alias("document"), F.lit(None).cast("map<string,string>").alias("metadata"), "row", F.lit("not allowed by the site").alias("error"))
+    return done.select("url", "doc_id", document.alias("document"), "metadata", "row", F.col("why").alias("error")).unionByName(denied)
+
+
+def manifest_rows(crawled: DataFrame, folder: str) -> DataFrame:
+    """The manifest's rows of crawled documents."""
+    ok = crawled.where("document is not null")
+    field = lambda name: F.col("metadata")[name].alias(name)
+    license_ = F.coalesce(F.nullif(F.try_element_at("row", F.lit("license_or_permission")), F.lit("")), F.lit("public-source"))
+    return ok.select("doc_id", F.concat(F.lit(folder.rstrip("/") + "/doc_id="), "doc_id").alias("file_path"), field("title"), field("source_url"), field("retrieved_at"), field("document_version"), license_.alias("license_or_permission"))
+
+
 def fetch_pages(urls: DataFrame, fetch: Callable[[str], tuple[str, str]]) -> DataFrame:
     """urls (url, ...) with final_url, body and error. fetch(url) gives (final URL, HTML) or raises; it is the caller's, as is politeness: run it on few tasks."""
 
