@@ -1,20 +1,25 @@
 """Operator 9: toxic passages by maximum-scoring segments.
 
-Words get log-odds of occurring in toxic against clean documents, with a Dirichlet prior in
-proportion to the document frequencies of the whole corpus, so that rare words don't
-stand out by chance. Those beyond ``Z`` deviations score their log-odds, all others
-``-DRIFT``. A linear-time scan finds all maximal scoring segments of every text. The
+Every word of a labelled document gets its log-odds of occurring in toxic against clean documents, of either sign. Its
+two rates have a Dirichlet prior that weighs as much as ``PRIOR`` occurrences, centred at its share of all words in the whole corpus or in the labelled
+documents, whichever is less (copies, which count once among these, make a word frequent in the corpus). The log-odds are drawn towards 0 by
+``DEVIATIONS`` of the posterior, so words seen a few times, as those of a passage that stands in two or three documents, weigh little and what
+labels don't tell apart is near 0. A word of no labelled document has log-odds 0. Each word of a text
+scores its log-odds less ``DRIFT``, the price of a word in a passage. A linear-time scan finds all maximal
+scoring segments; it is run on the texts whose best segment, the largest rise of their running sum, is significant. The
 score of the best segment of n random words has an extreme-value distribution,
-P(S >= x) = 1 - exp(-k n exp(-rate x)): rate solves the equation of the score distribution, k is
+P(S >= x) = 1 - exp(-k n exp(-rate x)): rate solves the equation of the score distribution of clean text, k is
 counted from segments of a long random sequence. A segment that significant is a passage, and a
 document with one is toxic.
 
 The word scores are a classifier fitted on at most ``LABELLED`` labelled documents of
-either class, those near by SimHash counting once.
+either class, those near by SimHash counting once, and at most ``WORDS`` words, those of largest log-odds. Words are counted
+by a distributed aggregate; only signatures and the finished scores come to the driver.
 
-Defined results: null and empty texts have no passages; label rows with null
+Defined results: null and empty texts have no passages; a very long text is scanned whole; label rows with null
 values are ignored, one toxic label is enough; repeated rows each have their passages; without labels of both classes
-nothing is found; equal scores keep the earlier and shorter segment.
+nothing is found; equal scores keep the earlier and shorter segment; an empty table gives no rows; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -25,19 +30,20 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ragloom.llm import kernel as K
 from ragloom.llm.common import checkpointed
 from ragloom.llm.simhash import DISTANCE, document_frequency, features, sketch
 
-LABELLED, PRIOR, Z, LEAST_ODDS = 5_000, 0.1, 4.0, 1.0
-DRIFT, CAP, SIGNIFICANT = 0.5, 8.0, 0.01
+LABELLED, WORDS, PRIOR, DEVIATIONS = 5_000, 2_000_000, 4.0, 2.0
+DRIFT, SIGNIFICANT = 0.5, 0.01
+_SIGNATURE = ["s0", "s1", "s2", "s3"]
 
 
 class Scores(NamedTuple):
-    """Toxic words (44 bits of the hash, sorted), their scores, and the calibration."""
+    """Words (44 bits of the hash, sorted), their log-odds, and the calibration."""
 
     words: np.ndarray
     odds: np.ndarray
@@ -79,31 +85,28 @@ def one_of_each(sig: np.ndarray, distance: int = DISTANCE) -> np.ndarray:
     return keep
 
 
-def log_odds(
-    toxic: np.ndarray, clean: np.ndarray, background: np.ndarray, prior: float = PRIOR, all_background: float | None = None
-) -> tuple[np.ndarray, np.ndarray]:
-    """Log-odds of words and their deviation score, prior being a share of the labelled counts."""
-    n1, n0 = toxic.sum(), clean.sum()
-    weight = prior * (n1 + n0)
-    alpha = weight * np.maximum(background, 1) / (all_background or background.sum())
-    up, down = toxic + alpha, clean + alpha
-    odds = np.log(up / (n1 + weight - up)) - np.log(down / (n0 + weight - down))
-    return odds, odds / np.sqrt(1 / up + 1 / down)
+def log_odds(toxic: Column, clean: Column, n_toxic: float, n_clean: float, share: Column, prior: float = PRIOR) -> tuple[Column, Column]:
+    """(log-odds, rate in clean documents) of words counted so in n_toxic and n_clean occurrences of words, share being theirs of all in the corpus."""
+    share = F.least(share, (toxic + clean) / F.lit(float(n_toxic + n_clean)))
+    up = (toxic + F.lit(prior)) / (F.lit(float(n_toxic)) * share + F.lit(prior))
+    down = (clean + F.lit(prior)) / (F.lit(float(n_clean)) * share + F.lit(prior))
+    odds = F.ln(up) - F.ln(down)
+    deviation = F.sqrt(1 / (toxic + F.lit(prior)) + 1 / (clean + F.lit(prior)))
+    return F.signum(odds) * F.greatest(F.lit(0.0), F.abs(odds) - F.lit(DEVIATIONS) * deviation), share * down
 
 
-def segments(place: np.ndarray, score: np.ndarray, drift: float = DRIFT) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (first word, end, score) of a text whose words at place score, the others -drift.
+def segments(score: np.ndarray) -> list[tuple[int, int, float]]:
+    """All maximal scoring segments (first word, end, score) of a text whose words score so.
 
     One pass in linear time: a candidate knows the last one before it that begins at a lower total, so a search
     skips what lies between; where none begins lower, all candidates so far are final.
     """
-    total, last = 0.0, -1
+    place = np.flatnonzero(score > 0)
+    total = np.concatenate([[0.0], np.cumsum(score)])
     out: list[list[float]] = []
     found: list[list[float]] = []  # first word, end, total before, total after, the candidate that begins lower
-    for p, s in zip(place.tolist(), score.tolist(), strict=True):
-        before = total - drift * (p - last - 1)
-        total, last = before + s, p
-        new = [p, p + 1, before, total, -1]
+    for p, before, after in zip(place.tolist(), total[place].tolist(), total[place + 1].tolist(), strict=True):
+        new = [p, p + 1, before, after, -1]
         j = len(found) - 1
         while True:
             while j >= 0 and found[j][2] >= new[2]:
@@ -122,14 +125,33 @@ def segments(place: np.ndarray, score: np.ndarray, drift: float = DRIFT) -> list
     return [(int(a), int(b), hi - lo) for a, b, lo, hi, _ in out + found]
 
 
-def calibrate(odds: np.ndarray, share: np.ndarray, drift: float = DRIFT, events: int = 20_000) -> tuple[float, float]:
-    """(rate, k) of random words that score odds with the chances share, else -drift."""
-    if not len(odds):
+def best_of_each(score: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The score of the best segment of each text, 0 where no word scores above 0; text i has the words offsets[i] to offsets[i + 1]."""
+    size = np.diff(offsets)
+    best = np.zeros(len(size))
+    if not len(score):
+        return best
+    row = np.repeat(np.arange(len(size)), size)
+    total = np.cumsum(score)
+    before = total - score
+    # Each text lies lower than all of the one before, so the least total so far is of the text itself.
+    apart = row * (total.max() - total.min() + np.abs(score).max() + 1.0)
+    rise = total - apart - np.minimum.accumulate(before - apart)
+    some = size > 0
+    best[some] = np.maximum.reduceat(rise, offsets[:-1][some])
+    return np.maximum(best, 0.0)
+
+
+def calibrate(score: np.ndarray, share: np.ndarray, drift: float = DRIFT, events: int = 20_000) -> tuple[float, float]:
+    """(rate, k) of random words that score so with the chances share, else -drift."""
+    up = score > 0
+    if not up.any():
         return 1.0, 0.0
+    share = share / max(1.0, share.sum())
     rest = 1 - share.sum()
 
     def excess(rate: float) -> float:
-        return float((share * np.exp(rate * odds)).sum() + rest * math.exp(-rate * drift) - 1)
+        return float((share * np.exp(rate * score)).sum() + rest * math.exp(-rate * drift) - 1)
 
     lo, hi = 1e-6, 1e-6
     while excess(hi) <= 0:
@@ -140,46 +162,55 @@ def calibrate(odds: np.ndarray, share: np.ndarray, drift: float = DRIFT, events:
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if excess(mid) <= 0 else (lo, mid)
     rate = hi
-    # Segments of a long random sequence: the share per word beyond x is k exp(-rate x).
+    # Segments of a long random sequence: the share per word beyond x is k exp(-rate x). Only words that score above 0 and the gaps between them are drawn.
     rng = np.random.default_rng(7)
-    place = np.cumsum(rng.geometric(share.sum(), events)) - 1
-    score = odds[rng.choice(len(odds), events, p=share / share.sum())]
-    best = np.array([s for _, _, s in segments(place, score, drift)])
+    often = share[up].sum()
+    gap = rng.geometric(often, events) - 1
+    fall = np.concatenate([score[~up], [-drift]])
+    chance = np.concatenate([share[~up], [rest]]) / (1 - often)
+    mean = (fall * chance).sum()
+    spread = math.sqrt(max(0.0, (fall * fall * chance).sum() - mean * mean))
+    between = np.minimum(0.0, gap * mean + np.sqrt(gap) * spread * rng.standard_normal(events))
+    drawn = score[up][rng.choice(int(up.sum()), events, p=share[up] / often)]
+    best = np.array([s for _, _, s in segments(np.stack([between, drawn], 1).reshape(-1))])
     x = np.median(best)
-    return rate, float((best >= x).sum() / (place[-1] + 1) * math.exp(rate * x))
+    return rate, float((best >= x).sum() / (gap.sum() + events) * math.exp(rate * x))
 
 
-def train(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> Scores:
-    none = Scores(np.zeros(0, np.uint64), np.zeros(0), 1.0, 0.0)
-    t = labelled_documents(docs, labels, bound).toArrow()
-    sig = np.stack([t.column(f"s{k}").to_numpy() for k in range(4)], 1).view(np.uint64)
+def counted_words(each: DataFrame, bound: int = LABELLED) -> DataFrame:
+    """(word, toxic, clean): in how many labelled documents of either class each word is, those near by SimHash counting once."""
+    spark = each.sparkSession
+    some = [
+        each.where(F.col("toxic") == c).select("toxic", *_SIGNATURE).distinct().orderBy(F.xxhash64(*_SIGNATURE), *_SIGNATURE).limit(bound) for c in (0, 1)
+    ]
+    t = some[0].unionByName(some[1]).toArrow()
+    sig = np.stack([t.column(s).to_numpy() for s in _SIGNATURE], 1).view(np.uint64)
     is_toxic = t.column("toxic").to_numpy() > 0
     order = np.lexsort((sig[:, 3], sig[:, 2], sig[:, 1], sig[:, 0], is_toxic))  # the order of rows must not matter
-    kept = order[one_of_each(sig[order])]
-    lists = t.column("words").combine_chunks()
-    by_class = [lists.take(pa.array(kept[is_toxic[kept] == c])).flatten().to_numpy() for c in (False, True)]
-    if not len(by_class[0]) or not len(by_class[1]):
+    kept = t.take(pa.array(order[one_of_each(sig[order])]))
+    chosen = each.join(F.broadcast(spark.createDataFrame(kept)), ["toxic", *_SIGNATURE])
+    one = chosen.groupBy("toxic", *_SIGNATURE).agg(F.min("words").alias("words"))
+    words = one.select("toxic", F.explode("words").alias("word"))
+    return words.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
+
+
+def train(docs: DataFrame, labels: DataFrame, bound: int = LABELLED, words: int = WORDS) -> Scores:
+    none = Scores(np.zeros(0, np.uint64), np.zeros(0), 1.0, 0.0)
+    counted = checkpointed(counted_words(checkpointed(labelled_documents(docs, labels, bound)), bound))
+    size, n_toxic, n_clean = counted.agg(F.count("*"), F.sum("toxic"), F.sum("clean")).first()
+    if not n_toxic or not n_clean:
         return none
-    word, where = np.unique(np.concatenate(by_class), return_inverse=True)
-    clean = np.bincount(where[: len(by_class[0])], minlength=len(word))
-    toxic = np.bincount(where[len(by_class[0]) :], minlength=len(word))
-    spark = docs.sparkSession
     frequency = checkpointed(document_frequency(docs))
     total = frequency.agg(F.sum("df")).first()[0]
-    # Only words seen in toxic documents can be toxic; their number is bounded as the documents are.
-    seen = np.flatnonzero(toxic > 0)
-    asked = spark.createDataFrame(pa.table({"word": word[seen]}))
-    found = frequency.join(asked, "word").toArrow()
-    background = np.zeros(len(word))
-    background[np.searchsorted(word, found.column("word").to_numpy())] = found.column("df").to_numpy()
-    odds, z = log_odds(toxic, clean, background, all_background=total)
-    rows = seen[(z[seen] >= Z) & (odds[seen] >= LEAST_ODDS)]
-    if not len(rows):
-        return none
-    value = np.minimum(odds[rows], CAP)
-    # Chances in clean text: what was counted there, half a word more, spread like the corpus.
-    share = (clean[rows].sum() + 0.5) / clean.sum() * background[rows] / background[rows].sum()
-    return Scores(word[rows].astype(np.uint64), value, *calibrate(value, share))
+    odds, rate = log_odds(F.col("toxic"), F.col("clean"), n_toxic, n_clean, F.col("df") / F.lit(float(total)))
+    scored = counted.join(frequency, "word").select("word", odds.alias("odds"), rate.alias("rate"))
+    if size > words:
+        scored = scored.orderBy(F.desc(F.abs("odds")), "word").limit(words)
+    t = scored.toArrow()
+    word = t.column("word").to_numpy()
+    order = np.argsort(word)
+    value = t.column("odds").to_numpy()[order]
+    return Scores(word[order].astype(np.uint64), value, *calibrate(value - DRIFT, t.column("rate").to_numpy()[order]))
 
 
 def chance(score: float, words: int, scores: Scores) -> float:
@@ -187,25 +218,26 @@ def chance(score: float, words: int, scores: Scores) -> float:
     return -math.expm1(-scores.k * words * math.exp(-scores.rate * score))
 
 
+def word_scores(h: np.ndarray, scores: Scores, drift: float = DRIFT) -> np.ndarray:
+    """The log-odds of words by hash less the drift."""
+    short = h >> np.uint64(20)
+    where = np.minimum(np.searchsorted(scores.words, short), len(scores.words) - 1)
+    return np.where(scores.words[where] == short, scores.odds[where], 0.0) - drift
+
+
 def passages(text: pa.Array, scores: Scores, significant: float = SIGNIFICANT) -> list[tuple[int, int, int, float, float]]:
     """(row, first word, words, score, chance) of every significant segment of every text."""
     out: list[tuple[int, int, int, float, float]] = []
-    if not len(scores.words):
+    if not len(scores.words) or not scores.k:
         return out
-    maybe = np.zeros(1 << 20, bool)
-    maybe[(scores.words >> np.uint64(24)).astype(np.int64)] = True
     for at, part in K.chunks(text):
         w = K.words(part)
-        hit = np.flatnonzero(maybe[(w.hash >> np.uint64(44)).astype(np.int64)])
-        short = w.hash[hit] >> np.uint64(20)
-        where = np.minimum(np.searchsorted(scores.words, short), len(scores.words) - 1)
-        real = scores.words[where] == short
-        hit, value = hit[real], scores.odds[where[real]]
-        row = w.doc[hit]
-        for lo, hi in K.runs(row):
-            i = int(row[lo])
-            n = int(w.offsets[i + 1] - w.offsets[i])
-            for a, e, s in segments(hit[lo:hi] - w.offsets[i], value[lo:hi]):
+        value = word_scores(w.hash, scores)
+        size = np.diff(w.offsets)
+        least = -np.expm1(-scores.k * size * np.exp(-scores.rate * (best_of_each(value, w.offsets) + 1e-6)))
+        for i in np.flatnonzero((least <= significant) & (size > 0)).tolist():
+            n = int(size[i])
+            for a, e, s in segments(value[w.offsets[i] : w.offsets[i + 1]]):
                 p = chance(s, n, scores)
                 if p <= significant:
                     out.append((at + i, a, e - a, s, p))
