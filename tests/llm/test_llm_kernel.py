@@ -112,30 +112,57 @@ def maximal(scores):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.sampled_from([-0.5, -0.5, -0.5, 1.25, 3.0]), max_size=24))
+@given(st.lists(st.sampled_from([-0.5, -0.5, -0.75, -2.0, 1.25, 3.0]), max_size=24))
 def test_maximal_scoring_segments(scores):
-    place = np.array([i for i, s in enumerate(scores) if s > 0], int)
-    got = toxicity.segments(place, np.array([scores[i] for i in place]))
+    got = toxicity.segments(np.array(scores))
     want = maximal(scores)
     assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in want]
     assert np.allclose([s for *_, s in got], [s for *_, s in want])
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([-0.5, -0.75, -2.0, 1.25, 3.0]), max_size=12), max_size=6))
+def test_best_segment_of_each_text(texts):
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(int)
+    got = toxicity.best_of_each(np.array([x for t in texts for x in t]), offsets)
+    assert np.allclose(got, [max((s for *_, s in maximal(t)), default=0.0) for t in texts])
+
+
+def test_calibration_gives_the_chances_of_random_texts():
+    rng = np.random.default_rng(1)
+    odds = np.concatenate([rng.normal(0, 0.2, 500), rng.uniform(1, 4, 40)])
+    share = np.concatenate([np.full(500, 0.9 / 500), np.full(40, 0.02 / 40)])
+    rate, k = toxicity.calibrate(odds - 0.5, share)
+    scores = toxicity.Scores(np.zeros(1), np.zeros(1), rate, k)
+    value = np.append(odds, 0.0) - 0.5
+    drawn = value[rng.choice(541, (4000, 300), p=np.append(share, 0.08))]
+    best = toxicity.best_of_each(drawn.reshape(-1), np.arange(4001) * 300)
+    for p in (0.3, 0.05, 0.01):
+        x = -np.log(-np.log1p(-p) / (k * 300)) / rate
+        assert 0.4 * p <= (best >= x).mean() <= 1.6 * p and abs(toxicity.chance(x, 300, scores) - p) < 1e-9
+
+
+def small_vocabulary(words, classes, **how):
+    return gru.make_vocabulary(np.arange(words) * 7919, 100 - np.arange(words), 3000, classes, **how)
+
+
 def test_gru_gradient_and_lanes():
     rng = np.random.default_rng(0)
-    v = gru.make_vocabulary([(i * 7919, 100 - i) for i in range(20)], 3000, 4)
+    v = small_vocabulary(20, 4)
     m = gru.Model(v, 5)
     docs = [rng.integers(0, v.size, n) for n in (7, 3, 9, 0, 4)]
     ids, off = np.concatenate(docs).astype(np.int16), np.concatenate([[0], np.cumsum([len(d) for d in docs])])
     lanes = gru.pack(ids, off, v.size, lanes=2)
     m = gru.Model(v, 5, m.flat.astype(np.float64))
     g = gru.Model(v, 5, np.zeros_like(m.flat))
-    seen = m.forward(lanes.x, lanes.fresh, np.zeros((2, 5), np.float32))
-    real = lanes.y >= 0
-    _, back = m.output(seen[3][real], lanes.y[real].astype(np.int64), g)
+    x, y, fresh, _ = lanes.window(0, int(lanes.length[0]), 2)
+    seen = m.forward(x, fresh, np.zeros((2, 5), np.float32))
+    real = y >= 0
+    assert real.sum() == len(ids)
+    _, back = m.output(seen[3][real], y[real].astype(np.int64), g)
     d = np.zeros_like(seen[3])
     d[real] = back
-    m.backward(lanes.x.astype(np.int64), lanes.fresh, seen, d, g)
+    m.backward(x, fresh, seen, d, g)
     for k in rng.choice(len(m.flat), 40, replace=False):
         old = m.flat[k]
         m.flat[k] = old + 1e-2
@@ -151,9 +178,46 @@ def test_gru_gradient_and_lanes():
     assert np.allclose(whole, other, atol=1e-4) and np.allclose(whole, alone, atol=1e-4)
 
 
+def test_sums_of_runs():
+    rng = np.random.default_rng(4)
+    rows = rng.normal(size=(400, 3))
+    start = np.unique(np.concatenate([[0], rng.integers(0, 400, 60), [30, 31, 32, 100]]))
+    start = start[(start < 150) | (start > 220)]  # a long run
+    assert np.allclose(gru._run_sums(rows, start), np.add.reduceat(rows, start, axis=0))
+    assert np.allclose(gru._run_sums(rows[:1], np.array([0])), rows[:1])
+
+
+def test_lanes_take_no_more_than_their_words():
+    size = np.array([2_000_000, *[50] * 2000, 0])
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    ids = (np.arange(offsets[-1]) % 1000).astype(np.int16)
+    lanes = gru.pack(ids, offsets, 1000)
+    assert sum(a.nbytes for a in lanes[:5]) < 8 * len(ids)
+    assert int(lanes.length.sum()) == len(ids) and lanes.length[0] == 2_000_000
+    x, y, fresh, doc = lanes.window(0, 40, 256)
+    assert fresh[0].all() and (x[0] == 1000).all() and (y[0] == ids[offsets[doc[0]]]).all() and (x[1:] == y[:-1]).all()
+
+
 def test_probabilities_of_all_words_sum_to_one():
-    v = gru.make_vocabulary([(i * 7919, 100 - i) for i in range(30)], 5000, 5)
+    v = small_vocabulary(90, 5, learned=30, bands=4)
     m = gru.Model(v, 4)
     h = np.tile(np.linspace(-1, 1, 4, dtype=np.float32), (v.size, 1))
     log_p, _ = m.output(h, np.arange(v.size))
-    assert abs(np.exp(log_p).sum() - 1) < 1e-5
+    assert v.size == 35 and abs(np.exp(log_p).sum() - 1) < 1e-5
+    ids, extra = gru.symbols_of((np.arange(91) * 7919).astype(np.uint64), v)
+    assert ids[90] == v.unknown and v.unknown not in ids[:90] and (extra[:30] == 0).all() and (extra[30:90] < 0).all()
+    assert abs(np.exp(log_p[ids] + extra).sum() - 1) < 1e-5
+
+
+def test_batches_hold_every_document_once():
+    rng = np.random.default_rng(2)
+    sizes = rng.integers(0, 40, 100)
+    sizes[50] = 500
+    ids = rng.integers(0, 9, sizes.sum()).astype(np.int16)
+    whole = pa.RecordBatch.from_arrays([pa.array(np.arange(100)), gru._binary(ids, 2 * sizes)], ["doc_id", "ids"])
+    seen, words = [], []
+    for rows, got, offsets in gru._batched(iter([whole.slice(0, 30), whole.slice(30, 0), whole.slice(30)]), 200):
+        seen += rows.column("doc_id").to_pylist()
+        words.append(got)
+        assert offsets[-1] == len(got) <= 200 or len(rows) == 1
+    assert seen == list(range(100)) and np.concatenate(words).tolist() == ids.tolist()

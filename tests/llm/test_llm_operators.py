@@ -334,7 +334,8 @@ def test_one_of_each_group_stays(spark, rows, docs, none):
 
 def test_language_model_learns_and_scores_whole_texts(spark, rows, docs, none):
     train = documents(spark, [(i, prose(random.Random(i), 300), "en", "s") for i in range(30)], extra=False)
-    model = gru.train(train, 40)
+    model = gru.train(train, 400, learned=40)
+    assert len(model.v.words) > 300 and model.v.size == 40 + gru.BANDS + 1
     held = documents(spark, [(i, prose(random.Random(100 + i), 300), "en", "s") for i in range(5)], extra=False)
     mean = held.sparkSession.createDataFrame([r.asDict() for r in gru.score(held, model).collect()]).agg(F.avg("mean_log_likelihood")).first()[0]
     untrained = gru.Model(model.v, model.h)
@@ -362,6 +363,28 @@ def test_words_outside_the_vocabulary_are_scored_by_their_letters(spark):
     word = b"hxqz"
     spelled = sum(float(model.spelled[a * 257 + b]) for a, b in zip([256, *word], [*word, 256], strict=True))
     bare = gru.Model(model.v, model.h, model.flat, np.zeros(257 * 257))
+
+    # A document's score by a plain loop over its words.
+    e, u, wc, bc, ww, bw = (x.astype(float) for x in model.parts)
+    text, state, last, total = unseen[:20] + train.first().text.split()[:300], np.zeros(model.h), model.v.size, 0.0
+    k = K.words(K.strings(pa.array([" ".join(text)])))
+    for h, word in zip(k.hash, re.findall(r"[^\W_]+", " ".join(text).lower()), strict=True):
+        z, r = (1 / (1 + np.exp(-(e[last] + state @ u)[i * model.h : (i + 1) * model.h])) for i in (0, 1))
+        new = np.tanh(e[last][2 * model.h :] + (r * state) @ u[:, 2 * model.h :])
+        state = state + z * (new - state)
+        known = np.flatnonzero(model.v.words == h)
+        last = int(model.v.symbols[known[0]]) if len(known) else model.v.unknown
+        of = model.v.class_of[last]
+        inside = np.flatnonzero(model.v.class_of == of)
+        top, low = state @ wc + bc, (state @ ww + bw)[inside]
+        total += top[of] - np.log(np.exp(top).sum()) + low[last - inside[0]] - np.log(np.exp(low).sum())
+        if len(known):
+            total += float(model.v.extra[known[0]])
+        else:
+            w = word.encode()
+            total += sum(float(model.spelled[a * 257 + b]) for a, b in zip([256, *w], [*w, 256], strict=True))
+    plain = gru.score(documents(spark, [(0, " ".join(text), "en", "s")]), model).first()
+    assert plain.n_words == len(k.hash) and plain.log_likelihood == pytest.approx(total, rel=1e-4)
     assert got[2] - gru.score(pairs.where("doc_id = 2"), bare).first().log_likelihood == pytest.approx(spelled, abs=1e-3)
 
 
@@ -534,6 +557,26 @@ def test_toxic_passages_are_found_and_clean_texts_left(spark, docs, none):
     assert toxicity.toxic_passages(none, scores).count() == toxicity.toxic_passages(none, toxicity.train(none, labels)).count() == 0
 
 
+def test_word_odds_by_plain_counting(spark):
+    texts = [(i, prose(random.Random(i), 12) + (" vexor grumbat" if i % 3 == 0 else " plain words"), "en", "s") for i in range(240)]
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(160)], "doc_id long, quality int, toxic int")
+    scores = toxicity.train(documents(spark, texts), labels)
+    counts = {True: Counter(), False: Counter()}
+    for i, t, _, _ in texts[:160]:
+        counts[i % 3 == 0].update(set(re.findall(r"[^\W_]+", t.lower())))
+    df = Counter(w for _, t, _, _ in texts for w in set(re.findall(r"[^\W_]+", t.lower())))
+    n = {c: x.total() for c, x in counts.items()}
+    words = sorted({*counts[True], *counts[False]})
+    want = {}
+    for w in words:
+        share = min(df[w] / df.total(), (counts[True][w] + counts[False][w]) / (n[True] + n[False]))
+        up, down = ((counts[c][w] + toxicity.PRIOR) / (n[c] * share + toxicity.PRIOR) for c in (True, False))
+        want[int(K.words(K.strings(pa.array([w]))).hash[0] >> np.uint64(20))] = math.copysign(max(0.0, abs(math.log(up / down)) - toxicity.DEVIATIONS * math.sqrt(sum(1 / (counts[c][w] + toxicity.PRIOR) for c in (True, False)))), up - down)
+    got = dict(zip(scores.words.tolist(), scores.odds.tolist(), strict=True))
+    assert set(got) == set(want) and all(got[k] == pytest.approx(x) for k, x in want.items())
+    assert min(got.values()) < -0.5 and max(got.values()) > 0.5
+
+
 def test_decontamination_by_looking_for_every_phrase(spark, rows, docs, none):
     items = [" ".join(rows[7][1].split()[10:40]), "Prefix words here, " + rows[8][1][30:300].upper(), "too short", None, "", " ".join(rows[9][1].split()[5:14])]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string").withColumn("doc_id", F.lit(1))
