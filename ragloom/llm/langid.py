@@ -29,7 +29,7 @@ from ragloom.llm import kernel as K
 
 SIZE = 4096
 PER_LANGUAGE, CENTROIDS, REJECT, ENOUGH = 600, 3, 0.005, 20
-SAMPLE_CHARS = 8192
+SAMPLE_CHARS = 262_144
 _ROWS = 256
 
 

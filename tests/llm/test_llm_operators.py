@@ -644,6 +644,87 @@ def test_pipeline_stages_keep_columns_and_clean_documents(spark, rows, docs, non
         assert after.count() == 0
 
 
+def words_of(text):
+    return re.findall(r"[^\W_]+", (text or "").lower())
+
+
+def without(text, gone):
+    return [w for k, w in enumerate(words_of(text)) if k not in gone]
+
+
+def contaminated(texts, items):
+    """By text the places of words in merged spans of benchmark phrases."""
+    phrases = set()
+    for t in items:
+        w = words_of(t)
+        phrases |= {tuple(w[k : k + decontam.PHRASE]) for k in range(max(1, len(w) - decontam.PHRASE + 1)) if len(w) >= decontam.LEAST}
+    out = {}
+    for t in texts:
+        w, gone = words_of(t), []
+        for k in range(len(w)):
+            for n in {len(p) for p in phrases}:
+                if tuple(w[k : k + n]) in phrases:
+                    if gone and k <= gone[-1][1] + decontam.GAP:
+                        gone[-1][1] = max(gone[-1][1], k + n)
+                    else:
+                        gone.append([k, k + n])
+        out[t] = {k for a, b in gone for k in range(a, b)}
+    return out
+
+
+def test_pipeline_against_brute_force(spark, rows, docs, tmp_path):
+    """What each stage should make of its input, worked out on the driver."""
+    shown = [r for r in rows if r[0] != 67]  # a long text makes brute force slow
+    items = [" ".join(rows[7][1].split()[10:40]), rows[11][1], None, "too short"]
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    seen = {}
+    for name, before, after in staged(spark, docs.where("doc_id is null or doc_id <> 67"), str(tmp_path)):
+        seen[name] = (before.cache(), after.cache())
+    plain = {name: tuple(Counter((r.doc_id, r.text) for r in x.select("doc_id", "text").collect()) for x in both) for name, both in seen.items()}
+    assert plain["language_id"][0] == Counter((i, t) for i, t, _, _ in shown)
+
+    before, after = plain["language_id"]
+    model = langid.train(seen["language_id"][0])
+    which, _, accepted = langid.classify(K.strings(pa.array([t for _, t in before])), model)
+    assert after == Counter({k: n for ok, (k, n) in zip(accepted, before.items(), strict=True) if ok}) and after != before
+    named = {t: model.languages[j] for j, (_, t) in zip(which, before, strict=True)}
+    assert all(r.lang == named[r.text] for r in seen["language_id"][1].select("lang", "text").collect())
+
+    before, after = plain["near_dedup"]
+    rows_of = seen["near_dedup"][0].select("doc_id", "text", F.coalesce("doc_id", F.lit(K.NO_ID)).alias("key"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")).distinct().collect()
+    sig = {(r.key, r.th): (r.s0, r.s1, r.s2, r.s3) for r in simhash.signatures(seen["near_dedup"][0]).collect()}
+    known = sorted((r.key, r.th, r.doc_id, r.text) for r in rows_of if (r.key, r.th) in sig)
+    bits = np.array([sig[r[:2]] for r in known], np.int64).view(np.uint64)
+    group = groups_of(range(len(known)), np.bitwise_count(bits[:, None] ^ bits[None]).sum(2) <= simhash.DISTANCE)
+    first = {}
+    for r, g in zip(known, group, strict=True):
+        first.setdefault(g, r)
+    want = Counter((r[2], r[3]) for r in first.values()) + Counter({k: n for k, n in before.items() if not words_of(k[1])})
+    assert after == want and len(after) < len(before)
+
+    before, after = plain["passage_dedup"]
+    gone = repeated([(i, t, None, None) for i, t in before.elements()], passages.WORDS)
+    want = Counter((i, tuple(without(t, gone.get((i if i is not None else K.NO_ID, t or ""), ())))) for i, t in before.elements())
+    assert Counter((i, tuple(words_of(t))) for i, t in after.elements()) == want and gone
+
+    before, after = plain["decontamination"]
+    gone = contaminated([t for _, t in before], items)
+    want = Counter((i, tuple(without(t, gone[t]))) for i, t in before.elements())
+    assert Counter((i, tuple(words_of(t))) for i, t in after.elements()) == want and any(gone.values())
+
+    before, mixed = seen["mixture"]
+    assert Counter((r.doc_id, r.text) for r in mixed.where("epoch = 0").collect()) == plain["mixture"][0]
+    by_slot = {}
+    for r in mixed.select("slot", F.coalesce("source", F.lit("")).alias("s")).collect():
+        assert by_slot.setdefault(r.slot, r.s) == r.s
+    counts = Counter(r.source or "" for r in before.collect())
+    parts = mixing.whole_weights(mixing.tempered(counts))
+    done = Counter()
+    for slot in range(len(by_slot)):
+        done[by_slot[slot]] += 1
+        assert all(abs(done[s] - (slot + 1) * p / sum(parts.values())) < 1 for s, p in parts.items())
+
+
 def test_pipeline_rereads_each_stage_from_parquet(spark, docs, tmp_path, monkeypatch):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     inputs = []
