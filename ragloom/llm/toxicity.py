@@ -38,7 +38,7 @@ from ragloom.llm.common import checkpointed
 from ragloom.llm.simhash import DISTANCE, document_frequency, features, sketch
 
 LABELLED, WORDS, PRIOR, DEVIATIONS = 5_000, 2_000_000, 4.0, 2.0
-DRIFT, SIGNIFICANT = 0.5, 0.01
+DRIFT, SIGNIFICANT = 0.5, 0.001
 _SIGNATURE = ["s0", "s1", "s2", "s3"]
 
 
