@@ -46,7 +46,7 @@ RATE = 0.1
 STEP_WORDS = 2048
 #: Words that are packed into lanes together (a longer text is a batch of its own).
 BATCH_WORDS = 2_000_000
-FAN_IN = 16
+FAN_IN = 32
 #: Bound of a score before the exponential; weights of a trained model stay far below it.
 _MOST = np.float32(60)
 _END = 255  # ends a spelled word; no byte of UTF-8
