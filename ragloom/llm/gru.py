@@ -38,7 +38,7 @@ from ragloom.llm import kernel as K
 from ragloom.llm.common import checkpointed
 
 VOCABULARY, MIN_COUNT, LEARNED, BANDS = 1_000_000, 2, 2048, 12
-CLASSES, HIDDEN, WINDOW, LANES = 48, 48, 32, 256
+CLASSES, HIDDEN, WINDOW, LANES = 48, 32, 32, 256
 #: Shares of the documents in each round of training; averaging early keeps the tasks' later steps alike.
 ROUNDS = (0.15, 0.35, 0.5)
 RATE = 0.1
