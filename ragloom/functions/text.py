@@ -28,9 +28,14 @@ def _nfc(text: pa.Array) -> pa.Array:
     return pa.array([t if t is None else unicodedata.normalize("NFC", t) for t in text.to_pylist()], pa.string())
 
 
+#: Characters that are in normal form C whatever stands beside them: Latin, Cyrillic, Vietnamese, general punctuation, Han, Hangul.
+COMPOSED = r"\x00-\u02ff\u0400-\u0482\u1e00-\u1eff\u2002-\u206f\u4e00-\u9fff\uac00-\ud7a3"
+
+
 def nfc(text: Column) -> Column:
-    """Unicode normal form C (Spark has no built-in for it)."""
-    return _nfc(text)
+    """Unicode normal form C (Spark has no built-in for it). Only texts with a character that may have to change go to Python."""
+    other = (F.length(text) != F.octet_length(text)) & text.rlike(f"[^{COMPOSED}]")  # what has a byte a character is ASCII
+    return F.coalesce(_nfc(F.when(other, text)), text)
 
 
 def strip(text: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ragloom import cli
 from ragloom.functions import providers
+from ragloom.functions import text as T
 from ragloom.operators import chunking as C
 from ragloom.operators import evaluate as E
 from ragloom.operators import ranking as R
@@ -102,6 +103,21 @@ def test_markdown_is_read_as_it_was_written(spark, tmp_path):
     assert set(got) == {"one", "two"} and got["one"].content.strip() == '# A "b"\n\nText\nmore' and got["two"].metadata["title"] == "T"
 
 
+def test_only_composed_characters_skip_normalisation(spark):
+    import re
+    import unicodedata
+
+    class_ = re.compile(f"[{T.COMPOSED}]")
+    inside = [chr(c) for c in range(0x10000) if class_.match(chr(c))]
+    seconds = {d[-1] for d in (unicodedata.normalize("NFD", chr(c)) for c in range(0x110000) if not 0xD800 <= c < 0xE000) if len(d) > 1}
+    assert len(inside) > 30_000
+    assert all(unicodedata.normalize("NFC", c) == c and not unicodedata.combining(c) and c not in seconds for c in inside)
+    texts = ["e\u0301 caf\u00e9", "plain", "\u0110\u1eb7ng", "D\u0103\u0323ng", "\u1100\u1161\u11a8", "\u212b\u2000x", "\U0001f600 a\u0308", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = [r.n for r in df.select("i", T.nfc(F.col("t")).alias("n")).orderBy("i").collect()]
+    assert got == [unicodedata.normalize("NFC", t) if t is not None else None for t in texts]
+
+
 def test_embedders_have_a_time_limit(spark):
     import time
 
