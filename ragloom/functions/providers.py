@@ -7,7 +7,7 @@ import os
 import threading
 import time
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from urllib.request import Request, urlopen
 
 import pyarrow as pa
@@ -97,7 +97,7 @@ def generated(prompt: Column, generate: Callable[[str], str]) -> Column:
 class ChatModel:
     """A language model behind a chat-completions address; an instance is a function of a prompt, so it can be given as ``generate``.
 
-    The key is read where the model is called, from the variable ``key_from``, and is never part of a plan or an error.
+    The key goes to tasks with the function; where none is given it is read from the variable ``key_from`` there. It is never part of a plan, a text or an error.
     """
 
     address: str
@@ -106,6 +106,7 @@ class ChatModel:
     system: str = ""
     temperature: float = 0.0
     timeout: float = 60.0
+    key: str = field(default="", repr=False)
 
     @classmethod
     def from_environment(cls, system: str = "") -> "ChatModel":
@@ -113,14 +114,14 @@ class ChatModel:
         missing = [v for v in ("LLM_BASE_URL", "LLM_MODEL", "LLM_API_KEY") if not os.environ.get(v, "").strip()]
         if missing:
             raise ProviderError(f"not set: {', '.join(missing)}")
-        return cls(os.environ["LLM_BASE_URL"].strip().rstrip("/") + "/chat/completions", os.environ["LLM_MODEL"].strip(), system=system)
+        return cls(os.environ["LLM_BASE_URL"].strip().rstrip("/") + "/chat/completions", os.environ["LLM_MODEL"].strip(), system=system, key=os.environ["LLM_API_KEY"].strip())
 
     def body(self, prompt: str) -> dict:
         said = [{"role": "system", "content": self.system}] if self.system else []
         return {"model": self.model, "temperature": self.temperature, "messages": [*said, {"role": "user", "content": prompt}]}
 
     def __call__(self, prompt: str) -> str:
-        key = os.environ.get(self.key_from, "").strip()
+        key = self.key or os.environ.get(self.key_from, "").strip()
         if not key:
             raise ProviderError(f"not set: {self.key_from}")
         request = Request(self.address, json.dumps(self.body(prompt)).encode(), {"Content-Type": "application/json", "Authorization": f"Bearer {key}"})
