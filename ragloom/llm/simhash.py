@@ -4,22 +4,16 @@
    depends on its text alone and a group of copies is found whatever its share of the
    table. The 256-bit SimHash is the majority of their hash bits.
 2. Documents of one SimHash become one node, however many copies there are; all that follows is between nodes.
-3. The bits, shuffled in several ways, form rings of segments, 16 bits wide up to a million
-   nodes and up to 18 beyond; there are as many rings as the recall needs at that width. Nodes that agree in a segment are brought
-   together by one sort; within such a bucket nodes are compared with leaders:
-   those within the distance of a leader are linked to it, and the next leader is compared
-   with all. Then nodes linked to leaders that nothing has joined are compared with each other, so that a bucket falls apart only
-   where no two of its nodes are within the distance. A bucket of more than ``BLOCK`` nodes is taken in blocks; each
-   block is compared within itself and with all leaders before it.
-4. Before the full Hamming distance, the pigeonring test must hold: among the
+3. All pairs of nodes are compared, none is passed over: nodes are spread over blocks, and every pair of blocks is a piece of work of its own. A matrix product of
+   the first ``FIRST`` bits, as signs, gives the distance in these of all pairs of a tile; a pair that exceeds the distance there exceeds it on the whole.
+4. What is left must pass the pigeonring test before its full Hamming distance: among the
    segments on the ring some chain has every prefix of l segments differ in at
    most l * distance / m bits. It is necessary for a total within distance.
-5. Links are closed to groups by connected components.
+5. Of the links of two blocks those go on that join what no other has joined, with the number of links of each node, so that a group of n near copies makes no n * n rows.
+   Links are closed to groups by connected components.
 
-Step 3 is approximate: a pair at distance d meets with probability
-1 - (1 - (1 - d/256)^width)^tables, which is at least ``RECALL`` at d = distance, whatever
-the number of nodes (0.99 at 43 bits and 0.999 at 37 then, at either width), and 1 at up to 13 bits, as some segment of a ring must agree;
-wider segments would need more tables than the disk holds.
+Time grows with the square of the number of nodes. Guarantees that no pair is lost need radius 3 in one of 16 segments of 16 bits, or 6 in one of
+8 of 32: the one lets a sixth of all pairs of strangers pass, the other asks for a million probes a node; either costs more than the product.
 
 Defined results: documents without words (null, empty or only signs) are never
 grouped; repeated
@@ -43,9 +37,9 @@ from ragloom.llm.common import checkpointed, doc_key, named
 from ragloom.llm.components import components
 
 BITS = 256
-DISTANCE, RECALL = 52, 0.9
-#: Nodes that a task compares at once.
-BLOCK = 60_000
+DISTANCE = 52
+#: Nodes of a block, of which a task holds two; nodes of a side of a tile; bits that all pairs are compared in; links that are held before they are joined.
+BLOCK, TILE, FIRST, HELD = 400_000, 1024, 160, 1_000_000
 _SEEDS = [np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89)]
 _LOW = np.uint64((1 << 44) - 1)
 _SHIFT = np.uint64(44)
@@ -138,24 +132,6 @@ def signatures(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     )
 
 
-def segment_width(nodes: int) -> int:
-    """Bits of a segment. A bit more halves chance partners at best, but takes a quarter more tables."""
-    return min(18, max(16, math.ceil(math.log2(max(2, nodes))) - 4))
-
-
-def ring_count(width: int, distance: int) -> int:
-    """Rings of segments of this width that let a pair at distance agree in a segment with RECALL."""
-    missed = math.log1p(-((1 - min(distance, BITS - 1) / BITS) ** width))
-    return math.ceil(math.log(1 - RECALL) / missed / (BITS // width)) if distance else 1
-
-
-def _rings(width: int, distance: int) -> list[np.ndarray]:
-    order = np.random.default_rng(20_240_229)
-    per = BITS // width
-    shuffled = (order.permutation(BITS) for _ in range(ring_count(width, distance)))
-    return [p[k * width : (k + 1) * width] for p in shuffled for k in range(per)]
-
-
 def chain_viable(differ: np.ndarray, distance: int, length: int = 4) -> np.ndarray:
     """Pigeonring: is there a start on the ring of m segments from which every chain of
     l <= length segments differs in at most l * distance / m bits? differ: (pairs, m)."""
@@ -175,9 +151,11 @@ def chain_viable(differ: np.ndarray, distance: int, length: int = 4) -> np.ndarr
 def hamming_within(a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
     """Distances of pairs of signatures (n, 4), -1 where they exceed distance; the chain test comes first."""
     out = np.full(len(a), -1, np.int64)
+    if not len(a):
+        return out
     x = np.ascontiguousarray(a ^ b)
     differ = np.bitwise_count(x.view(np.uint16).reshape(len(x), -1))
-    ok = np.flatnonzero(chain_viable(differ, distance)) if len(x) else np.zeros(0, np.int64)
+    ok = np.flatnonzero(chain_viable(differ, distance))
     d = np.bitwise_count(x[ok]).sum(1).astype(np.int64)
     out[ok[d <= distance]] = d[d <= distance]
     return out
@@ -198,117 +176,155 @@ def _joined(rows: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return own
 
 
+def _signs(sig: np.ndarray) -> np.ndarray:
+    """The first bits of signatures as 1 and -1."""
+    return np.unpackbits(sig.view(np.uint8).reshape(len(sig), -1), axis=1)[:, :FIRST].astype(np.float32) * 2 - 1
+
+
+def _true(mask: np.ndarray) -> np.ndarray:
+    """Places of the few true values of a flat mask, looked for by eights."""
+    whole = len(mask) // 8 * 8
+    at = (np.flatnonzero(mask[:whole].view(np.uint64))[:, None] * 8 + np.arange(8)).reshape(-1)
+    return np.concatenate([at[mask[at]], whole + np.flatnonzero(mask[whole:])])
+
+
+def _near(x: np.ndarray, y: np.ndarray, signs: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of all pairs of the signatures x, of these signs, and y within distance."""
+    product = signs @ _signs(y).T  # FIRST less twice the bits that differ, without rounding
+    at = _true((product >= FIRST - 2 * distance).reshape(-1))
+    near = [part[hamming_within(x[part // len(y)], y[part % len(y)], distance) >= 0] for part in np.split(at, range(HELD // 4, len(at), HELD // 4))]
+    return np.divmod(np.concatenate(near), len(y))
+
+
+def _joined(rows: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The component of each row under links between rows, named by a row of it."""
+    own = np.arange(rows)
+    while len(a):
+        low = np.minimum(own[a], own[b])
+        np.minimum.at(own, own[a], low)
+        np.minimum.at(own, own[b], low)
+        own = own[own]
+        apart = own[a] != own[b]
+        a, b = a[apart], b[apart]
+    while (own[own] != own).any():
+        own = own[own]
+    return own
+
+
+def _forest(own: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Components of rows that are own before the links (a, b), and the links that join them: in each round one out of every component, so fewer than twice the rows."""
+    kept = [np.zeros((2, 0), np.int64)]
+    while (apart := own[a] != own[b]).any():
+        a, b = a[apart], b[apart]
+        out = np.unique(np.unique(np.concatenate([own[a], own[b]]), return_index=True)[1] % len(a))
+        kept.append(np.stack([a[out], b[out]]))
+        own = _joined(len(own), own[a[out]], own[b[out]])[own]
+    return own, *np.concatenate(kept, axis=1)
+
+
 def _links(key: np.ndarray, node: np.ndarray, sig: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links within buckets (rows sorted by key), and which rows lead. Each round one more leader of every bucket that has nodes without
-    one is compared with all nodes of the bucket; what leaders leave apart is compared by ``_across``."""
-    a, b = [], []
-    start = K.run_starts(key)
-    size = np.diff(np.append(start, len(key)))
-    bucket = np.repeat(np.arange(len(start)), size)
-    loose = np.repeat(size > 1, size)
-    leads = ~loose
-    while loose.any():
-        rows = np.flatnonzero(loose)
-        lead_rows = rows[K.run_starts(bucket[rows])]
-        live = np.zeros(len(start), bool)
-        live[bucket[lead_rows]] = True
-        lead = np.zeros(len(start), np.int64)
-        lead[bucket[lead_rows]] = lead_rows
-        member = np.flatnonzero(live[bucket])
-        leader = lead[bucket[member]]
-        near = hamming_within(sig[leader], sig[member], distance) >= 0
-        loose[member[near]] = False
-        loose[lead_rows] = False
-        leads[lead_rows] = True
-        near &= node[leader] != node[member]
-        a.append(leader[near])
-        b.append(member[near])
-    if not a:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), leads
-    a, b = np.concatenate(a), np.concatenate(b)
-    x, y = _across(bucket, leads, sig, a, b, distance)
-    return node[np.concatenate([a, x])], node[np.concatenate([b, y])], leads
-
-
-def _across(bucket: np.ndarray, leads: np.ndarray, sig: np.ndarray, a: np.ndarray, b: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between nodes that follow leaders of one bucket but are not joined by the links (a, b)."""
-    own = _joined(len(bucket), a, b)
-    rows = np.flatnonzero(~leads)
-    order = rows[np.lexsort((own[rows], bucket[rows]))]
-    x, y = [], []
-    for lo, hi in K.runs(bucket[order]):
-        part = order[lo:hi]
-        for first, end in K.runs(own[part])[1:]:  # each component with all that come before
-            for at in range(first, end, step := max(1, 500_000 // first)):
-                mine = part[at : min(at + step, end)]
-                i, j = np.repeat(mine, first), np.tile(part[:first], len(mine))
-                near = hamming_within(sig[i], sig[j], distance) >= 0
-                x.append(i[near])
-                y.append(j[near])
-    return (np.concatenate(x), np.concatenate(y)) if x else (np.zeros(0, np.int64),) * 2
+    """Links that join all rows that links between the two keys join, or within the one key that there is, and of each row the number of all such links."""
+    left = np.flatnonzero(key == key[0])
+    right = np.flatnonzero(key != key[0])
+    within = not len(right)
+    right = left if within else right
+    own, degree = np.arange(len(key)), np.zeros(len(key), np.int64)
+    a, b, held, size = [], [], [], 0
+
+    def settle() -> None:
+        nonlocal own, size
+        own, x, y = _forest(own, *np.concatenate(held, axis=1))
+        a.append(x)
+        b.append(y)
+        held.clear()
+        size = 0
 
+    for lo in range(0, len(left), TILE):
+        mine = left[lo : lo + TILE]
+        x, signs = sig[mine], _signs(sig[mine])
+        for at in range(lo if within else 0, len(right), TILE):
+            other = right[at : at + TILE]
+            i, j = _near(x, sig[other], signs, distance)
+            i, j = mine[i], other[j]
+            if within and at == lo:
+                once = i < j
+                i, j = i[once], j[once]
+            if len(i):
+                np.add.at(degree, i, 1)
+                np.add.at(degree, j, 1)
+                held.append(np.stack([i, j]))
+                size += len(i)
+                if size > HELD:
+                    settle()
+    if held:
+        settle()
+    none = np.zeros(0, np.int64)
+    return node[np.concatenate([none, *a])], node[np.concatenate([none, *b])], degree
 
-def links(nodes: DataFrame, count: int, distance: int = DISTANCE) -> DataFrame:
-    """(a, b) links between nodes (node, s0..s3) within distance."""
-    rings = _rings(segment_width(count), distance)
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sig = np.stack([batch.column(1 + k).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(4)], 1)
-            bits = np.unpackbits(sig.view(np.uint8).reshape(len(sig), -1), axis=1).astype(np.uint64)
-            for n, where in enumerate(rings):
-                value = np.zeros(len(sig), np.uint64)
-                for bit in where:
-                    value = (value << np.uint64(1)) | bits[:, bit]
-                key = K.mix(value + (np.uint64(n + 1) << np.uint64(50)))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *batch.columns], ["bucket", *batch.schema.names])
+def block_count(nodes: int, parallel: int) -> int:
+    """Blocks of nodes: as many as their size asks for, and in smaller tables enough for a dozen pairs of blocks a core."""
+    return max(1, math.ceil(nodes / BLOCK), min(math.ceil(nodes / (4 * TILE)), math.ceil(math.sqrt(24 * parallel))))
+
+
+def compared(nodes: DataFrame, count: int, distance: int = DISTANCE) -> DataFrame:
+    """(a, b, links) of nodes (node, s0..s3): links a < b within distance that join all that such links join, links 0; and rows a = b with a number of links
+    of the node, which add up to all it has."""
+    blocks = block_count(count, nodes.sparkSession.sparkContext.defaultParallelism)
+    tasks = min(blocks * (blocks + 1) // 2, 10_000)
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        size = 0
 
-        def solve(rows: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray]:
-            """Links of the rows, and those of the last bucket that lead."""
-            x, y, leads = _links(rows[:, 0], rows[:, 1], np.ascontiguousarray(rows[:, 2:]).view(np.uint64), distance)
-            pair = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"]), rows[leads & (rows[:, 0] == rows[-1, 0])]
+        def solve() -> pa.RecordBatch:
+            rows = np.concatenate(held)
+            held.clear()
+            pair, block = rows[0, :2]
+            if pair != block * (block + 3) // 2 and (rows[:, 1] == block).all():  # two blocks, one of them without nodes
+                rows = rows[:1]
+            node = rows[:, 2]
+            x, y, degree = _links(rows[:, 1], node, np.ascontiguousarray(rows[:, 3:]).view(np.uint64), distance)
+            some = degree > 0
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([np.minimum(x, y), node[some]])), pa.array(np.concatenate([np.maximum(x, y), node[some]])),
+                    pa.array(np.concatenate([np.zeros(len(x), np.int64), degree[some]])),
+                ],
+                ["a", "b", "links"],
+            )
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1))
-            size += batch.num_rows
-            if size > BLOCK:
-                rows = np.concatenate(held)
-                last = int(np.searchsorted(rows[:, 0], rows[-1, 0]))  # the last bucket may go on
-                if last:
-                    yield solve(rows[:last])[0]
-                rest = rows[last:]
-                if len(rest) > BLOCK:
-                    found, rest = solve(rest)
-                    yield found
-                held, size = [rest], min(len(rest), BLOCK // 2)
+            rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1)
+            for lo, hi in K.runs(rows[:, 0]):
+                if held and held[0][0, 0] != rows[lo, 0]:
+                    yield solve()
+                held.append(rows[lo:hi])
         if held:
-            yield solve(np.concatenate(held))[0]
+            yield solve()
 
-    spreaded = nodes.select("node", "s0", "s1", "s2", "s3").mapInArrow(
-        spread, "bucket long, node long, s0 long, s1 long, s2 long, s3 long"
-    )
-    together = spreaded.repartition("bucket").sortWithinPartitions("bucket")
-    return together.mapInArrow(match, "a long, b long").distinct()
+    block = F.pmod(F.xxhash64("node"), F.lit(blocks)).alias("block")
+    spread = nodes.select(block, "node", "s0", "s1", "s2", "s3", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    spread = spread.select(F.expr("greatest(block, other) * (greatest(block, other) + 1) div 2 + least(block, other)").alias("pair"), "block", "node", "s0", "s1", "s2", "s3")
+    together = spread.repartitionById(tasks, F.pmod("pair", F.lit(tasks)).cast("int")).sortWithinPartitions("pair")
+    return together.mapInArrow(match, "a long, b long, links long")
+
+
+def links(nodes: DataFrame, count: int, distance: int = DISTANCE) -> DataFrame:
+    """(a, b) links between nodes (node, s0..s3) within distance that join all that such links join."""
+    return compared(nodes, count, distance).where("a <> b").select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, id_column: str = "doc_id") -> DataFrame:
     """(key, th, group_id, group_size, links, keep) of the documents that have near duplicates.
 
-    group_id is the least key of the group, links the number of links that were found between the document's SimHash and others
+    group_id is the least key of the group, links the number of other SimHashes within the distance of the document's
     (0 if all of its group are copies); keep is true for the one that stays.
     """
     signed = checkpointed(signatures(docs, id_column))
     nodes = signed.dropDuplicates(["node"])
-    linked = checkpointed(links(nodes, nodes.count(), distance))
-    ends = linked.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-    found = components(linked).join(ends, "node")
+    pairs = checkpointed(compared(nodes, nodes.count(), distance))
+    ends = pairs.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    found = components(pairs).join(ends, "node")
     grouped = signed.select("key", "th", "node").join(found, "node", "left")
     grouped = grouped.select("key", "th", F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
     # A group may hold a large part of all rows: its first row and size come from an aggregate, not a window.

@@ -240,6 +240,39 @@ def test_recall_at_the_distance_holds_at_every_size(spark, nodes):
     assert len(got) >= 0.86 * len(sig) / 2  # 0.9 less some two deviations
 
 
+@pytest.mark.parametrize(("block", "tile", "held"), [(400_000, 1024, 1_000_000), (97, 16, 5)])
+def test_no_pair_within_the_distance_is_left_out(spark, monkeypatch, block, tile, held):
+    """Pairs at the very distance and one bit beyond it, and a chain of near nodes: links and their numbers are those of all pairs."""
+    for name, value in (("BLOCK", block), ("TILE", tile), ("HELD", held)):
+        monkeypatch.setattr(simhash, name, value)
+    rng = np.random.default_rng(12)
+    sig = rng.integers(0, 1 << 64, (900, 4), dtype=np.uint64)
+    for i in range(1, len(sig)):
+        if i % 2 or i > 860:
+            bits = np.unpackbits(sig[i - 1].view(np.uint8))
+            bits[rng.choice(256, simhash.DISTANCE + (i % 20 == 1), replace=False)] ^= 1
+            sig[i] = np.packbits(bits).view(np.uint64)
+    near = np.bitwise_count(sig[:, None] ^ sig[None]).sum(2) <= simhash.DISTANCE
+    near[np.arange(900), np.arange(900)] = False
+    assert near.sum() > 800
+    for key in (np.zeros(900, np.int64), np.arange(900) // 450):  # in this process, which has the sizes of tiles
+        a, b, degree = simhash._links(key, np.arange(900), sig, simhash.DISTANCE)
+        shown = near & ((key[:, None] != key) | (key[-1] == 0))
+        assert degree.tolist() == shown.sum(1).tolist() and shown[a, b].all() and groups_of(range(900), shown) == groups_of(range(900), np.isin(np.arange(900)[:, None] * 900 + np.arange(900), [*(a * 900 + b), *(b * 900 + a)]))
+    for n, count in ((900, 900), (20, 12 * 97)):  # a table of 20 nodes leaves some blocks empty
+        rows = [(i, *s) for i, s in enumerate(sig[-n:].view(np.int64).tolist())]
+        got = simhash.compared(spark.createDataFrame(rows, "node long, s0 long, s1 long, s2 long, s3 long"), count).collect()
+        links = {(r.a, r.b) for r in got if r.a != r.b}
+        assert all(a < b and near[-n:, -n:][a, b] for a, b in links)
+        want = groups_of(range(n), near[-n:, -n:])
+        own = simhash._joined(n, *np.array(sorted(links)).T)
+        assert len({*zip(own.tolist(), want, strict=True)}) == len(set(want)) == len(set(own.tolist()))
+        degree = Counter()
+        for r in got:
+            degree[r.a] += r.links
+        assert [degree[i] for i in range(n)] == near[-n:, -n:].sum(1).tolist()
+
+
 def test_near_copies_are_found_whatever_their_share_of_the_table(spark):
     rng = random.Random(3)
     base = prose(rng, 350).split()
