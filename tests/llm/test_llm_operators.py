@@ -758,6 +758,25 @@ def test_pipeline_against_brute_force(spark, rows, docs, tmp_path):
         assert all(abs(done[s] - (slot + 1) * p / sum(parts.values())) < 1 for s, p in parts.items())
 
 
+def test_near_dedup_stage_passes_over_no_pair(spark):
+    """Pairs of texts of which many are just within the distance: the rows that stay are those of all pairs."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(0, 800, 2):
+        w = prose(rng, 150).split()
+        rows.append((i, " ".join(w), "en", "s"))
+        for at in rng.sample(range(150), 25):
+            w[at] = "".join(rng.choices("abcdefg", k=6))
+        rows.append((i + 1, " ".join(w), "en", "s"))
+    docs = documents(spark, rows)
+    keys, near = near_pairs(docs, simhash.DISTANCE)
+    first = {}
+    for k, g in zip(keys, groups_of(keys, near), strict=True):
+        first[g] = min(k, first.get(g, k))
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").select("doc_id").collect()}
+    assert kept == set(first.values()) and 450 < len(kept) < 750
+
+
 def test_pipeline_rereads_each_stage_from_parquet(spark, docs, tmp_path, monkeypatch):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     inputs = []
