@@ -12,6 +12,11 @@ P(S >= x) = 1 - exp(-k n exp(-rate x)): rate solves the equation of the score di
 counted from segments of a long random sequence. A segment that significant is a passage, and a
 document with one is toxic.
 
+Toxic words may stand close together or apart, a few in a hundred: at a price of ``DRIFT`` those don't pay for the words between them. So a text without a passage
+at that price is scanned again at the lower ones of ``WIDER``, each with a calibration of its own, whose passages are longer. As every price is a chance of its own to be
+found, p-values are multiplied by their number. A passage is thus one of the highest price at which its text has any, and scores are at that price. A price
+at which random words would gain on average is left out.
+
 The word scores are a classifier fitted on at most ``LABELLED`` labelled documents of
 either class, those near by SimHash counting once, and at most ``WORDS`` words, those of largest log-odds. Words are counted
 by a distributed aggregate; only signatures and the finished scores come to the driver.
@@ -39,16 +44,18 @@ from ragloom.llm.simhash import DISTANCE, document_frequency, features, sketch
 
 LABELLED, WORDS, PRIOR, DEVIATIONS = 5_000, 2_000_000, 4.0, 2.0
 DRIFT, SIGNIFICANT = 0.5, 0.001
+WIDER = (0.1, 0.02)
 _SIGNATURE = ["s0", "s1", "s2", "s3"]
 
 
 class Scores(NamedTuple):
-    """Words (44 bits of the hash, sorted), their log-odds, and the calibration."""
+    """Words (44 bits of the hash, sorted), their log-odds, and the calibration, at DRIFT and (drift, rate, k) at lower ones."""
 
     words: np.ndarray
     odds: np.ndarray
     rate: float
     k: float
+    wider: tuple[tuple[float, float, float], ...] = ()
 
 
 def labelled_documents(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> DataFrame:
@@ -210,7 +217,10 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = LABELLED, words: int
     word = t.column("word").to_numpy()
     order = np.argsort(word)
     value = t.column("odds").to_numpy()[order]
-    return Scores(word[order].astype(np.uint64), value, *calibrate(value - DRIFT, t.column("rate").to_numpy()[order]))
+    share = t.column("rate").to_numpy()[order]
+    gain = (share * value).sum() / max(1.0, share.sum())
+    wider = tuple((drift, *calibrate(value - drift, share, drift)) for drift in WIDER if gain < drift)
+    return Scores(word[order].astype(np.uint64), value, *calibrate(value - DRIFT, share), wider)
 
 
 def chance(score: float, words: int, scores: Scores) -> float:
@@ -226,22 +236,29 @@ def word_scores(h: np.ndarray, scores: Scores, drift: float = DRIFT) -> np.ndarr
 
 
 def passages(text: pa.Array, scores: Scores, significant: float = SIGNIFICANT) -> list[tuple[int, int, int, float, float]]:
-    """(row, first word, words, score, chance) of every significant segment of every text."""
+    """(row, first word, words, score, chance) of every significant segment of every text, at the highest drift at which it has any."""
     out: list[tuple[int, int, int, float, float]] = []
-    if not len(scores.words) or not scores.k:
+    if not len(scores.words):
         return out
+    prices = [(DRIFT, scores), *((drift, scores._replace(rate=rate, k=k)) for drift, rate, k in scores.wider)]
     for at, part in K.chunks(text):
         w = K.words(part)
-        value = word_scores(w.hash, scores)
+        odds = word_scores(w.hash, scores, 0.0)
         size = np.diff(w.offsets)
-        least = -np.expm1(-scores.k * size * np.exp(-scores.rate * (best_of_each(value, w.offsets) + 1e-6)))
-        for i in np.flatnonzero((least <= significant) & (size > 0)).tolist():
-            n = int(size[i])
-            for a, e, s in segments(value[w.offsets[i] : w.offsets[i + 1]]):
-                p = chance(s, n, scores)
-                if p <= significant:
-                    out.append((at + i, a, e - a, s, p))
-    return out
+        left = size > 0
+        for drift, s in prices:
+            if not s.k:
+                continue
+            value = odds - drift
+            least = -len(prices) * np.expm1(-s.k * size * np.exp(-s.rate * (best_of_each(value, w.offsets) + 1e-6)))
+            for i in np.flatnonzero((least <= significant) & left).tolist():
+                n = int(size[i])
+                for a, e, score in segments(value[w.offsets[i] : w.offsets[i + 1]]):
+                    p = len(prices) * chance(score, n, s)
+                    if p <= significant:
+                        out.append((at + i, a, e - a, score, p))
+                        left[i] = False
+    return sorted(out)
 
 
 def toxic_passages(docs: DataFrame, scores: Scores, significant: float = SIGNIFICANT) -> DataFrame:
