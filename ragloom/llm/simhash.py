@@ -8,7 +8,7 @@
    the first ``FIRST`` bits, as signs, gives the distance in these of all pairs of a tile; a pair that exceeds the distance there exceeds it on the whole.
 4. What is left must pass the pigeonring test before its full Hamming distance: among the
    segments on the ring some chain has every prefix of l segments differ in at
-   most l * distance / m bits. It is necessary for a total within distance.
+   most l * distance / m bits. It is necessary for a total within distance. In a tile of which many pairs are left a product of the other bits gives their distances.
 5. Of the links of two blocks those go on that join what no other has joined, with the number of links of each node, so that a group of n near copies makes no n * n rows.
    Links are closed to groups by connected components.
 
@@ -176,9 +176,9 @@ def _joined(rows: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return own
 
 
-def _signs(sig: np.ndarray) -> np.ndarray:
-    """The first bits of signatures as 1 and -1."""
-    return np.unpackbits(sig.view(np.uint8).reshape(len(sig), -1), axis=1)[:, :FIRST].astype(np.float32) * 2 - 1
+def _signs(sig: np.ndarray, first: int = 0, end: int = FIRST) -> np.ndarray:
+    """Some bits of signatures as 1 and -1."""
+    return np.unpackbits(sig.view(np.uint8).reshape(len(sig), -1), axis=1)[:, first:end].astype(np.float32) * 2 - 1
 
 
 def _true(mask: np.ndarray) -> np.ndarray:
@@ -192,6 +192,9 @@ def _near(x: np.ndarray, y: np.ndarray, signs: np.ndarray, distance: int) -> tup
     """Rows of all pairs of the signatures x, of these signs, and y within distance."""
     product = signs @ _signs(y).T  # FIRST less twice the bits that differ, without rounding
     at = _true((product >= FIRST - 2 * distance).reshape(-1))
+    if len(at) > product.size // 32:  # many near copies: a product of the other bits costs less than a test of each pair
+        product += _signs(x, FIRST, BITS) @ _signs(y, FIRST, BITS).T
+        return np.divmod(_true((product >= BITS - 2 * distance).reshape(-1)), len(y))
     near = [part[hamming_within(x[part // len(y)], y[part % len(y)], distance) >= 0] for part in np.split(at, range(HELD // 4, len(at), HELD // 4))]
     return np.divmod(np.concatenate(near), len(y))
 
@@ -245,14 +248,13 @@ def _links(key: np.ndarray, node: np.ndarray, sig: np.ndarray, distance: int) ->
         for at in range(lo if within else 0, len(right), TILE):
             other = right[at : at + TILE]
             i, j = _near(x, sig[other], signs, distance)
-            i, j = mine[i], other[j]
             if within and at == lo:
                 once = i < j
                 i, j = i[once], j[once]
             if len(i):
-                np.add.at(degree, i, 1)
-                np.add.at(degree, j, 1)
-                held.append(np.stack([i, j]))
+                degree[mine] += np.bincount(i, minlength=len(mine))
+                degree[other] += np.bincount(j, minlength=len(other))
+                held.append(np.stack([mine[i], other[j]]))
                 size += len(i)
                 if size > HELD:
                     settle()

@@ -273,6 +273,21 @@ def test_no_pair_within_the_distance_is_left_out(spark, monkeypatch, block, tile
         assert [degree[i] for i in range(n)] == near[-n:, -n:].sum(1).tolist()
 
 
+@pytest.mark.parametrize("flips", [20, 35, 60])
+def test_links_of_many_near_copies(flips):
+    """Tiles in which many pairs are within the distance, or just beyond it."""
+    rng = np.random.default_rng(2)
+    bits = np.repeat(rng.integers(0, 2, (1, 256), dtype=np.uint8), 1500, 0)
+    for row in bits[:1300]:
+        row[rng.choice(256, flips, replace=False)] ^= 1
+    sig = np.packbits(bits, axis=1).view(np.uint64)
+    near = np.bitwise_count(sig[:, None] ^ sig[None]).sum(2) <= simhash.DISTANCE
+    near[np.arange(1500), np.arange(1500)] = False
+    a, b, degree = simhash._links(np.zeros(1500, np.int64), np.arange(1500), sig, simhash.DISTANCE)
+    assert degree.tolist() == near.sum(1).tolist() and near[a, b].all() and len(a) < 3000
+    assert len(set(simhash._joined(1500, a, b).tolist())) == len(set(simhash._joined(1500, *np.nonzero(near)).tolist()))
+
+
 def test_near_copies_are_found_whatever_their_share_of_the_table(spark):
     rng = random.Random(3)
     base = prose(rng, 350).split()
