@@ -4,16 +4,17 @@
    depends on its text alone and a group of copies is found whatever its share of the
    table. The 256-bit SimHash is the majority of their hash bits.
 2. Documents of one SimHash become one node, however many copies there are; all that follows is between nodes.
-3. All pairs of nodes are compared, none is passed over: nodes are spread over blocks, and every pair of blocks is a piece of work of its own. A matrix product of
+3. No pair of nodes is passed over: nodes are spread over blocks, and every pair of blocks is work of its own. Up to ``DENSE`` nodes a matrix product of
    the first ``FIRST`` bits, as signs, gives the distance in these of all pairs of a tile; a pair that exceeds the distance there exceeds it on the whole.
-4. What is left must pass the pigeonring test before its full Hamming distance: among the
+   Of more nodes the ``SEGMENTS`` segments are searched: a pair within distance differs in at most 2 bits in one of them, so only nodes whose values in a
+   segment are that near meet, and of these only those go on whose chain of segments is near. Shares of this search are spread over tasks.
+4. What a product leaves must pass the pigeonring test before its full Hamming distance: among the
    segments on the ring some chain has every prefix of l segments differ in at
    most l * distance / m bits. It is necessary for a total within distance. In a tile of which many pairs are left a product of the other bits gives their distances.
 5. Of the links of two blocks those go on that join what no other has joined, with the number of links of each node, so that a group of n near copies makes no n * n rows.
    Links are closed to groups by connected components.
 
-Time grows with the square of the number of nodes. Guarantees that no pair is lost need radius 3 in one of 16 segments of 16 bits, or 6 in one of
-8 of 32: the one lets a sixth of all pairs of strangers pass, the other asks for a million probes a node; either costs more than the product.
+Time still grows with the square of the number of nodes, at about a tenth of a product's time a pair: a sixth of all pairs of strangers meet in some segment.
 
 Defined results: documents without words (null, empty or only signs) are never
 grouped; repeated
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,10 @@ BITS = 256
 DISTANCE = 52
 #: Nodes of a block, of which a task holds two; nodes of a side of a tile; bits that all pairs are compared in; links that are held before they are joined.
 BLOCK, TILE, FIRST, HELD = 400_000, 1024, 160, 1_000_000
+#: Segments of a SimHash where they are searched, those of a chain (of at most 64 bits), pairs of chains at a time.
+SEGMENTS, CHAIN, CELLS = 18, 4, 65_536
+#: Nodes up to which all products cost less than a search.
+DENSE = 80_000
 _SEEDS = [np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89)]
 _LOW = np.uint64((1 << 44) - 1)
 _SHIFT = np.uint64(44)
@@ -199,19 +205,120 @@ def _near(x: np.ndarray, y: np.ndarray, signs: np.ndarray, distance: int) -> tup
     return np.divmod(np.concatenate(near), len(y))
 
 
-def _joined(rows: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The component of each row under links between rows, named by a row of it."""
-    own = np.arange(rows)
-    while len(a):
-        low = np.minimum(own[a], own[b])
-        np.minimum.at(own, own[a], low)
-        np.minimum.at(own, own[b], low)
-        own = own[own]
-        apart = own[a] != own[b]
-        a, b = a[apart], b[apart]
-    while (own[own] != own).any():
-        own = own[own]
-    return own
+def segments(distance: int) -> list[tuple[int, int, int]]:
+    """(first bit, width, radius) of the segments. The radii plus one add up to distance + 1, so of a pair within distance some segment differs in at most its
+    radius; and round the ring some such segment and the next CHAIN - 1 differ in at most the sum of their radii plus CHAIN - 1."""
+    spare = distance - SEGMENTS + 1
+    width = [BITS // SEGMENTS + (k < BITS % SEGMENTS) for k in range(SEGMENTS)]
+    return [(sum(width[:k]), width[k], spare // SEGMENTS + (k < spare % SEGMENTS)) for k in range(SEGMENTS)]
+
+
+def looked_at(distance: int) -> float:
+    """The share of all pairs of random signatures that a search by segments looks at, pairs of each segment by themselves."""
+    return sum(math.comb(width, n) / 2**width for _, width, radius in segments(distance) for n in range(radius + 1))
+
+
+def _masks(width: int, radius: int) -> np.ndarray:
+    """All numbers of width bits of which at most radius are set."""
+    return np.array([sum(1 << b for b in bits) for n in range(radius + 1) for bits in combinations(range(width), n)], np.int64)
+
+
+def _segment(sig: np.ndarray, first: int, width: int) -> np.ndarray:
+    """Some bits of signatures as numbers."""
+    word, shift = divmod(first, 64)
+    value = sig[:, word] >> np.uint64(shift)
+    if shift + width > 64:
+        value = value | sig[:, word + 1] << np.uint64(64 - shift)
+    return value & np.uint64((1 << width) - 1)
+
+
+def _sorted_chains(sig: np.ndarray, ring: list[tuple[int, int, int]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of signatures in order of segment k, of each the bits of the segment and above them those of the next on the ring, and where each value begins."""
+    chain, at = np.zeros(len(sig), np.uint64), 0
+    for n in range(CHAIN):
+        first, width, _ = ring[(k + n) % len(ring)]
+        chain |= _segment(sig, first, width) << np.uint64(at)
+        at += width
+    value = _segment(sig, *ring[k][:2]).view(np.int64)
+    order = np.argsort(value, kind="stable")
+    return order, chain[order], np.concatenate([[0], np.cumsum(np.bincount(value, minlength=1 << ring[k][1]))])
+
+
+def _searched(x: np.ndarray, y: np.ndarray, within: bool, distance: int, share: int, shares: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of pairs of the signatures x and y within distance, each once over all shares; where within, y is x and a pair is of different rows.
+
+    Of each segment the rows of x with one value meet the rows of y whose value differs in at most its radius: first their chains of segments, then the whole.
+    A pair may be found by several segments and counts where it is found first.
+    """
+    ring = segments(distance)
+    radius = np.array([r for _, _, r in ring])
+    limit = sum(np.roll(radius, -n) for n in range(CHAIN)) + CHAIN - 1
+    cells = np.empty(CELLS, np.uint64)
+    held: list[np.ndarray] = []
+
+    def settle(k: int) -> tuple[np.ndarray, np.ndarray]:
+        a, b = np.concatenate(held, axis=1)
+        held.clear()
+        differ = x[a] ^ y[b]
+        near = np.flatnonzero(np.bitwise_count(differ).sum(1, dtype=np.int64) <= distance)
+        count = np.stack([np.bitwise_count(_segment(differ[near], first, width)) for first, width, _ in ring], 1).astype(np.int64)
+        found = (count <= radius) & (sum(np.roll(count, -n, 1) for n in range(CHAIN)) <= limit)
+        near = near[found.argmax(1) == k]
+        return a[near], b[near]
+
+    for k, (_, width, r) in enumerate(ring):
+        begin, end = (len(ring) * len(x) * s // shares - k * len(x) for s in (share, share + 1))
+        if begin >= len(x) or end <= 0 or r < 0:
+            continue
+        masks, rank = _masks(width, r), K.mix(np.arange(1 << width, dtype=np.uint64))
+        order, theirs, edge = _sorted_chains(y, ring, k)
+        place, mine, own = (order, theirs, edge) if within else _sorted_chains(x, ring, k)
+        values = np.flatnonzero(own[1:] > own[:-1])
+        values = values[np.argsort(rank[values])]  # near values have like numbers of rows, so they are spread over the shares
+        size = own[values + 1] - own[values]
+        before = np.cumsum(size) - size
+        size = 0
+        for u in values[(before >= begin) & (before < end)].tolist():
+            v = masks ^ u
+            if within:  # each two values meet once
+                v = v[rank[v] >= rank[u]]
+            n = edge[v + 1] - edge[v]
+            upto = np.cumsum(n)
+            total = int(upto[-1])
+            if not total:
+                continue
+            at = np.repeat(edge[v] - upto + n, n) + np.arange(total)
+            other = theirs[at]
+            rows = max(1, CELLS // total)
+            for lo in range(own[u], own[u + 1], rows):
+                part = mine[lo : min(lo + rows, own[u + 1]), None]
+                differ = np.bitwise_xor(part, other, out=cells[: len(part) * total].reshape(-1, total) if total <= CELLS else None)
+                near = np.flatnonzero(np.bitwise_count(differ) <= limit[k])
+                if len(near):
+                    i, j = lo + near // total, at[near % total]
+                    if within:
+                        once = (j < own[u]) | (j >= own[u + 1]) | (i < j)
+                        i, j = i[once], j[once]
+                    held.append(np.stack([place[i], order[j]]))
+                    size += len(i)
+                    if size > HELD // 4:
+                        yield settle(k)
+                        size = 0
+        if held:
+            yield settle(k)
+
+
+def _tiled(x: np.ndarray, y: np.ndarray, within: bool, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of all pairs of the signatures x and y within distance, by products of tiles; where within, y is x and a pair is of different rows."""
+    for lo in range(0, len(x), TILE):
+        mine = x[lo : lo + TILE]
+        signs = _signs(mine)
+        for at in range(lo if within else 0, len(y), TILE):
+            i, j = _near(mine, y[at : at + TILE], signs, distance)
+            if within and at == lo:
+                once = i < j
+                i, j = i[once], j[once]
+            yield i + lo, j + at
 
 
 def _forest(own: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -225,8 +332,9 @@ def _forest(own: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray,
     return own, *np.concatenate(kept, axis=1)
 
 
-def _links(key: np.ndarray, node: np.ndarray, sig: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links that join all rows that links between the two keys join, or within the one key that there is, and of each row the number of all such links."""
+def _links(key: np.ndarray, node: np.ndarray, sig: np.ndarray, distance: int, share: int = 0, shares: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links that join all rows that links between the two keys join, or within the one key that there is, and of each row the number of all such links.
+    With shares, those of a share of the search by segments."""
     left = np.flatnonzero(key == key[0])
     right = np.flatnonzero(key != key[0])
     within = not len(right)
@@ -236,28 +344,21 @@ def _links(key: np.ndarray, node: np.ndarray, sig: np.ndarray, distance: int) ->
 
     def settle() -> None:
         nonlocal own, size
-        own, x, y = _forest(own, *np.concatenate(held, axis=1))
+        i, j = np.concatenate(held, axis=1)
+        degree[:] += np.bincount(i, minlength=len(key)) + np.bincount(j, minlength=len(key))
+        own, x, y = _forest(own, i, j)
         a.append(x)
         b.append(y)
         held.clear()
         size = 0
 
-    for lo in range(0, len(left), TILE):
-        mine = left[lo : lo + TILE]
-        x, signs = sig[mine], _signs(sig[mine])
-        for at in range(lo if within else 0, len(right), TILE):
-            other = right[at : at + TILE]
-            i, j = _near(x, sig[other], signs, distance)
-            if within and at == lo:
-                once = i < j
-                i, j = i[once], j[once]
-            if len(i):
-                degree[mine] += np.bincount(i, minlength=len(mine))
-                degree[other] += np.bincount(j, minlength=len(other))
-                held.append(np.stack([mine[i], other[j]]))
-                size += len(i)
-                if size > HELD:
-                    settle()
+    x, y = sig[left], sig[right]
+    for i, j in _searched(x, y, within, distance, share, shares) if shares else _tiled(x, y, within, distance):
+        if len(i):
+            held.append(np.stack([left[i], right[j]]))
+            size += len(i)
+            if size > HELD:
+                settle()
     if held:
         settle()
     none = np.zeros(0, np.int64)
@@ -269,11 +370,20 @@ def block_count(nodes: int, parallel: int) -> int:
     return max(1, math.ceil(nodes / BLOCK), min(math.ceil(nodes / (4 * TILE)), math.ceil(math.sqrt(24 * parallel))))
 
 
-def compared(nodes: DataFrame, count: int, distance: int = DISTANCE) -> DataFrame:
+def compared(nodes: DataFrame, count: int, distance: int = DISTANCE, dense: int = DENSE) -> DataFrame:
     """(a, b, links) of nodes (node, s0..s3): links a < b within distance that join all that such links join, links 0; and rows a = b with a number of links
-    of the node, which add up to all it has."""
-    blocks = block_count(count, nodes.sparkSession.sparkContext.defaultParallelism)
-    tasks = min(blocks * (blocks + 1) // 2, 10_000)
+    of the node, which add up to all it has.
+
+    Up to dense nodes, and where distance is so large that segments tell little, all products are made; else the segments are searched. Either passes over no pair.
+    """
+    parallel = nodes.sparkSession.sparkContext.defaultParallelism
+    if count <= dense or looked_at(distance) > 0.25:
+        blocks, shares = block_count(count, parallel), 0
+    else:
+        blocks = math.ceil(count / BLOCK)
+        shares = math.ceil(3 * parallel / (blocks * (blocks + 1) // 2))
+    each = max(1, shares)
+    tasks = min(blocks * (blocks + 1) // 2 * each, 10_000)
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -281,11 +391,11 @@ def compared(nodes: DataFrame, count: int, distance: int = DISTANCE) -> DataFram
         def solve() -> pa.RecordBatch:
             rows = np.concatenate(held)
             held.clear()
-            pair, block = rows[0, :2]
+            (pair, share), block = divmod(rows[0, 0], each), rows[0, 1]
             if pair != block * (block + 3) // 2 and (rows[:, 1] == block).all():  # two blocks, one of them without nodes
                 rows = rows[:1]
             node = rows[:, 2]
-            x, y, degree = _links(rows[:, 1], node, np.ascontiguousarray(rows[:, 3:]).view(np.uint64), distance)
+            x, y, degree = _links(rows[:, 1], node, np.ascontiguousarray(rows[:, 3:]).view(np.uint64), distance, share, shares)
             some = degree > 0
             return pa.RecordBatch.from_arrays(
                 [
@@ -306,7 +416,11 @@ def compared(nodes: DataFrame, count: int, distance: int = DISTANCE) -> DataFram
 
     block = F.pmod(F.xxhash64("node"), F.lit(blocks)).alias("block")
     spread = nodes.select(block, "node", "s0", "s1", "s2", "s3", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
-    spread = spread.select(F.expr("greatest(block, other) * (greatest(block, other) + 1) div 2 + least(block, other)").alias("pair"), "block", "node", "s0", "s1", "s2", "s3")
+    pair = F.expr("greatest(block, other) * (greatest(block, other) + 1) div 2 + least(block, other)")
+    if shares:
+        spread = spread.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+        pair = pair * shares + F.col("share")
+    spread = spread.select(pair.alias("pair"), "block", "node", "s0", "s1", "s2", "s3")
     together = spread.repartitionById(tasks, F.pmod("pair", F.lit(tasks)).cast("int")).sortWithinPartitions("pair")
     return together.mapInArrow(match, "a long, b long, links long")
 

@@ -288,6 +288,52 @@ def test_links_of_many_near_copies(flips):
     assert len(set(simhash._joined(1500, a, b).tolist())) == len(set(simhash._joined(1500, *np.nonzero(near)).tolist()))
 
 
+def distant_pairs(rng, rows):
+    """Signatures of which every second one is near the one before, at the very distance or a bit beyond it, the bits of some in a few segments only."""
+    sig = rng.integers(0, 1 << 64, (rows, 4), dtype=np.uint64)
+    for i in range(1, rows, 2):
+        bits = np.unpackbits(sig[i - 1].view(np.uint8))
+        many = simhash.DISTANCE + (i % 20 == 1) if i < rows * 2 // 3 else int(rng.integers(0, 60))
+        bits[rng.choice(256 if i % 3 else 70, many, replace=False)] ^= 1
+        sig[i] = np.packbits(bits).view(np.uint64)
+    sig[: rows // 10] ^= sig[: rows // 10] & sig[0] ^ sig[0]  # a group that shares many bits
+    return sig
+
+
+@pytest.mark.parametrize(("distance", "cells", "held"), [(simhash.DISTANCE, simhash.CELLS, simhash.HELD), (simhash.DISTANCE, 7, 40), (20, 500, 100), (5, 500, 100)])
+def test_a_search_by_segments_finds_every_pair_once(monkeypatch, distance, cells, held):
+    monkeypatch.setattr(simhash, "CELLS", cells)
+    monkeypatch.setattr(simhash, "HELD", held)
+    sig = distant_pairs(np.random.default_rng(9), 900)
+    near = np.bitwise_count(sig[:, None] ^ sig[None]).sum(2) <= distance
+    assert near.sum() > 910
+    for shares in (1, 5):
+        got = Counter((min(p), max(p)) for share in range(shares) for i, j in simhash._searched(sig, sig, True, distance, share, shares) for p in zip(i.tolist(), j.tolist(), strict=True))
+        assert set(got.values()) <= {1} and set(got) == {*zip(*np.nonzero(np.triu(near, 1)), strict=True)}
+        x, y = sig[:450], sig[450:]
+        got = Counter(p for share in range(shares) for i, j in simhash._searched(x, y, False, distance, share, shares) for p in zip(i.tolist(), j.tolist(), strict=True))
+        assert set(got.values()) <= {1} and set(got) == {*zip(*np.nonzero(near[:450, 450:]), strict=True)}
+
+
+@pytest.mark.parametrize("block", [400_000, 97])
+def test_links_of_a_search_by_segments_are_those_of_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    sig = distant_pairs(np.random.default_rng(10), 300)
+    rows = [(i, *s) for i, s in enumerate(sig.view(np.int64).tolist())]
+    nodes = spark.createDataFrame(rows, "node long, s0 long, s1 long, s2 long, s3 long").repartition(1)
+    by_search, by_products = (simhash.compared(nodes, 300, dense=dense).collect() for dense in (0, 300))
+    degree, groups = [], []
+    for got in (by_search, by_products):
+        n = Counter()
+        for r in got:
+            n[r.a] += r.links
+        degree.append(+n)
+        own = simhash._joined(300, *np.array([(r.a, r.b) for r in got if r.a != r.b]).T)
+        groups.append({frozenset(np.flatnonzero(own == k).tolist()) for k in set(own.tolist())})
+    assert degree[0] == degree[1] and sum(degree[0].values()) > 100 and groups[0] == groups[1]
+    assert simhash.looked_at(simhash.DISTANCE) < 0.15  # of all pairs, where products look at each
+
+
 def test_near_copies_are_found_whatever_their_share_of_the_table(spark):
     rng = random.Random(3)
     base = prose(rng, 350).split()
