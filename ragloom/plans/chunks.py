@@ -9,8 +9,7 @@ from ragloom.functions import text as T
 from ragloom.operators import chunking as C
 from ragloom.operators.sections import detect_sections
 from ragloom.plans.registry import query, table
-from ragloom.plans.texts import ESTIMATE, EXTRACTED, WORDS
-from ragloom.sources.pages import extracted
+from ragloom.plans.texts import ESTIMATE, EXTRACTED, WORDS, page_texts
 
 #: (…, chunk_index, content) of windows of 500 characters that share 50; FROM has the table.
 FIXED = "unnest(range(0, greatest(0, ceil((length(text) - 500) / 450.0))::BIGINT + 1)) AS chunk_index"
@@ -92,7 +91,7 @@ def chunk_stats_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {EXTRACTED}, p AS (SELECT page_id, list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda x: trim(x, E' \n\t')), lambda x: x <> '') AS p FROM extracted)
 SELECT page_id, (i - 1)::INT AS paragraph, p[i] AS text FROM (SELECT page_id, p, unnest(range(1, len(p) + 1)) AS i FROM p)""")
 def chunk_paragraph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extracted(table(spark, sf_dir, "pages")).select("page_id", F.posexplode(T.paragraphs(F.col("text"))).alias("paragraph", "text"))
+    return page_texts(spark, sf_dir).select("page_id", F.posexplode(T.paragraphs(F.col("text"))).alias("paragraph", "text"))
 
 
 def document_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +129,7 @@ def chunk_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = extracted(table(spark, sf_dir, "pages"))
+    pages = page_texts(spark, sf_dir)
     return pages.select(
         F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("source_id"), F.regexp_extract("url", "^[^:]+://[^/]*/([a-z]+)/", 1).alias("procedure_slug"),
         F.col("title").alias("procedure_title"), F.lit(0).alias("section_index"), "text",
@@ -205,7 +204,7 @@ def chunk_structured(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {EXTRACTED} SELECT page_id, len({WORDS.format('text')}) AS n_words, md5(array_to_string({WORDS.format('text')}, ' ')) AS digest, {ESTIMATE.format('text')} AS tokens FROM extracted")
 def chunk_structured_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunks without overlap, put together again, have the words of the page in order."""
-    pages = extracted(table(spark, sf_dir, "pages"))
+    pages = page_texts(spark, sf_dir)
     units = C.StructureChunker(60, 90, 15).units(F.col("text"), overlap=False)
     whole = pages.select("page_id", T.split_words(F.array_join(F.flatten(units), " ")).alias("w"))
     return whole.select(

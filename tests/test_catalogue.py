@@ -58,3 +58,16 @@ def test_nothing_outside_imports_the_training_data_operators():
             for f in files:
                 if f.endswith(".py"):
                     assert apart not in open(os.path.join(folder, f)).read(), f
+
+
+@pytest.mark.parametrize("name", ["chunk_paragraph", "chunk_structured", "chunk_structured_words", "html_extract", "long_pages", "page_metadata"])
+def test_pages_with_references_cut_short_give_what_the_sql_gives(spark, tmp_path, name):
+    """Titles of the larger tables end anywhere, so in &quot without its semicolon too."""
+    page = '<!DOCTYPE html><html><head><title>{0}</title></head><body><article><h1>{0}</h1><p>{0} &quot9c &amp; &amp;quot; &amp more &quot;end&quot; ' + "words and words. " * 60 + "</p></article></body></html>"
+    rows = [(i, f"http://a.org/en/{i % 2 or ''}", page.format(f"token = {end}")) for i, end in enumerate(["&quot", "&quo", "&am", "&amp", "&copy", "&", "&middot;"])]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got, want = QUERIES[name](spark, str(tmp_path)), con.sql(SQL[name])
+    rows = sorted(repr(plain(tuple(r))) for r in got.select(*want.columns).collect())
+    assert rows and rows == sorted(repr(plain(r)) for r in want.fetchall())
