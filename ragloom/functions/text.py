@@ -34,7 +34,8 @@ COMPOSED = r"\x00-\u02ff\u0400-\u0482\u1e00-\u1eff\u2002-\u206f\u4e00-\u9fff\uac
 
 def nfc(text: Column) -> Column:
     """Unicode normal form C (Spark has no built-in for it). Only texts with a character that may have to change go to Python."""
-    other = (F.length(text) != F.octet_length(text)) & text.rlike(f"[^{COMPOSED}]")  # what has a byte a character is ASCII
+    # What has a byte a character is ASCII. A run of the class is some twenty times as fast as a search for what is not in it.
+    other = (F.length(text) != F.octet_length(text)) & ~text.rlike(rf"\A[{COMPOSED}]*+\z")
     return F.coalesce(_nfc(F.when(other, text)), text)
 
 

@@ -13,13 +13,35 @@ from pyspark.sql import functions as F
 
 from ragloom.functions import text as T
 from ragloom.operators.chunking import rank_in
-from ragloom.operators.dense import best_of_batch
 from ragloom.session import written
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: (query, token) rows that go to every task at once; more are joined by shuffle.
 TOKENS_AT_ONCE = 200_000
 _QUERIES = 64
+#: Bytes of the texts that are counted at once, distinct tokens of the texts that are scored at once, and scores of tokens that are added up at once.
+BYTES_OF_A_PIECE, TOKENS_AT_A_TIME, SCORES_AT_ONCE = 2_000_000, 500_000, 1_000_000
+#: What stands between tokens.
+_BETWEEN = T.WORD.replace("[", "[^", 1)
+
+
+def _pieces(batch: pa.RecordBatch, sizes: pa.Array, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose sizes add up to about so much, a row at least, so that what is worked out of them has a bound that no size of the table changes."""
+    upto = np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + most, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
+def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The tokens of texts in match form, as ``functions.text.tokenize`` has them, and the row of each. None of them is a Python object."""
+    parts = pc.split_pattern_regex(texts, _BETWEEN)
+    row = np.repeat(np.arange(len(parts)), parts.value_lengths().to_numpy(zero_copy_only=False))
+    flat = parts.flatten()
+    some = pc.greater(pc.binary_length(flat), 0)  # a text may begin or end between tokens
+    return row[some.to_numpy(zero_copy_only=False)], flat.filter(some)
 
 
 def counted_tokens(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -29,22 +51,23 @@ def counted_tokens(docs: DataFrame, id_column: str, text_column: str) -> DataFra
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tokens = batch.column(1)
-            size = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            row = np.repeat(np.arange(len(size)), size)
-            words = tokens.flatten().dictionary_encode()
-            code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            pair, tf = np.unique(row * max(1, len(words.dictionary)) + code, return_counts=True)
-            offsets = pa.array(np.searchsorted(pair, np.arange(len(size) + 1) * max(1, len(words.dictionary))).astype(np.int32))
-            distinct = words.dictionary.take(pa.array(pair % max(1, len(words.dictionary))))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.ListArray.from_arrays(offsets, distinct), pa.ListArray.from_arrays(offsets, pa.array(tf.astype(np.int32))), pa.array(size)],
-                ["id", "tokens", "tf", "dl"],
-            )
-
-    tokens = docs.where(F.col(text_column).isNotNull()).select(F.col(id_column).alias("id"), T.tokenize(F.col(text_column)).alias("tokens"))
-    return tokens.mapInArrow(count, f"id {dict(docs.dtypes)[id_column]}, tokens array<string>, tf array<int>, dl long")
+        for whole in batches:
+            for batch in _pieces(whole, pc.binary_length(whole.column(1)), BYTES_OF_A_PIECE):
+                row, found = words_of(batch.column(1))
+                words = found.dictionary_encode()
+                code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+                rows, kinds = np.arange(batch.num_rows + 1), max(1, len(words.dictionary))
+                pair, tf = np.unique(row * kinds + code, return_counts=True)
+                offsets = pa.array(np.searchsorted(pair, rows * kinds).astype(np.int32))
+                distinct = words.dictionary.take(pa.array(pair % kinds))
+                size = np.bincount(row, minlength=batch.num_rows)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.ListArray.from_arrays(offsets, distinct), pa.ListArray.from_arrays(offsets, pa.array(tf.astype(np.int32))), pa.array(size)],
+                    ["id", "tokens", "tf", "dl"],
+                )
+
+    texts = docs.where(F.col(text_column).isNotNull()).select(F.col(id_column).alias("id"), T.match_form(F.col(text_column)).alias("text"))
+    return texts.mapInArrow(count, f"id {dict(docs.dtypes)[id_column]}, tokens array<string>, tf array<int>, dl long")
 
 
 def idf(df: Column, n: Column) -> Column:
@@ -114,7 +137,8 @@ class BM25Index:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, tokens, query, code, weight = shared.value
             edges = np.searchsorted(query, np.arange(0, len(ids) + _QUERIES, _QUERIES))
-            for batch in batches:
+            floor = np.full(len(ids), -np.inf)  # top_k of the texts so far have as much; what has less is not handed on
+            for batch in (piece for whole in batches for piece in _pieces(whole, whole.column(1).value_lengths(), TOKENS_AT_A_TIME)):
                 known = pc.index_in(batch.column(1).flatten(), value_set=tokens)
                 row = np.repeat(np.arange(batch.num_rows), batch.column(1).value_lengths().to_numpy(zero_copy_only=False))
                 hit = np.flatnonzero(known.is_valid().to_numpy(zero_copy_only=False))
@@ -133,10 +157,20 @@ class BM25Index:
                     if not len(mine):
                         continue
                     start = np.concatenate([[0], np.flatnonzero(np.diff(row[mine])) + 1])
-                    score = np.add.reduceat(value[at[mine]] * part[mine, None], start, axis=0).T
+                    score = np.empty((value.shape[1], len(start)))
+                    first = 0
+                    while first < len(start):  # the scores of some rows at a time
+                        last = max(first + 1, int(np.searchsorted(start, start[first] + SCORES_AT_ONCE // value.shape[1], "right")) - 1)
+                        some = mine[start[first] : start[last] if last < len(start) else len(mine)]
+                        score[:, first:last] = np.add.reduceat(value[at[some]] * part[some, None], start[first:last] - start[first], axis=0).T
+                        first = last
                     if digits is not None:
                         score = np.round(score, digits)
-                    q, r = best_of_batch(np.where(score > 0, score, -np.inf), top_k)
+                    score[score <= 0] = -np.inf
+                    least = floor[k * _QUERIES : k * _QUERIES + len(score)]
+                    if top_k <= score.shape[1]:
+                        np.maximum(least, np.partition(score, -top_k, axis=1)[:, -top_k], out=least)
+                    q, r = np.nonzero((score >= least[:, None]) & (score > -np.inf))
                     yield pa.RecordBatch.from_arrays(
                         [ids.take(pa.array(q + k * _QUERIES)), batch.column(0).take(pa.array(row[mine][start][r])), pa.array(score[q, r])],
                         ["query_id", "id", "score"],

@@ -6,7 +6,9 @@ import math
 import random
 import re
 import unicodedata
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -388,3 +390,42 @@ def test_hybrid_without_lexical_hits_keeps_dense_scores(spark):
     q = spark.createDataFrame([("q", "zzz")], "query_id string, query string")
     got = r.retrieve(q, 4).primary.collect()
     assert len(got) == 4 and max(x.score for x in got) > 0.04
+
+
+ODD_TEXTS = ["", " ", "--", "a", "-a-", "İstanbul ǅ ß naïve é x_y ½ ² Ⅷ ٣ 漢字かな ａｂ — don't 𝒳 😀", "क्षि ñ̃ q̃ Σίσυφος ΣΑΣ", "one  two\nthree four", None, "the the The", "_", "﻿x​y"]
+
+
+def test_tokens_are_counted_a_few_texts_at_a_time(spark, monkeypatch):
+    """The arrays that are worked out have a bound however many rows a batch has, and the counts are those of tokenize."""
+    from ragloom.operators import bm25
+
+    sizes, inner = [], bm25.words_of
+    monkeypatch.setattr(bm25, "BYTES_OF_A_PIECE", 300)
+    texts = ["many words of a text " * 4] * 200 + ["long " * 200] + [t for t in ODD_TEXTS if t is not None]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
+    pieces = list(bm25._pieces(batch, pa.array([len(t.encode()) for t in texts]), 300))
+    for piece in pieces:
+        row, _ = inner(piece.column(1))
+        sizes.append(len(row))
+    assert pa.Table.from_batches(pieces).equals(pa.Table.from_batches([batch])) and max(sizes) == 200 and sorted(sizes)[-2] <= 75
+    docs = spark.createDataFrame(list(enumerate([*texts, None])), "id long, text string").repartition(2)
+    want = {r.id: Counter(r.t) for r in docs.where("text is not null").select("id", T.tokenize(F.col("text")).alias("t")).collect()}
+    got = {r.id: r for r in bm25.counted_tokens(docs, "id", "text").collect()}
+    assert {i: Counter(dict(zip(r.tokens, r.tf, strict=True))) for i, r in got.items()} == want
+    assert all(r.dl == sum(want[i].values()) for i, r in got.items())
+
+
+@pytest.mark.parametrize("at_once", [64, 130, 1_000_000])
+def test_scores_are_added_up_some_rows_at_a_time(spark, monkeypatch, at_once):
+    from ragloom.operators import bm25
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(30)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(words, k=rng.randint(0, 20)))) for i in range(150)], "id long, text string")
+    queries = spark.createDataFrame([(str(i), " ".join(rng.choices(words, k=4))) for i in range(70)], "query_id string, query string")
+    index = bm25.BM25Index.build(docs, "id", "text")
+    monkeypatch.setattr(bm25, "SCORES_AT_ONCE", at_once)
+    monkeypatch.setattr(bm25, "TOKENS_AT_A_TIME", at_once)
+    few = {(r.query_id, r.rank): (r.id, r.score) for r in index.search(queries, 5, 6).collect()}
+    joined = {(r.query_id, r.rank): (r.id, r.score) for r in index.search(queries, 5, 6, at_once=0).collect()}
+    assert len(few) > 200 and few == joined
