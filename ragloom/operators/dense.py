@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,42 +44,62 @@ def best_of_batch(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _scores(asked: pa.Table | pa.RecordBatch, batch: pa.RecordBatch, vectors: np.ndarray, k: int, digits: int | None) -> Iterator[pa.RecordBatch]:
     """The best of a batch of records (id, tie, scope, embedding) for each of asked (query_id, scope), whose vectors are given."""
-    ids, scopes = asked.column("query_id"), asked.column("scope").to_pylist()
-    limited = any(s is not None for s in scopes)
+    ids, scopes = asked.column("query_id"), asked.column("scope").to_numpy(zero_copy_only=False)
     m = _matrix(batch.column(3), vectors.shape[1])
-    theirs = np.array([s if s is not None else "" for s in batch.column(2).to_pylist()], object) if limited else None
-    for lo in range(0, len(vectors), _BLOCK):
-        score = vectors[lo : lo + _BLOCK] @ m.T
-        if digits is not None:
-            score = np.round(score, digits) + 0.0
-        if limited:
-            for i, s in enumerate(scopes[lo : lo + _BLOCK]):
-                if s is not None:
-                    score[i, theirs != s] = -np.inf
-        q, r = best_of_batch(score, k)
-        yield pa.RecordBatch.from_arrays(
-            [ids.take(pa.array(q + lo)), batch.column(0).take(pa.array(r)), batch.column(1).take(pa.array(r)), pa.array(score[q, r])],
-            ["query_id", "id", "tie", "score"],
-        )
+    theirs = batch.column(2).to_numpy(zero_copy_only=False)
+    for mine, those in _meeting(scopes, theirs):
+        records = m if those is None else m[those]
+        for lo in range(0, len(mine), _BLOCK):
+            part = mine[lo : lo + _BLOCK]
+            score = vectors[part] @ records.T
+            if digits is not None:
+                score = np.round(score, digits) + 0.0
+            q, r = best_of_batch(score, k)
+            best, r = score[q, r], pa.array(r if those is None else those[r])
+            yield pa.RecordBatch.from_arrays(
+                [ids.take(pa.array(part[q])), batch.column(0).take(r), batch.column(1).take(r), pa.array(best)],
+                ["query_id", "id", "tie", "score"],
+            )
+
+
+def _meeting(scopes: np.ndarray, theirs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """(places of queries, places of the records that they are held against): those of a scope meet the records of it alone, those without one all, which None says."""
+    if (every := np.flatnonzero([s is None for s in scopes])).size:
+        yield every, None
+    records: dict[str, list[int]] = {}
+    for i, s in enumerate(theirs):
+        records.setdefault(s, []).append(i)
+    queries: dict[str, list[int]] = {}
+    for i, s in enumerate(scopes):
+        if s is not None and s in records:
+            queries.setdefault(s, []).append(i)
+    for s, mine in queries.items():
+        yield np.array(mine), np.array(records[s])
 
 
 def _dimension(vectors: pa.Array) -> int:
     return max(vectors.value_lengths().to_pylist(), default=1) or 1
 
 
-def _packed(df: DataFrame, rows: int, name: str) -> DataFrame:
-    """(block, name): rows of df, some thousands in one binary value."""
+def _packed(df: DataFrame, rows: int, name: str, spread: int = 0) -> DataFrame:
+    """(scope, name): rows of df of one scope, up to so many in one binary value. With spread, the rows of a scope are first brought together in so many parts."""
+    if spread:
+        df = df.repartition("scope", F.pmod(F.xxhash64(df.columns[0]), F.lit(spread))).sortWithinPartitions("scope")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, rows):
-                part = batch.slice(lo, rows)
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, part.schema) as out:
-                    out.write_batch(part)
-                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], [name])
+            scope = batch.column("scope")
+            code = scope.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(np.diff(code)) + 1).tolist(), len(code)]
+            for first, last in zip(edges[:-1], edges[1:], strict=True):
+                for lo in range(first, last, rows):
+                    part = batch.slice(lo, min(rows, last - lo))
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, part.schema) as out:
+                        out.write_batch(part)
+                    yield pa.RecordBatch.from_arrays([scope.slice(lo, 1), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["scope", name])
 
-    return df.mapInArrow(pack, f"{name} binary").withColumn("block", F.monotonically_increasing_id())
+    return df.mapInArrow(pack, f"scope string, {name} binary")
 
 
 def _unpacked(value: pa.Scalar) -> pa.RecordBatch:
@@ -129,9 +150,14 @@ def dense_topk(
                     asked, batch = _unpacked(pairs.column(0)[i]), _unpacked(pairs.column(1)[i])
                     yield from _scores(asked, batch, _matrix(asked.column(1), _dimension(asked.column(1))), k, digits)
 
-        asked = checkpointed(_packed(ask, _PACKED, "asked"))
-        blocks = [r.block for r in asked.select("block").toLocalIterator()]
-        spread = _packed(have, _PACKED, "records").drop("block").withColumn("block", F.explode(F.lit(blocks)))
+        # Blocks of one scope meet those of the same alone; there are some for each core, and the fewer they are the less often a record is sent.
+        total, scopes = ask.agg(F.count("*"), F.count_distinct("scope")).first()
+        rows = max(_PACKED // 8, min(2 * _PACKED, total // (4 * queries.sparkSession.sparkContext.defaultParallelism)))
+        parts = math.ceil(total / (rows * scopes)) if scopes else 0
+        asked = checkpointed(_packed(ask, rows, "asked", parts).withColumn("block", F.monotonically_increasing_id()))
+        blocks = F.broadcast(asked.select(F.col("scope").alias("_scope"), "block"))
+        own = F.lit(True) if not scopes else F.col("_scope").isNull() | (F.col("_scope") == F.col("scope"))
+        spread = _packed(have, _PACKED, "records", parts).join(blocks, own).select("records", "block")
         found = spread.join(asked, "block").select("asked", "records").mapInArrow(meet, schema)
     return rank_in(found, ["query_id"], [F.desc("score"), F.col("tie")], k).drop("tie")
 

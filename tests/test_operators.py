@@ -8,6 +8,7 @@ import re
 import unicodedata
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -429,3 +430,26 @@ def test_scores_are_added_up_some_rows_at_a_time(spark, monkeypatch, at_once):
     few = {(r.query_id, r.rank): (r.id, r.score) for r in index.search(queries, 5, 6).collect()}
     joined = {(r.query_id, r.rank): (r.id, r.score) for r in index.search(queries, 5, 6, at_once=0).collect()}
     assert len(few) > 200 and few == joined
+
+
+@pytest.mark.parametrize("at_once", [1000, 3])
+def test_scoped_vectors_meet_those_of_their_scope_only(spark, monkeypatch, at_once):
+    from ragloom.operators import dense
+
+    pairs, inner = [], dense.best_of_batch
+    rng = random.Random(4)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)], rng.choice(["a", "b", "c", None])) for i in range(60)]
+    e = spark.createDataFrame(rows, "id long, embedding array<double>, scope string").repartition(3)
+    queries = e.select((F.col("id") + 100).alias("query_id"), "embedding", "scope")
+    got = dense_topk(queries, e, 3, "id", scope="scope", digits=9, at_once=at_once).collect()
+    want = {}
+    for q, v, s in rows:
+        score = sorted((-round(sum(x * y for x, y in zip(v, w, strict=True)), 9), i) for i, w, t in rows if s is None or s == t)
+        want |= {(q + 100, n + 1): i for n, (_, i) in enumerate(score[:3])}
+    assert {(r.query_id, r.rank): r.id for r in got} == want
+    monkeypatch.setattr(dense, "best_of_batch", lambda score, k: pairs.append(score.size) or inner(score, k))
+    ask = pa.table({"query_id": range(60), "scope": pa.array([r[2] for r in rows])}).to_batches()[0]
+    batch = pa.record_batch([pa.array(range(60)), pa.array(range(60)), pa.array([r[2] for r in rows]), pa.array([r[1] for r in rows])], ["id", "tie", "scope", "embedding"])
+    list(dense._scores(ask, batch, np.array([r[1] for r in rows]), 3, 9))
+    n = Counter(r[2] for r in rows)
+    assert sum(pairs) == n[None] * 60 + sum(m * m for s, m in n.items() if s is not None)
