@@ -13,7 +13,7 @@ from ragloom.operators import ranking as R
 from ragloom.operators.bm25 import BM25Index
 from ragloom.operators.chunking import rank_in
 from ragloom.operators.dense import dense_topk
-from ragloom.session import checkpointed
+from ragloom.session import broadcast_if_small, checkpointed
 
 
 @dataclass(frozen=True)
@@ -49,6 +49,11 @@ class Retrieved:
     context: DataFrame
 
 
+def few(hits: DataFrame) -> DataFrame:
+    """Hits written, and sent to all tasks if they are few, so that a join passes the chunks where they are and none of them is shuffled."""
+    return broadcast_if_small(checkpointed(hits))
+
+
 class HybridRetriever:
     """chunks: (chunk_id, raw_text, procedure_slug, content_hash, previous_chunk_id, next_chunk_id, embedding)."""
 
@@ -74,13 +79,13 @@ class HybridRetriever:
         fused = dense.select("query_id", "chunk_id", "score", "rank")
         if self.index is not None:
             # The slug filter comes after the ranking here, so fewer may be left.
-            found = self.index.search(queries, self.how.bm25_top_k, self.digits).withColumnRenamed("id", "chunk_id")
+            found = few(self.index.search(queries, self.how.bm25_top_k, self.digits).withColumnRenamed("id", "chunk_id"))
             found = found.join(about.select("chunk_id", "procedure_slug"), "chunk_id").join(wanted.withColumnRenamed("procedure_slug", "wanted"), "query_id")
             found = found.where(F.col("wanted").isNull() | (F.col("wanted") == F.col("procedure_slug"))).select("query_id", "chunk_id", "score", "rank")
             # The lexical list is ranked anew once filtered, as its order is what counts.
             found = rank_in(found.withColumnRenamed("rank", "_r"), ["query_id"], [F.col("_r")]).drop("_r")
             fused = self._fuse(fused, found)
-        return R.deduplicate(fused.join(about, "chunk_id")).drop("content_hash")
+        return R.deduplicate(few(fused).join(about, "chunk_id")).drop("content_hash")
 
     def _fuse(self, dense: DataFrame, lexical: DataFrame) -> DataFrame:
         """Reciprocal ranks of both lists; the dense scores as they are for queries without lexical hits. One aggregate and one window."""

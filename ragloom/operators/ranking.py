@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ragloom.functions import text as T
 from ragloom.operators.chunking import rank_in
-from ragloom.session import SMALL_ROWS
+from ragloom.session import SMALL_ROWS, broadcast_if_small, checkpointed
 
 RRF_K, SCORE_EPSILON, CONTEXT_TOKENS, CONFIDENCE, RERANK_POOL = 60, 0.02, 1600, 0.6, 10
 
@@ -94,11 +94,15 @@ def expand_adjacent(primary: DataFrame, chunks: DataFrame, max_tokens: int = CON
     The budget holds the primaries themselves. Neighbours are tried in order, the one before first; one that is taken, unknown, of another slug or
     too long is passed over. source is 'primary' or 'adjacent'; a neighbour has its parent's score.
     """
-    known = chunks.select("chunk_id", "procedure_slug", "previous_chunk_id", "next_chunk_id", T.token_estimate(F.col("raw_text")).alias("tokens"))
-    mine = primary.select("query_id", "chunk_id", "score", "rank").join(known, "chunk_id")
+    # Tokens are counted of the texts that are asked for, not of all: the hits are few, so both joins pass the chunks once, where they are.
+    own = broadcast_if_small(primary.select("query_id", "chunk_id", "score", "rank"))
+    about = chunks.select("chunk_id", "procedure_slug", "previous_chunk_id", "next_chunk_id", "raw_text")
+    mine = own.join(about, "chunk_id").withColumn("tokens", T.token_estimate(F.col("raw_text"))).drop("raw_text")
+    mine = checkpointed(mine)
     near = mine.select("query_id", "rank", "procedure_slug", F.posexplode(F.array("previous_chunk_id", "next_chunk_id")).alias("side", "near_id")).where("near_id is not null and near_id <> ''")
-    other = known.select(F.col("chunk_id").alias("near_id"), F.col("procedure_slug").alias("near_slug"), F.col("tokens").alias("near_tokens"))
-    near = near.join(other, "near_id").where(F.col("procedure_slug").eqNullSafe(F.col("near_slug")))
+    other = chunks.select(F.col("chunk_id").alias("near_id"), F.col("procedure_slug").alias("near_slug"), F.col("raw_text").alias("near_text"))
+    near = broadcast_if_small(near).join(other, "near_id").where(F.col("procedure_slug").eqNullSafe(F.col("near_slug")))
+    near = near.withColumn("near_tokens", T.token_estimate(F.col("near_text"))).drop("near_text")
     tries = near.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "side", "near_id", "near_tokens"))).alias("tries"))
     base = mine.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "score"))).alias("own"), F.sum("tokens").cast("long").alias("total"))
     walk = f"""
@@ -127,6 +131,7 @@ def lexical_score(query: Column, text: Column) -> Column:
 def rerank(ranked: DataFrame, queries: DataFrame, chunks: DataFrame, top_k: int = 5, score: Callable[[Column, Column], Column] = lexical_score, pool: int = RERANK_POOL) -> DataFrame:
     """(query_id, chunk_id, score, rank): the first pool chunks of each query ordered by score(query, raw_text), ties by chunk_id."""
     few = ranked.where(F.col("rank") <= pool).select("query_id", "chunk_id")
-    text = few.join(queries.select("query_id", "query"), "query_id").join(chunks.select("chunk_id", "raw_text"), "chunk_id")
+    asked = broadcast_if_small(checkpointed(few.join(queries.select("query_id", "query"), "query_id")))
+    text = asked.join(chunks.select("chunk_id", "raw_text"), "chunk_id")
     scored = text.select("query_id", "chunk_id", score(F.col("query"), F.col("raw_text")).alias("score"))
     return rank_in(scored, ["query_id"], [F.desc("score"), F.col("chunk_id")], top_k)

@@ -101,8 +101,9 @@ def classify_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embedded_chunks(spark: SparkSession, sf_dir: str, chunker: str = "fixed_size") -> DataFrame:
-    """The index: chunks and their embeddings, written once."""
-    return written(preset_chunks(spark, sf_dir, chunker).withColumn("embedding", mock_embedding(F.col("raw_text"))))
+    """The index: what retrieval and prompts read of the chunks, and their embeddings, written once."""
+    cut = preset_chunks(spark, sf_dir, chunker).select("chunk_id", "raw_text", "procedure_slug", "procedure_title", "previous_chunk_id", "next_chunk_id", "content_hash")
+    return written(cut.withColumn("embedding", mock_embedding(F.col("raw_text"))))
 
 
 def retriever(spark: SparkSession, sf_dir: str, **how) -> H.HybridRetriever:

@@ -453,3 +453,26 @@ def test_scoped_vectors_meet_those_of_their_scope_only(spark, monkeypatch, at_on
     list(dense._scores(ask, batch, np.array([r[1] for r in rows]), 3, 9))
     n = Counter(r[2] for r in rows)
     assert sum(pairs) == n[None] * 60 + sum(m * m for s, m in n.items() if s is not None)
+
+
+def test_few_hits_meet_the_chunks_where_they_are(spark):
+    """No join of the hits shuffles or sorts the chunks, and tokens are counted of the texts asked for only."""
+    chunks = spark.createDataFrame(
+        [(f"c{i}", f"word{i} text", "s", f"h{i}", f"c{i - 1}" if i else None, f"c{i + 1}") for i in range(50)],
+        "chunk_id string, raw_text string, procedure_slug string, content_hash string, previous_chunk_id string, next_chunk_id string",
+    ).withColumn("embedding", V.mock_embedding(F.col("raw_text"))).cache()
+    queries = spark.createDataFrame([("q", "word7 text")], "query_id string, query string")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        primary = spark.createDataFrame([("q", "c7", 1.0, 1), ("q", "c8", 0.5, 2)], "query_id string, chunk_id string, score double, rank int")
+        grown = R.expand_adjacent(primary, chunks)
+        plan = grown._jdf.queryExecution().optimizedPlan().toString()
+        assert "strategy=broadcast" in plan
+        assert [(r.chunk_id, r.source) for r in grown.orderBy("rank").collect()] == [("c7", "primary"), ("c6", "adjacent"), ("c8", "primary"), ("c9", "adjacent")]
+        r = H.HybridRetriever(chunks, None, H.Strategy(use_adjacent_expansion=False, enable_diversity=False))
+        fused = r.fused(queries, r.classify(queries))
+        assert "strategy=broadcast" in fused._jdf.queryExecution().optimizedPlan().toString()
+        assert fused.count() > 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
