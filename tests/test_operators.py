@@ -476,3 +476,16 @@ def test_few_hits_meet_the_chunks_where_they_are(spark):
         assert fused.count() > 0
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+@pytest.mark.parametrize(("size", "overlap"), [(10, 3), (10, 5), (10, 8), (10, 0), (1, 0), (500, 50)])
+def test_fixed_chunks_are_cut_in_one_pass(spark, size, overlap):
+    """Lengths about every border, newlines and characters of four bytes; where the overlap is no more than a step no substring is counted from the begin of the text."""
+    texts = ["a😀\né"[: n % 5] + "xy\n😀é" * (n // 5) for n in [*range(0, 40), 449, 450, 451, 499, 500, 501, 949, 950, 951, 1400, 3000]]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i int, t string")
+    cut = docs.select("i", C.FixedSizeChunker(size, overlap).chunk(F.col("t")).alias("c"))
+    step = size - overlap
+    for i, c in cut.collect():
+        t = texts[i] if i < len(texts) else ""
+        assert c == [t[k : k + size] for k in range(0, max(1, math.ceil((len(t) - size) / step) * step + 1), step) if t]
+    assert ("regexp_extract_all" in cut._jdf.queryExecution().optimizedPlan().toString()) == (overlap <= step)
